@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from keyloom.llm import linededup
+from keyloom.llm import linededup, rules
 
 
 def queries() -> dict:
-    return {"op5_line_dedup": linededup.op5_line_dedup}
+    return {"op5_line_dedup": linededup.op5_line_dedup, "op9_quality_rules": rules.op9_quality_rules}
 
 
 def oracle_sql() -> dict:
-    return {"op5_line_dedup": linededup.SQL}
+    return {"op5_line_dedup": linededup.SQL, "op9_quality_rules": rules.SQL}
