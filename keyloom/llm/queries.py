@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from keyloom.llm import linededup, rules
+from keyloom.llm import decontam, linededup, rules
 
 
 def queries() -> dict:
-    return {"op5_line_dedup": linededup.op5_line_dedup, "op9_quality_rules": rules.op9_quality_rules}
+    return {"op5_line_dedup": linededup.op5_line_dedup, "op9_quality_rules": rules.op9_quality_rules, "op10_decontamination": decontam.op10_decontamination}
 
 
 def oracle_sql() -> dict:
