@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontam, linededup, rules
+from keyloom.llm import decontam, langid, linededup, quality, rules
 
 
 def queries() -> dict:
-    return {"op5_line_dedup": linededup.op5_line_dedup, "op9_quality_rules": rules.op9_quality_rules, "op10_decontamination": decontam.op10_decontamination}
+    return {
+        "op4_language_id": langid.op4_language_id,
+        "op5_line_dedup": linededup.op5_line_dedup,
+        "op7_quality_classifier": quality.op7_quality_classifier,
+        "op9_quality_rules": rules.op9_quality_rules,
+        "op10_decontamination": decontam.op10_decontamination,
+    }
 
 
 def oracle_sql() -> dict:
