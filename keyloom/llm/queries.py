@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontam, langid, linededup, quality, rules
+from keyloom.llm import bpe, chat, decontam, html_text, langid, linededup, quality, rules, warc
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": chat.op1_chat_format,
+        "op2_bpe": bpe.op2_bpe,
         "op4_language_id": langid.op4_language_id,
         "op5_line_dedup": linededup.op5_line_dedup,
+        "op6_warc": warc.op6_warc,
         "op7_quality_classifier": quality.op7_quality_classifier,
+        "op8_html_extraction": html_text.op8_html_extraction,
         "op9_quality_rules": rules.op9_quality_rules,
         "op10_decontamination": decontam.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_line_dedup": linededup.SQL, "op9_quality_rules": rules.SQL}
+    return {"op1_chat_format": chat.SQL, "op5_line_dedup": linededup.SQL, "op6_warc": warc.SQL, "op9_quality_rules": rules.SQL}
