@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from keyloom.llm import bpe, chat, decontam, html_text, langid, linededup, quality, rules, warc
+from keyloom.llm import bpe, chat, decontam, html_text, langid, linededup, ngram_join, quality, rules, warc
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op2_bpe": bpe.op2_bpe,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_language_id": langid.op4_language_id,
         "op5_line_dedup": linededup.op5_line_dedup,
         "op6_warc": warc.op6_warc,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": chat.SQL, "op5_line_dedup": linededup.SQL, "op6_warc": warc.SQL, "op9_quality_rules": rules.SQL}
+    return {"op1_chat_format": chat.SQL, "op3_ngram_join": ngram_join.SQL, "op5_line_dedup": linededup.SQL, "op6_warc": warc.SQL, "op9_quality_rules": rules.SQL}
