@@ -31,8 +31,33 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/keyloom/{label}-{uuid.uuid4().hex}"
 
 
+#: Makes Spark delete the shuffle files of an execution at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, any executor can read it."""
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and read it back: lineage ends there, any executor can read it.
+
+    The shuffle files that led to it are deleted once it is written, since nothing reads them again.
+    """
+    spark, path = df.sparkSession, work_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of materialise() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
