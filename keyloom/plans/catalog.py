@@ -1,4 +1,4 @@
-"""Registry of the queries and of the SQL that checks them."""
+"""All queries of the reconciliation engine."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from keyloom.plans import data_queries, log_queries, meta_queries  # noqa: F401  they register their queries
+from keyloom.plans.registry import ORACLE, QUERIES  # noqa: F401
