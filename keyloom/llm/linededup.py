@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import ascii_lower, pinned, strip_spaces
 
-_NEW = ("_lines", "_cut", "_at", "_h1", "_h2", "_keep", "_n", "_row", "_pos", "_p", "_text")
-
 
 def line_key(line: Column) -> Column:
     return ascii_lower(strip_spaces(line))
@@ -47,8 +45,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = base.select("_id", F.xxhash64("_text").alias("_row"), F.posexplode(F.transform(F.split(F.col("_text"), "\n", -1), line_key)).alias("_pos", "_k")).where(F.char_length("_k") >= min_chars)
     hits = _hashed(placed).join(common, ["_h1", "_h2"]).where(F.col("_id") != F.col("_keep"))
     cuts = hits.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_cut"))
-    joined = docs.withColumns({"_id": F.col(id_col), "_row": F.xxhash64(text_col)}).join(cuts, ["_id", "_row"], "left")
-    joined = pinned(joined, _lines=F.split(F.col(text_col), "\n", -1))
+    # The row travels as one struct, so that no name in it clashes with those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("_in"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"))
+    joined = rows.join(cuts, ["_id", "_row"], "left")
+    joined = pinned(joined, _lines=F.split(F.col("_in")[text_col], "\n", -1))
     edges = F.concat(F.array(F.lit(-1)), F.coalesce(F.col("_cut"), F.array().cast("array<int>")), F.array(F.size("_lines")))
     joined = pinned(joined, _at=edges)
     kept = F.flatten(
@@ -57,13 +57,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             lambda j: F.slice(F.col("_lines"), F.element_at("_at", j) + 2, F.element_at("_at", j + 1) - F.element_at("_at", j) - 1),
         )
     )
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+    text = F.when(F.col("_cut").isNull(), F.col("_in")[text_col]).otherwise(F.array_join(kept, "\n"))
+    return joined.select(
+        *[text.alias(c) if c == text_col else F.col("_in")[c].alias(c) for c in docs.columns],
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_dropped"),
     )
-    return out
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -61,8 +61,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines_removed", "words_kept", "clean_text", "kept"]
     docs = docs.drop(*new)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = pinned(docs, _t=text, _words=words_of(F.col(text_col)))
+    # The row travels as one struct, so that no name in it clashes with those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("_in"))
+    df = pinned(rows, _t=F.coalesce(F.col("_in")[text_col], F.lit("")), _words=words_of(F.col("_in")[text_col]))
     starts = F.when(F.size("_words") >= window, F.sequence(F.lit(1), F.size("_words") - (window - 1))).otherwise(F.array().cast("array<int>"))
     df = pinned(df, _hashes=F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("_words"), i, window))), _facts=F.transform(F.split("_t", "\n", -1), _line_facts))
     df = pinned(df, _n=F.size("_words").cast("long"), _sorted=_repeat_words(window), _with=F.filter("_facts", lambda f: f["n"] > 0), _failed=F.filter("_facts", _line_fails), _left=F.filter("_facts", lambda f: ~_line_fails(f))).drop("_words", "_hashes", "_facts")
@@ -86,7 +87,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ).drop("_p", "_with", "_failed", "_left", "_n", "_t")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("words_kept") >= F.col("n_words") * F.lit(min_kept)))
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("words_kept") >= F.col("n_words") * F.lit(min_kept)))
+    return df.select(*[F.col("_in")[c].alias(c) for c in docs.columns], *new)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
