@@ -55,11 +55,18 @@ def previous_end(log: DataFrame) -> DataFrame:
 def schema_as_of(rows: DataFrame, maps: DataFrame) -> DataFrame:
     """rows with the latest map of their table_id at or before their coordinate (null if there is none).
 
-    Both are laid in one stream and the last map is carried forward, by table: no range join.
+    Both are laid in one stream and the last map is carried forward, by table and log file; what a file
+    starts with comes from the last maps of the files before, one row a table and file. So neither a
+    range join nor a task that holds all of a busy table is needed.
     """
     both = rows.withColumn("_map", F.lit(None).cast(maps.schema["map"].dataType)).withColumn("_row", F.lit(True)).unionByName(maps.select("table_id", "coord", F.col("map").alias("_map")).withColumn("_row", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy("table_id").orderBy("coord", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("map", F.last("_map", True).over(w)).where("_row").drop("_map", "_row")
+    both = both.withColumn("_f", F.col("coord.file"))
+    w = Window.partitionBy("table_id", "_f").orderBy("coord", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    files = both.groupBy("table_id", "_f").agg(F.max_by("_map", F.when(~F.col("_row"), F.col("coord"))).alias("_l"))
+    before = files.withColumn("_before", F.last("_l", True).over(Window.partitionBy("table_id").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("table_id").alias("_t"), F.col("_f").alias("_g"), "_before")
+    here = both.withColumn("_h", F.last("_map", True).over(w)).where("_row")
+    joined = here.join(before, F.col("table_id").eqNullSafe(F.col("_t")) & F.col("_f").eqNullSafe(F.col("_g")), "left")
+    return joined.withColumn("map", F.coalesce("_h", "_before")).drop("_map", "_row", "_f", "_h", "_t", "_g", "_before")
 
 
 def split_known(rows: DataFrame, width: Column) -> tuple[DataFrame, DataFrame]:
