@@ -131,7 +131,7 @@ def cdc_bounded_stop(spark, d):
     return out
 
 
-@query("cdc_no_overtake", f"with {LOG} select count(*) as rows, max(event_id) as last_event from log where event_id <= (select min(event_id) from log where user_id = 33 and event_type = 'error')")
+@query("cdc_no_overtake", f"with {LOG} select count(*) as rows, max(event_id) as last_event from log where event_id <= coalesce((select min(event_id) from log where user_id = 33 and event_type = 'error'), 9223372036854775807)")
 def cdc_no_overtake(spark, d):
     log = events_log(spark, d)
     return changelog.no_overtake(log, log.where("user_id = 33 and event_type = 'error'")).agg(F.count("*").alias("rows"), F.max("event_id").alias("last_event"))
