@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.session import materialise, read_table, shared_dir, work_path  # noqa: F401
+from keyloom.session import discard, materialise, read_table, shared_dir, work_path  # noqa: F401
 
 #: White space that separates words: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -42,9 +40,3 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     """
     one = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
     return df.select("*", one)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done with."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

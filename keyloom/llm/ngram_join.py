@@ -5,12 +5,13 @@ sets whose Jaccard index reaches t share at least `l` of the first `n - ceil(t n
 for any l: a longer prefix must match more often. Each document chooses its l by the estimated cost of
 the candidates it gets, from the number of documents that hold each prefix shingle:
 
-* shingles that more than HOT documents hold in their prefix aren't worth looking up. If l is larger
+* shingles that more than `most` documents hold in their prefix aren't worth looking up. If l is larger
   than the number of such shingles in the prefix, any partner also shares a rarer one, so the document
   is only indexed under those;
 * beyond that, l is what makes postings read plus candidates expected (postings over l) cheapest;
 * documents of which nearly all shingles are frequent (a very large group of near copies) find no such
-  l. They are indexed under frequent shingles too, in blocks, so that no task gets a whole group.
+  l. They are indexed under frequent shingles too, in blocks, so that no task gets a whole group, but
+  not under the last ones: as they ask for many matches, the first shared shingle lies further ahead.
 
 Only shingles that two documents share are indexed, and lists that hold the same documents count once.
 Within a list, sizes, l common prefix shingles and a bound on the overlap from parity bitmaps (each
@@ -28,15 +29,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialise, read_table, release
+from keyloom.llm.common import discard, materialise, read_table
 
 #: Documents from which a prefix shingle counts as frequent, and documents of a block of its list.
-HOT, BLOCK = 512, 2048
+HOT, BLOCK = 64, 2048
 #: Bits of a parity bitmap, and bytes of text that are hashed together.
-BITS, BATCH = 1024, 1 << 19
+BITS, BATCH = 512, 1 << 19
 #: Cost of verifying a candidate in postings read.
 VERIFY = 8.0
 
@@ -129,22 +131,20 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def choose(pos: np.ndarray, df: np.ndarray, n: int, num: int, den: int) -> tuple[int, bool]:
+def choose(pos: np.ndarray, df: np.ndarray, n: int, num: int, den: int, most: int = HOT) -> tuple[int, bool]:
     """Matches a document asks for, and whether it has to be indexed under frequent shingles.
 
-    pos, df: places in the prefix order of the shingles that others hold too, and by how many documents.
+    pos, df: places in the prefix order, ascending, of the shingles that others hold too, and by how many documents.
     """
-    p, best = base_prefix(n, num, den), None
-    for matches in range(1, most_matches(n, num, den) + 1):
-        inside = pos < p + matches - 1
-        hot = int((inside & (df > HOT)).sum())
-        if matches <= hot:
-            continue
-        postings = float((df[inside & (df <= HOT)] - 1).sum())
-        cost = postings + VERIFY * postings / (matches - hot)
-        if best is None or cost < best[0]:
-            best = (cost, matches)
-    return (best[1], False) if best else (most_matches(n, num, den), True)
+    matches = np.arange(1, most_matches(n, num, den) + 1)
+    inside = np.searchsorted(pos, base_prefix(n, num, den) + matches - 1)
+    hot = np.concatenate([[0], np.cumsum(df > most)])[inside]
+    postings = np.concatenate([[0], np.cumsum(np.where(df > most, 0, df - 1))])[inside]
+    ok = matches > hot
+    if not ok.any():
+        return int(matches[-1]), True
+    cost = np.where(ok, postings + VERIFY * postings / np.maximum(1, matches - hot), np.inf)
+    return int(matches[np.argmin(cost)]), False
 
 
 def _sketch(k: int, num: int, den: int):
@@ -167,76 +167,86 @@ def _sketch(k: int, num: int, den: int):
     return run
 
 
-def _decide(num: int, den: int):
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), pa.int64()))
+
+
+def _decide(num: int, den: int, most: int):
     def run(batches):
         for b in batches:
             out = []
-            for node, n, shared in zip(*(b.column(i).to_pylist() for i in range(3))):
-                x = np.array([(s["pos"], s["df"], s["token"]) for s in shared], dtype=np.int64).reshape(-1, 3)
-                x = x[np.argsort(x[:, 0])]
-                matches, frequent = choose(x[:, 0], x[:, 1], n, num, den)
-                x = x[x[:, 0] < base_prefix(n, num, den) + matches - 1]
-                if len(x):
-                    out.append((node, n, matches, frequent, x[x[:, 1] <= HOT, 2].tolist(), x[x[:, 1] > HOT, 2].tolist(), x[:, 2].tobytes()))
-            cols = list(zip(*out)) if out else [[]] * 7
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["node", "n", "matches", "frequent", "rare", "hot", "tokens"])
+            flat = [np.asarray(b.column(i).flatten(), dtype=np.int64) for i in (2, 3, 4)]
+            ends = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(b.column(2)), dtype=np.int64))]).tolist()
+            for node, n, lo, hi in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends, ends[1:]):
+                pos, df, token = (x[lo:hi] for x in flat)
+                order = np.argsort(pos)
+                pos, df, token = pos[order], df[order], token[order]
+                matches, frequent = choose(pos, df, n, num, den, most)
+                end = int(np.searchsorted(pos, base_prefix(n, num, den) + matches - 1))
+                if end:
+                    # Any partner shares as many as `fewest` of the shingles here, so the last ones needn't be indexed.
+                    fewest = most_matches(least_overlap(n, num, den), num, den) if frequent else 1
+                    kept = max(1, end - fewest + 1)
+                    hot = df[:kept] > most
+                    out.append((node, n, matches, frequent, token[:kept][~hot], token[:kept][hot], np.sort(token[:end]).tobytes()))
+            if out:
+                node, n, matches, frequent, rare, hot, tokens = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(matches, pa.int32()), pa.array(frequent), _lists(rare), _lists(hot), pa.array(tokens, pa.binary())], ["node", "n", "matches", "frequent", "rare", "hot", "tokens"])
 
     return run
 
 
 def _pairs_of(rows: list[dict], num: int, den: int, whole: bool):
-    """Pairs of one list that may reach the threshold: a spanning forest over what is linked already, or with whole all that join two components."""
+    """Pairs of one list that may reach the threshold: a spanning forest over what is linked already, or with whole all that join two components.
+
+    Row by row, all columns at once: of each other component that a row may be linked with, the nearest
+    document by bitmap is proposed, and the two count as one from then on.
+    """
     g = len(rows)
     n = np.array([r["n"] for r in rows], dtype=np.int64)
+    node = np.array([r["node"] for r in rows], dtype=np.int64)
     bits = np.frombuffer(b"".join(r["bits"] for r in rows), dtype=np.uint64).reshape(g, -1)
     side, frequent = np.array([r["side"] for r in rows]), np.array([r["frequent"] for r in rows])
-    comp = np.array([r["comp"] for r in rows], dtype=np.int64)
-    need, hot_list, mixed = [r["matches"] for r in rows], rows[0]["hot_list"], len(set(side.tolist())) > 1 or rows[0]["across"]
-    failed = [set(r["failed"] or ()) for r in rows]
-    tokens = [None] * g
-    found = []
+    label = np.unique(np.array([r["comp"] for r in rows], dtype=np.int64), return_inverse=True)[1]
+    left, need, hot_list, across = label.max() + 1, [r["matches"] for r in rows], rows[0]["hot_list"], rows[0]["across"]
+    tokens: list = [None] * g
+
+    def match(i: int, j: int) -> bool:
+        for x in (i, j):
+            if tokens[x] is None:
+                tokens[x] = np.frombuffer(rows[x]["tokens"], dtype=np.int64)
+        return len(np.intersect1d(tokens[i], tokens[j], assume_unique=True)) >= min(need[i], need[j], len(tokens[i]), len(tokens[j]))
+
     for i in range(g - 1):
+        if left == 1:
+            return
         m = n[i + 1 :]
-        limit = n[i] + m - 2 * (-(-num * (n[i] + m) // (den + num)))
-        ok = (num * np.maximum(n[i], m) <= den * np.minimum(n[i], m)) & (comp[i + 1 :] != comp[i])
+        ok = (num * np.maximum(n[i], m) <= den * np.minimum(n[i], m)) & (label[i + 1 :] != label[i])
         if hot_list:
             ok &= frequent[i] | frequent[i + 1 :]
-        if mixed:
+        if across:
             ok &= side[i + 1 :] != side[i]
-        at = np.flatnonzero(ok)
-        if len(at):
-            far = np.bitwise_count(bits[i + 1 + at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            keep = far <= limit[at]
-            found.append(np.stack([far[keep], np.full(int(keep.sum()), i), i + 1 + at[keep]]))
-    if not found:
-        return
-    far, first, second = np.concatenate(found, axis=1)
-    order = np.lexsort((second, first, far))
-    names, groups = np.unique(comp, return_inverse=True)
-    root, left = list(range(len(names))), len(names)
-
-    def find(x):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for o in order.tolist():
-        i, j = int(first[o]), int(second[o])
-        a, b = find(groups[i]), find(groups[j])
-        if a == b or rows[j]["node"] in failed[i] or rows[i]["node"] in failed[j]:
-            continue
-        for x in (i, j):
-            if tokens[x] is None:
-                tokens[x] = np.unique(np.frombuffer(rows[x]["tokens"], dtype=np.int64))
-        if len(np.intersect1d(tokens[i], tokens[j], assume_unique=True)) < min(need[i], need[j], len(tokens[i]), len(tokens[j])):
+        at = np.flatnonzero(ok) + i + 1
+        if not len(at):
             continue
-        yield rows[i]["bucket"], min(rows[i]["node"], rows[j]["node"]), max(rows[i]["node"], rows[j]["node"])
-        if not whole:
-            root[b] = a
-            left -= 1
-            if left == 1:
-                return
+        far = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        near = far <= n[i] + n[at] - 2 * (-(-num * (n[i] + n[at]) // (den + num)))
+        if rows[i]["failed"]:
+            near &= ~np.isin(node[at], np.array(rows[i]["failed"], dtype=np.int64))
+        at = at[near][np.argsort(far[near], kind="stable")]
+        if whole:
+            hits = [j for j in at.tolist() if match(i, j)]
+        else:
+            hits, labels = [], label[at]
+            for u in np.unique(labels).tolist():
+                j = next((j for j in at[labels == u].tolist() if match(i, j)), None)
+                if j is not None:
+                    hits.append(j)
+                    label[label == u] = label[i]
+                    left -= 1
+        for j in hits:
+            yield rows[i]["bucket"], min(rows[i]["node"], rows[j]["node"]), max(rows[i]["node"], rows[j]["node"])
 
 
 def _propose(num: int, den: int, whole: bool):
@@ -301,7 +311,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        cur = materialise(small, "stars")
+        done, cur = cur, materialise(small, "stars")
+        discard(done)
         state = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last:
             nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -309,29 +320,33 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = state
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, most: int = HOT, block: int = BLOCK) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row with a non-null id.
 
     Rows are linked if den * |A & B| >= num * |A | B| for their sets of k-word shingles; component_id is the
-    smallest id reachable by links. Fewer than k words are one shingle; null texts and texts without words
+    smallest id reachable by links. Shingles that more than `most` documents hold in their prefixes count as
+    frequent, and lists of frequent ones are dealt in blocks of `block` documents; neither changes a result. Fewer than k words are one shingle; null texts and texts without words
     have none and are linked with nothing. Rows that repeat an id are reduced to one: the row with the
     largest set. Other columns are ignored. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
     sk = materialise(base.mapInArrow(_sketch(k, num, den), "id long, s1 long, s2 long, n int, prefix array<long>, bits binary"), "sketches")
     if sk.groupBy("id").count().where("count > 1").limit(1).count():
-        sk = materialise(sk.groupBy("id").agg(F.max_by(F.struct("s1", "s2", "n", "prefix", "bits"), F.struct("n", "s1", "s2")).alias("r")).select("id", "r.*"), "sketches")
+        once = materialise(sk.groupBy("id").agg(F.max_by(F.struct("s1", "s2", "n", "prefix", "bits"), F.struct("n", "s1", "s2")).alias("r")).select("id", "r.*"), "sketches")
+        discard(sk)
+        sk = once
     copies = sk.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.count("*").alias("c")).where("c > 1").drop("c")
-
-    classes = sk.select("id", "s1", "s2", "n").join(copies, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("node", "id").alias("node"))
-    nodes = sk.where("n > 0").select("id", "s1", "s2", "n", "prefix").join(copies, ["s1", "s2", "n"], "left").where("node is null or node = id")
+    classes = materialise(sk.select("id", "s1", "s2", "n").join(copies, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("node", "id").alias("node")), "classes")
+    copied = classes.where("id <> node").select("id")
+    nodes = sk.where("n > 0").select("id", "n", "prefix").join(copied, "id", "left_anti")
     postings = nodes.select(F.col("id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
     held = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = materialise(postings.join(held, "token").groupBy("node", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("shared")), "shared")
-    release(spark)
+    grouped = postings.join(held, "token").groupBy("node", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("shared"))
+    chosen = grouped.select("node", "n", "shared.pos", "shared.df", "shared.token").mapInArrow(_decide(num, den, most), "node long, n int, matches int, frequent boolean, rare array<long>, hot array<long>, tokens binary")
+    chosen = materialise(chosen, "prefixes")
 
-    links = _links(sk, shared, base, k, num, den)
+    links = _links(sk, chosen, base, k, num, den, block)
+    discard(sk, chosen)
     if links is not None:
         comp = components(links)
         out = classes.join(comp, "node", "left").select("id", "n", F.coalesce("comp", "node").alias("component_id"))
@@ -340,50 +355,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def _links(sk: DataFrame, shared: DataFrame, base: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+def _links(sk: DataFrame, chosen: DataFrame, base: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame | None:
     """Verified pairs (a, b) that connect every two nodes which links connect; None if there are none."""
-    spark = sk.sparkSession
-    chosen = materialise(shared.mapInArrow(_decide(num, den), "node long, n int, matches int, frequent boolean, rare array<long>, hot array<long>, tokens binary"), "prefixes")
-
-    lists = chosen.select("node", F.explode("rare").alias("token")).groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1)
+    # In order of size, documents without a neighbour of compatible size have no partner in a list.
+    lists = chosen.select(F.struct("n", "node").alias("x"), F.explode("rare").alias("token")).groupBy("token").agg(F.sort_array(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
+    fits = lambda a, b: F.coalesce(den * a["n"] >= num * b["n"], F.lit(False))  # noqa: E731  a is the smaller one
+    paired = F.filter("xs", lambda x, i: fits(F.get("xs", i - 1), x) | fits(x, F.get("xs", i + 1)))
+    lists = lists.select("token", F.transform(paired, lambda x: x["node"]).alias("nodes")).where(F.size("nodes") > 1)
     rare = lists.groupBy("nodes").agg(F.min("token").alias("bucket")).select("bucket", F.lit(0).alias("side"), F.lit(False).alias("across"), F.lit(False).alias("hot_list"), F.explode("nodes").alias("node"))
 
     hot = chosen.select("node", "frequent", F.explode("hot").alias("token"))
     sizes = hot.groupBy("token").agg(F.count("*").alias("c"), F.bool_or("frequent").alias("any")).where("any and c > 1")
-    dealt = hot.join(sizes, "token").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = hot.join(sizes, "token").withColumn("blocks", F.ceil(F.col("c") / block).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.select("node", "token", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     often = dealt.select(F.xxhash64(F.lit(1), "token", F.least("side", "other"), F.greatest("side", "other")).alias("bucket"), "side", (F.col("side") != F.col("other")).alias("across"), F.lit(True).alias("hot_list"), "node")
     members = materialise(rare.unionByName(often), "lists")
-    if members.isEmpty():
-        return None
-
-    asked = members.select("node").distinct()
-    sets = materialise(base.select(F.col("id").alias("node"), "t").join(asked, "node").mapInArrow(_sets(k), "node long, s binary").groupBy("node").agg(F.max("s").alias("s")), "sets")
-    facts = materialise(chosen.select("node", "n", "matches", "frequent", "tokens").join(asked, "node").join(sk.select(F.col("id").alias("node"), "bits"), "node"), "facts")
-    release(spark)
+    facts = chosen.select("node", "n", "matches", "frequent", "tokens").join(sk.select(F.col("id").alias("node"), "bits"), "node")
 
-    links, failed, comp, proposed = None, None, None, members
+    links, failed, comp, proposed, again = None, None, None, members, None
     for turn in range(3):
-        info = facts
-        info = info.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comp is not None else info.withColumn("comp", F.col("node"))
+        info = facts.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comp is not None else facts.withColumn("comp", F.col("node"))
         if failed is not None:
-            info = info.join(failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed")), "node", "left")
+            both_ways = failed.union(failed.select("b", "a"))
+            info = info.join(both_ways.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed")), "node", "left")
         else:
             info = info.withColumn("failed", F.lit(None).cast("array<long>"))
         rows = proposed.join(info, "node").repartition("bucket").sortWithinPartitions("bucket", "node")
         pairs = materialise(rows.mapInArrow(_propose(num, den, turn == 2), "bucket long, a long, b long"), "pairs")
         whole = pairs.select("a", "b").distinct()
+        # Whole sets only of what is proposed, from the texts.
+        asked = whole.select(F.col("a").alias("node")).union(whole.select(F.col("b").alias("node"))).distinct()
+        sets = materialise(base.select(F.col("id").alias("node"), "t").join(asked, "node").mapInArrow(_sets(k), "node long, s binary").groupBy("node").agg(F.max_by("s", F.octet_length("s")).alias("s")), "sets")
         both = whole.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         checked = materialise(both.mapInArrow(_verify(num, den), "a long, b long, ok boolean"), "checked")
+        discard(sets)
         good = checked.where("ok").select("a", "b")
         links = good if links is None else links.unionAll(good)
         bad = checked.where("not ok").select("a", "b")
         if turn == 2 or bad.isEmpty():
             break
         failed = bad if failed is None else failed.unionAll(bad)
-        again = pairs.join(bad, ["a", "b"]).select("bucket").distinct()
+        again = materialise(pairs.join(bad, ["a", "b"]).select("bucket").distinct(), "again")
+        discard(pairs)
         proposed = members.join(again, "bucket")
         comp = components(links) if not links.isEmpty() else None
+    discard(members, pairs, again)
     return None if links.isEmpty() else links
 
 

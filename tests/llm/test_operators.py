@@ -1,0 +1,382 @@
+"""Edge cases and brute-force comparisons of the training-data operators."""
+
+import hashlib
+import io
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from keyloom.llm import bpe, chat, decontam, html_text, langid, linededup, ngram_join, quality, queries, rules, warc
+from keyloom.session import work_path
+
+DATA = "/root/testdata/sf0.001"
+LONG = "word other " * 30_000
+TEXTS = [(1, None), (2, ""), (3, " \t\n "), (4, "one two"), (5, LONG), (6, "one two"), (6, "one two"), (None, "no id here, but a text of more than twenty characters"), (7, "Ünïcode ЖЖ 日本 😀")]
+
+
+def docs(spark, rows=TEXTS):
+    """Documents with columns whose names clash with those that operators add or use."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.withColumns({c: F.lit("mine") for c in ("n_lines", "score", "ids", "kept", "n", "t", "w", "id", "row", "node", "_lines")})
+
+
+def empty(spark):
+    return docs(spark).limit(0)
+
+
+@pytest.fixture(scope="module")
+def con():
+    import pathlib
+
+    c = duckdb.connect()
+    for p in pathlib.Path(DATA).glob("*.parquet"):
+        c.execute(f"create view {p.stem} as select * from '{p}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, con, name):
+    df, want = queries.queries()[name](spark, DATA), con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(df.columns) == sorted(names)
+    text = lambda rows: sorted([str(x) for x in r] for r in rows)
+    assert text(df.select(*names).collect()) == text(want.fetchall())
+
+
+# --- 1 chat --------------------------------------------------------------------------------------------------------
+
+
+def test_escape_is_reversible_and_leaves_no_control_string():
+    rng, parts = random.Random(0), [*chat.CONTROL, "<", "\\", "|", "s>", "[", "INST]", "a", "<s", "[/"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(7)))
+        out = chat.escape(text)
+        assert chat.unescape(out) == text and not any(c in out for c in chat.CONTROL)
+
+
+def test_chat_edge_cases(spark):
+    rows = [(1, 2, "assistant", "b<|end|>"), (1, 1, "user", "a"), (1, 2, "assistant", "b<|end|>"), (2, None, None, None), (None, 1, "assistant", "x"), (None, 0, "user", ""), (3, 0, "assistant", LONG)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(1))
+    template = chat.Template(bpe.load_vocabulary())
+    out = {r["conv_id"]: r for r in chat.format_conversations(df, template).collect()}
+    decoder = bpe.Decoder(template.vocabulary)
+    back = lambda k: chat.read_back(np.array(out[k]["ids"]), np.array(out[k]["loss_mask"]), template, decoder)
+    assert back(1) == ([("user", "a"), ("assistant", "b<|end|>"), ("assistant", "b<|end|>")], ["b<|end|>"] * 2)
+    assert back(2) == ([("", "")], []) and back(None) == ([("user", ""), ("assistant", "x")], ["x"])
+    assert back(3)[1] == [LONG] and out[3]["formatted"] == f"{chat.BEGIN}{chat.TURN}assistant{chat.TEXT}{LONG}{chat.END}"
+    assert chat.format_conversations(df.limit(0), template).count() == 0
+
+
+# --- 2 BPE ---------------------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok, vocabulary = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), bpe.load_vocabulary()
+    rng = random.Random(5)
+    texts = ["", "a<|endoftext|>b<|endoftext|>", "aaaa aaaaaaa  \n\n x", "tabs\t\t x\r\n ", "日本語 テスト 123４５ café's I'll'", "\xa0　 x", "😀😀 👨‍👩‍👧", LONG] + ["".join(rng.choice("ab é'\n1!😀") for _ in range(60)) for _ in range(200)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in bpe.Encoder(vocabulary).encode_many(texts)] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon = bpe.build_lexicon(df, vocabulary, size=50)
+    out = bpe.decode_ids(bpe.encode_texts(df, vocabulary, lexicon), vocabulary).collect()
+    assert {r["doc_id"]: r["ids"] for r in out} == dict(enumerate(want))
+    assert {r["doc_id"]: r["decoded"] for r in out} == {i: tok.decode(w, skip_special_tokens=False) for i, w in enumerate(want)}
+
+
+def test_bpe_edge_cases(spark):
+    vocabulary = bpe.load_vocabulary()
+    out = bpe.encode_texts(docs(spark), vocabulary)
+    assert out.count() == len(TEXTS) and set(out.columns) == set(docs(spark).columns)
+    assert [r["ids"] for r in out.where("doc_id in (1, 2)").collect()] == [[], []]
+    assert bpe.encode_texts(empty(spark), vocabulary).count() == 0 and bpe.build_lexicon(empty(spark), vocabulary)
+    none = spark.createDataFrame([(1, None), (2, [])], "i int, ids array<int>")
+    assert [tuple(r) for r in bpe.decode_ids(none, vocabulary).select("i", "decoded").orderBy("i").collect()] == [(1, None), (2, "")]
+
+
+def test_lexicon_is_minimal(tmp_path):
+    words = {w.encode(): [i] for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops"])}
+    sizes = bpe.compile_lexicon(words, str(tmp_path / "x"))
+    lex = bpe.Lexicon(str(tmp_path / "x"))
+    assert sizes["states"] < 10 and lex.find([b"tap", b"to", b"stops", b"", b"z"]).tolist() == [2, -1, 1, -1, -1]
+    bpe.compile_lexicon({}, str(tmp_path / "y"))
+    assert bpe.Lexicon(str(tmp_path / "y")).find([b"a"]).tolist() == [-1]
+
+
+# --- 3 n-gram join -------------------------------------------------------------------------------------------------
+
+
+def brute_groups(rows, k, num, den):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}))
+        s = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+        if len(s) >= len(sets.get(i, ())):
+            sets[i] = s
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for x in ids:
+        for y in ids:
+            if x < y and sets[x] and den * len(sets[x] & sets[y]) >= num * len(sets[x] | sets[y]):
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_copies(rng, groups, size, words):
+    rows = []
+    for g in range(groups):
+        base = [f"w{rng.randrange(900)}" for _ in range(words)]
+        for _ in range(rng.randrange(1, size + 1)):
+            w = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                at, op = rng.randrange(len(w)), rng.random()
+                w[at : at + 1] = [] if op < 0.2 else [f"e{rng.randrange(10**6)}"] if op < 0.7 else [w[at], "more"]
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("k,num,den,most,block", [(3, 90, 100, 64, 2048), (5, 80, 100, 64, 2048), (3, 90, 100, 5, 4), (5, 80, 100, 2, 3)])
+def test_near_duplicates_equal_brute_force(spark, k, num, den, most, block):
+    """With few documents counting as frequent, large groups go through the blocks."""
+    rng = random.Random(k + most)
+    rows = near_copies(rng, 14, 14, 50) + [(900, None), (901, ""), (902, "A b"), (903, "a  B"), (904, "a"), (905, LONG)]
+    out = ngram_join.near_duplicates(docs(spark, [*rows, (None, "x y z")]), k=k, num=num, den=den, most=most, block=block).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_groups(rows, k, num, den)
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert ngram_join.near_duplicates(empty(spark)).count() == 0
+    one = ngram_join.near_duplicates(docs(spark)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in one) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 4), (7, 7)]
+
+
+def test_choice_of_matches():
+    rare = np.full(40, 2)
+    assert ngram_join.choose(np.arange(40), rare, 400, 90, 100)[1] is False
+    hot = np.full(400, 10**6)
+    assert ngram_join.choose(np.arange(400), hot, 400, 90, 100)[1] is True
+
+
+# --- 4 language ----------------------------------------------------------------------------------------------------
+
+
+def test_language_edge_cases(spark):
+    rows = [("the house and the tree", "en"), ("das haus und der baum", "de"), (None, "en"), ("le chat", None)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["de", "en"]
+    out = {r["text"]: (r["lang_pred"], r["score"]) for r in langid.predict_languages(spark.createDataFrame([("the haus tree",), ("HOUSES",), ("baumen",), ("12 !",), (None,), ("",)], "text string"), model).collect()}
+    assert out["12 !"] == out[None] == out[""] == ("und", 0.0)
+    assert out["HOUSES"][0] == "en" and out["baumen"][0] == "de" and all(0 <= s <= 1 for _, s in out.values())
+    assert langid.predict_languages(docs(spark), model).count() == len(TEXTS) and langid.predict_languages(empty(spark), model).count() == 0
+    nothing = langid.fit_languages(spark.createDataFrame([], "text string, lang string"))
+    assert {r["lang_pred"] for r in langid.predict_languages(docs(spark), nothing).collect()} == {"und"}
+
+
+def test_language_accuracy_held_out(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    out = langid.op4_language_id(spark, "/root/testdata/sf0.01").join(d, "doc_id").where("held_out")
+    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+
+
+# --- 5 lines -------------------------------------------------------------------------------------------------------
+
+
+def test_line_edge_cases(spark):
+    line = "This line is long enough to count"
+    rows = [(1, f"{line}\nshort\n{line}"), (2, f"  {line.upper()}\t\nx"), (3, f"{line}\n{line}"), (4, None), (5, ""), (None, line), (2, f"  {line.upper()}\t\nx"), (9, "\n".join([line] * 3000 + ["end"]))]
+    out = linededup.dedup_lines(docs(spark, rows))
+    got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()), key=str)
+    whole = "\n".join([line] * 3000 + ["end"])
+    assert got == sorted([(1, "short", 3, 2), (2, "x", 2, 1), (2, "x", 2, 1), (3, "", 2, 2), (4, "", 1, 0), (5, "", 1, 0), (None, line, 1, 0), (9, whole, 3001, 0)], key=str)
+    assert linededup.dedup_lines(empty(spark)).count() == 0 and "_lines" in out.columns
+
+
+# --- 6 WARC --------------------------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip_over_small_splits(spark):
+    rng = random.Random(2)
+    noise = "".join(chr(rng.randrange(32, 0x2FF)) for _ in range(200_000))
+    rows = [(i, f"http://x/{i} y", ["same", None, "", noise, "ü" * i][i % 5]) for i in range(60)] + [(70, None, "magic \x1f\u008b\x08 inside"), (70, None, "magic \x1f\u008b\x08 inside"), (None, "u", "no id")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit(0))
+    path = work_path(spark, "warc")
+    warc.write_warc(df.repartition(3), path)
+    out = {r["page_id"]: r for r in warc.read_warc(spark, path, split=777).collect()}
+    assert sorted(out) == [*range(60), 70]
+    first = {}
+    for i, _, html in rows[:61]:
+        raw, r = (html or "").encode(), out[i]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), warc.digest(raw))
+        owner = first.setdefault(raw, i)
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if owner == i else ("revisit", owner))
+        assert bytes(r["payload"]) == (raw if owner == i else b"")
+    none = work_path(spark, "warc")
+    warc.write_warc(df.limit(0), none)
+    assert warc.read_warc(spark, none).count() == 0
+
+
+def test_splits_own_each_record_once():
+    records = [warc.gzip_member(warc.record_bytes(i, "u", (b"\x1f\x8b\x08" * i) + b"x" * i, None)) for i in range(40)]
+    data = b"".join(records)
+    for size in (1, 13, 500, len(data)):
+        ids = [r[0] for s in range(0, len(data), size) for r in warc.records_in(io.BytesIO(data), s, min(len(data), s + size))]
+        assert ids == list(range(40))
+
+
+def test_large_member_ends_in_padding():
+    import gzip
+
+    big = warc.gzip_member(warc.record_bytes(1, "u", b"a" * (1 << 24), None))
+    assert big[-1] != 0 and gzip.decompress(big + b"\0").startswith(b"WARC/1.1")
+
+
+# --- 7 quality -----------------------------------------------------------------------------------------------------
+
+
+def test_quality_edge_cases(spark):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None), (4, 1)], "doc_id long, quality int")
+    model = quality.fit_quality(docs(spark), labels)
+    out = quality.score_quality(docs(spark), model)
+    assert out.count() == len(TEXTS) and all(0 <= r["score"] <= 1 for r in out.collect()) and sorted(out.columns) == sorted(docs(spark).columns)
+    nothing = quality.fit_quality(empty(spark), labels.limit(0))
+    assert {round(r["score"], 9) for r in quality.score_quality(docs(spark), nothing).collect()} == {0.7}
+    assert quality.score_quality(empty(spark), model).count() == 0
+
+
+def test_quality_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    out = quality.op7_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
+    assert out.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.95
+
+
+# --- 8 HTML --------------------------------------------------------------------------------------------------------
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><a href=x>Home</a></header><nav><ul><li><a>One</a></ul></nav>
+<div class="cookie-notice">We use cookies, fine?</div><div id=content><h2>Title &amp; more</h2><p>First paragraph,
+ with text. And more&nbsp;of it, indeed.<p>Second one <b>bold</b> text; it goes on, and on.<ul><li>item one<li>item two, with words</ul><script>var x = "<p>no</p>";</script>
+<div class='comments'><p>I liked it, a lot. Really, much. Indeed!</p></div></div><aside>Related: more, of this, here.</aside><form><input value=1><label>Mail</label></form><footer>2020, all rights.</footer>"""
+
+
+def test_html_extraction(spark):
+    want = "Title & more\nFirst paragraph, with text. And more of it, indeed.\nSecond one bold text; it goes on, and on.\nitem one\nitem two, with words"
+    assert html_text.main_text(PAGE) == want
+    for odd in (None, "", "<", "<p>", "<!-- <p>x", "<script>x", "</p></b>", "<p", "&nbsp;", "<a href='"):
+        assert isinstance(html_text.main_text(odd), str)
+    assert html_text.main_text("plain &lt;text&gt;") == "plain <text>"
+    df = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "page_id long, html string").withColumn("text", F.lit("mine"))
+    assert [r["text"] for r in html_text.extract_text(df).orderBy("page_id").collect()] == [want, "", ""]
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_articles_of_the_pages_are_whole(con):
+    import html
+
+    for _, page in con.execute("select page_id, html from pages").fetchall():
+        if page and (a := re.search(r"<article>(.*?)</article>", page, re.S)):
+            parts = re.split(r"</?(?:p|h1)>", a[1])
+            want = [t for p in parts if (t := " ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br>" in p else "", p)).split()))]
+            assert html_text.main_text(page) == "\n".join(want)
+
+
+# --- 9 rules -------------------------------------------------------------------------------------------------------
+
+
+def test_rules_edge_cases(spark):
+    out = rules.quality_rules(docs(spark))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.count() == len(TEXTS) and got[1]["n_words"] == got[2]["n_words"] == got[3]["n_words"] == 0 and not got[1]["kept"]
+    assert got[5]["n_words"] == 60_000 and got[5]["n_repeat_words"] == 60_000 and got[5]["base_failed"]
+    assert rules.quality_rules(empty(spark)).count() == 0
+    clean = "A sentence of plain words stands here, and another one follows it. " * 1 + "Then the text goes on with quite different matters, as texts do."
+    mixed = [(1, clean), (2, clean + "\nHome | News | Sport | Weather\nAll rights reserved."), (3, "BUY!! NOW!! BEST!! DEAL!! " * 6 + "x y"), (4, "\n".join(f"a{i} | b{i} | c{i} | d{i} |" for i in range(9)))]
+    kept = {r["doc_id"]: (r["kept"], r["clean_text"]) for r in rules.quality_rules(docs(spark, mixed)).collect()}
+    assert kept[1] == (True, clean) and kept[2] == (True, clean) and not kept[3][0] and not kept[4][0]
+
+
+# --- 10 decontamination --------------------------------------------------------------------------------------------
+
+
+def brute_contamination(texts, items, t=0.8):
+    words = lambda x: re.findall(r"[^\x20\x09-\x0D]+", (x or "").lower().translate({ord(c): None for c in decontam.MARKS}))
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    out = {}
+    for d, text in texts:
+        w = words(text)
+        g = grams(w)
+        for i, item in items:
+            n, ig = len(words(item)), Counter(grams(words(item)))
+            for s in range(max(0, len(w) - n) + 1) if ig else ():
+                c = Counter(g[s : s + n - 4])
+                inter = sum((c & ig).values())
+                sim = inter / (sum(c.values()) + sum(ig.values()) - inter)
+                if sim >= t:
+                    out[d, i] = max(sim, out.get((d, i), 0))
+    return out
+
+
+def test_contamination_equals_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: f"v{rng.randrange(400)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 70)))) for i in range(25)] + [(90, None), (91, "too short"), (92, "a b a b a b a b a b a b")]
+    texts = []
+    for d in range(60):
+        w = rng.choice(items[:25])[1].split()
+        for _ in range(rng.randrange(0, 4)):
+            at, op = rng.randrange(len(w)), rng.random()
+            w[at : at + 1] = [] if op < 0.3 else [word()] if op < 0.7 else [w[at].upper() + ",", word()]
+        texts.append((d, " ".join([word() for _ in range(rng.randrange(20))] + w + [word() for _ in range(rng.randrange(20))])))
+    texts += [(80, "x a b a b a b a b a b a b y"), (81, None), (82, ""), (83, LONG), (84, texts[0][1] + " " + LONG + " " + items[3][1])]
+    want = brute_contamination(texts, items)
+    out = decontam.contamination(docs(spark, [*texts, texts[0]]), spark.createDataFrame(items, "item_id long, text string").withColumn("w", F.lit(0)))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in out.collect()}
+    assert len(want) >= 15 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_decontaminate_keeps_clean_rows(spark):
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    rows = [*TEXTS, (50, "zero one two three four five six seven")]
+    out = decontam.decontaminate(docs(spark, rows), items)
+    assert out.count() == len(TEXTS) and out.columns == docs(spark).columns
+    assert decontam.decontaminate(docs(spark), items.limit(0)).count() == len(TEXTS)
+    assert decontam.decontaminate(empty(spark), items).count() == 0
+
+
+# --- pipeline ------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_equals_its_parts(spark):
+    import corpus_pipeline as p
+
+    out = {r["doc_id"]: r for r in p.run(spark, DATA).collect()}
+    whole = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality.fit_quality(whole, spark.read.parquet(f"{DATA}/labels.parquet"))
+    kept = [r for r in whole.collect() if model.scores(np.array([quality.features(r["text"])]))[0] >= model.threshold]
+    holders = defaultdict(set)
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    for r in kept:
+        for line in r["text"].split("\n"):
+            if len(key(line)) >= 20:
+                holders[key(line)].add(r["doc_id"])
+    cut = lambda r: "\n".join(x for x in r["text"].split("\n") if len(holders.get(key(x), ())) < 3 or max(holders[key(x)]) == r["doc_id"])
+    texts = [(r["doc_id"], cut(r)) for r in kept]
+    groups = brute_groups(texts, 5, 80, 100)
+    texts = [(i, t) for i, t in texts if groups[i][1] == i]
+    items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    bad = {d for d, _ in brute_contamination(texts, items)}
+    want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts if i not in bad}
+    assert {i: r["decoded_sha256"] for i, r in out.items()} == want
