@@ -26,6 +26,7 @@ Exact copies (equal sets, by a 128-bit digest) are represented by their smallest
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -364,8 +365,14 @@ def _links(sk: DataFrame, chosen: DataFrame, base: DataFrame, k: int, num: int,
     lists = lists.select("token", F.transform(paired, lambda x: x["node"]).alias("nodes")).where(F.size("nodes") > 1)
     rare = lists.groupBy("nodes").agg(F.min("token").alias("bucket")).select("bucket", F.lit(0).alias("side"), F.lit(False).alias("across"), F.lit(False).alias("hot_list"), F.explode("nodes").alias("node"))
 
-    hot = chosen.select("node", "frequent", F.explode("hot").alias("token"))
-    sizes = hot.groupBy("token").agg(F.count("*").alias("c"), F.bool_or("frequent").alias("any")).where("any and c > 1")
+    # Under a frequent shingle only partners of documents that need it count; others of another size can't be.
+    # A band is a hair wider than the ratio of sizes that can link, so such sizes lie in one band or two next to each other.
+    band = F.floor(F.log("n") / (math.log(den / num) + 1e-9)).cast("long")
+    hot = chosen.select("node", "frequent", band.alias("band"), F.explode("hot").alias("token"))
+    bands = hot.where("frequent").groupBy("token").agg(F.collect_set("band").alias("bands"))
+    near = F.arrays_overlap("bands", F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    hot = hot.join(bands, "token").where(F.col("frequent") | near).select("node", "token")
+    sizes = hot.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     dealt = hot.join(sizes, "token").withColumn("blocks", F.ceil(F.col("c") / block).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.select("node", "token", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     often = dealt.select(F.xxhash64(F.lit(1), "token", F.least("side", "other"), F.greatest("side", "other")).alias("bucket"), "side", (F.col("side") != F.col("other")).alias("across"), F.lit(True).alias("hot_list"), "node")
