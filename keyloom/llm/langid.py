@@ -8,7 +8,7 @@ n-grams of the longest length of which at least one is known, then by shorter on
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -63,10 +63,11 @@ def _count_words(batches):
 
 
 def _count_grams(batches):
-    counts: Counter = Counter()
+    counts: dict[tuple[str, int], dict[str, int]] = {}
+    size = 0
 
     def flush():
-        rows = [(*k, n) for k, n in counts.items()]
+        rows = [(lang, k, g, n) for (lang, k), c in counts.items() for g, n in c.items()]
         counts.clear()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "len", "g", "n"])
@@ -74,9 +75,12 @@ def _count_grams(batches):
     for b in batches:
         for lang, w, n in zip(*(c.to_pylist() for c in b.columns)):
             for k in LENGTHS:
+                if (c := counts.get((lang, k))) is None:
+                    c = counts[lang, k] = defaultdict(int)
                 for g in _grams(w, k):
-                    counts[lang, k, g] += n
-            if len(counts) > FLUSH:
+                    c[g] += n
+            size += 1
+            if size % 1000 == 0 and sum(map(len, counts.values())) > FLUSH:
                 yield from flush()
     yield from flush()
 
@@ -86,26 +90,26 @@ class LanguageModel:
     """Log frequencies by language: known words, and known n-grams of each length."""
 
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)
+    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    grams: dict[int, dict[str, tuple[float, ...]]] = field(default_factory=dict)
 
-    def word_score(self, word: str) -> np.ndarray:
+    def word_score(self, word: str) -> tuple[float, ...]:
         if (known := self.words.get(word)) is not None:
             return known
         for n in LENGTHS:
             table = self.grams.get(n, {})
             if found := [table[g] for g in _grams(word, n) if g in table]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
+                return tuple(sum(x) / len(found) for x in zip(*found))
+        return (0.0,) * len(self.languages)
 
 
-def _table(rows, index: dict[str, int], totals: np.ndarray, size: int) -> dict[str, np.ndarray]:
+def _table(rows, index: dict[str, int], totals: np.ndarray, size: int) -> dict[str, tuple[float, ...]]:
     counts: dict[str, np.ndarray] = {}
     for key, by_lang in rows:
         v = counts[key] = np.zeros(len(index))
         for lang, n in by_lang:
             v[index[lang]] += n
-    return {k: np.log((v + 0.5) / (totals + 0.5 * max(1, size))) for k, v in counts.items()}
+    return {k: tuple(np.log((v + 0.5) / (totals + 0.5 * max(1, size))).tolist()) for k, v in counts.items()}
 
 
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
@@ -152,7 +156,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     def run(batches):
         m = shared.value
         cache: dict[str, int] = {}
-        rows: list[np.ndarray] = []
+        rows: list[tuple[float, ...]] = []
         for b in batches:
             langs, scores = [], []
             for text in b.column(at).to_pylist():
@@ -164,11 +168,11 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
                 if len(cache) > CACHE:
                     cache.clear()
                     rows.clear()
-                for w in set(words).difference(cache):
+                counts = Counter(words)
+                for w in counts.keys() - cache.keys():
                     cache[w] = len(rows)
                     rows.append(m.word_score(w))
-                ids, n = np.unique(np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words)), return_counts=True)
-                total = n @ np.array([rows[i] for i in ids])
+                total = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) @ np.array([rows[cache[w]] for w in counts])
                 best = int(np.argmax(total))
                 langs.append(m.languages[best])
                 scores.append(float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum()))
