@@ -1,35 +1,27 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
+"""Benchmark decontamination: item-sized windows found by shared shingles, exact check, SimHash distance.
 
 DataFrame expressions only. Words are lower-cased and lose punctuation marks; similarity is the weighted
 Jaccard index of five-word shingles (a shingle weighs as often as it occurs).
 
 1. Windows. A window as long as an item can only reach the similarity if it shares at least
-   `2t/(1+t)` of the item's shingles with it, so fingerprints are only taken where a document holds
+   `2t/(1+t)` of the item's shingles with it, so windows are only taken where a document holds
    that many. For such a document and item, each shared shingle fixes an alignment (position in the
    document less position in the item). All window starts from one alignment to the next, up to one
    item length apart, are taken; between them the number of shared shingles has its maximum.
-2. Fingerprints of 128 bits: each bit is the sign of the sum over the window's words.
-3. Multi-index search: 8 blocks of 16 bits. Two fingerprints within 23 bits differ by at most 2 bits in
-   one block or more, so the index holds each block of each item with all its neighbours within 2 bits,
-   and a lookup of the 8 blocks finds every item within the radius.
-4. Exact weighted-shingle similarity of window and item decides.
-
-An edit that leaves a similarity of 0.8 touches few of the words, which moves a fingerprint by a few
-bits; a radius of 23 of 128 bits is far above that.
+2. Exact weighted-shingle similarity of window and item decides.
+3. Fingerprints of 128 bits, each bit the sign of the sum over the window's words, give the distance that
+   is reported for what was found. They don't decide: an edit that leaves a similarity of 0.8 can
+   change a tenth of the words, and no radius is sure to hold the bits that this moves.
 """
 
 from __future__ import annotations
 
-import math
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import materialise, pinned, words_of
 
-BLOCKS, BLOCK_BITS, NEAR = 8, 16, 2
-RADIUS = BLOCKS * (NEAR + 1) - 1
+BLOCKS, BLOCK_BITS = 8, 16
 #: Benchmarks up to so many words in all are broadcast; larger ones are joined by shuffles.
 MAX_BROADCAST_WORDS = 400_000
 MARKS = ".,;:!?\"'()[]{}«»“”„¿¡…"
@@ -60,10 +52,6 @@ def with_fingerprint(df: DataFrame, words: str, name: str) -> DataFrame:
     return pinned(df, **{name: F.array(*[block(k) for k in range(BLOCKS)])}).drop("_h")
 
 
-def _masks() -> list[int]:
-    return [sum(1 << b for b in c) for r in range(NEAR + 1) for c in combinations(range(BLOCK_BITS), r)]
-
-
 def _weighted(a: Column, b: Column) -> Column:
     """Weighted Jaccard index of two arrays taken as multisets."""
     common = F.array_intersect(a, b)
@@ -96,25 +84,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shared = grams.join(hint(index), "g").groupBy("id", "row", "item", "len").agg(F.count_distinct("pos").alias("n"), F.sort_array(F.collect_set(F.col("pos") - F.col("at"))).alias("ds")).where(F.col("n") >= need)
     d = F.col("ds")
     steps = F.flatten(F.transform(d, lambda x, i: F.sequence(x, F.greatest(x, F.least(F.coalesce(F.get(d, i + 1) - 1, x), x + F.col("len"))))))
-    starts = pinned(shared.select("id", "row", "len", "ds"), starts=steps).groupBy("id", "row").agg(F.collect_set(F.struct("len", "starts")).alias("spans"))
+    starts = pinned(shared.select("id", "row", "item", "len", "ds"), starts=steps).groupBy("id", "row").agg(F.collect_set(F.struct("item", "len", "starts")).alias("spans"))
 
     starts = starts.withColumnsRenamed({"id": "id2", "row": "row2"})
     joined = words.join(starts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2"))).select("id", "row", "w", "spans").dropDuplicates(["id", "row"])
     span = joined.select("id", "row", "w", F.explode("spans").alias("s"))
     last = F.greatest(F.lit(0), F.size("w") - F.col("s.len"))
     clipped = F.array_distinct(F.transform(F.col("s.starts"), lambda x: F.greatest(F.lit(0), F.least(x, last))))
-    windows = span.select("id", "row", "w", F.col("s.len").alias("len"), F.explode(clipped).alias("start")).dropDuplicates(["id", "row", "len", "start"])
+    windows = span.select("id", "w", "s.item", "s.len", F.explode(clipped).alias("start"))
     windows = pinned(windows, win=F.slice("w", F.col("start") + 1, F.col("len"))).drop("w")
-    windows = pinned(with_fingerprint(windows, "win", "fp"), wg=_grams(F.col("win"), shingle)).drop("win", "row")
+    windows = pinned(windows, wg=_grams(F.col("win"), shingle))
 
-    masks = F.array(*[F.lit(m) for m in _masks()])
     prints = with_fingerprint(items, "iw", "ifp").drop("iw")
-    entries = prints.select("item", "len", F.posexplode("ifp").alias("k", "v")).select("item", "len", "k", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    lookups = windows.select("id", "start", "len", "fp", "wg", F.posexplode("fp").alias("k", "v"))
-    near = lookups.join(hint(entries), ["len", "k", "v"]).drop("k", "v").dropDuplicates(["id", "start", "len", "item", "fp"])
-    both = near.join(hint(prints.drop("len")), "item")
+    both = windows.join(hint(prints), ["item", "len"])
+    found = pinned(both, sim=_weighted(F.col("wg"), F.col("ig"))).where(F.col("sim") >= similarity).drop("wg", "ig")
     distance = F.aggregate(F.zip_with("fp", "ifp", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    found = pinned(both.withColumn("distance", distance).where(F.col("distance") <= RADIUS), sim=_weighted(F.col("wg"), F.col("ig"))).where(F.col("sim") >= similarity)
+    found = with_fingerprint(found, "win", "fp").withColumn("distance", distance)
     best = found.groupBy("id", "item").agg(F.min(F.struct((-F.col("sim")).alias("s"), "start", "distance")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.start").cast("long").alias("start_word"), (-F.col("b.s")).alias("similarity"), F.col("b.distance").cast("long").alias("distance"))
 
@@ -129,6 +114,3 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     from keyloom.llm.common import read_table
 
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-
-
-assert RADIUS == 23 and len(_masks()) == 1 + math.comb(16, 1) + math.comb(16, 2)

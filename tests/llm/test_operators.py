@@ -347,6 +347,16 @@ def test_contamination_equals_brute_force(spark):
     assert len(want) >= 15 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_windows_with_a_replaced_end_equal_brute_force(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"r{rng.randrange(4000)}" for _ in range(50))) for i in range(150)]
+    texts = [(i, " ".join([*item.split()[:45], *(f"x{rng.randrange(4000)}" for _ in range(5))])) for i, item in items]
+    want = {(i, i): 41 / 51 for i, _ in items}
+    assert brute_contamination(texts[:3], items[:3]) == {k: v for k, v in want.items() if k[0] < 3}
+    out = decontam.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in out.collect()} == want
+
+
 def test_decontaminate_keeps_clean_rows(spark):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     rows = [*TEXTS, (50, "zero one two three four five six seven")]
