@@ -3,11 +3,12 @@
 DataFrame expressions only. Words are lower-cased and lose punctuation marks; similarity is the weighted
 Jaccard index of five-word shingles (a shingle weighs as often as it occurs).
 
-1. Windows. A window as long as an item can only reach the similarity if it shares at least
-   `2t/(1+t)` of the item's shingles with it, so windows are only taken where a document holds
-   that many. For such a document and item, each shared shingle fixes an alignment (position in the
-   document less position in the item). All window starts from one alignment to the next, up to one
-   item length apart, are taken; between them the number of shared shingles has its maximum.
+1. Windows. A window can only reach the similarity if it shares at least `t/(1+t)` of its own and the
+   item's shingles together, so windows are only taken where a document holds that many. A window has as
+   many shingles as the item, or all of a shorter document's. For such a document and item, each shared
+   shingle fixes an alignment (position in the document less position in the item). All window starts
+   from one alignment to the next, up to one item length apart, are taken; between them the number of
+   shared shingles has its maximum. A shorter document is one window.
 2. Exact weighted-shingle similarity of window and item decides.
 3. Fingerprints of 128 bits, each bit the sign of the sum over the window's words, give the distance that
    is reported for what was found. They don't decide: an edit that leaves a similarity of 0.8 can
@@ -78,10 +79,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).withColumn("row", F.xxhash64("t"))
     words = pinned(base.select("id", "row", "t"), w=normal_words(F.col("t"))).drop("t")
-    grams = words.select("id", "row", F.posexplode(_grams(F.col("w"), shingle)).alias("pos", "g"))
+    grams = words.select("id", "row", F.size("w").alias("size"), F.posexplode(_grams(F.col("w"), shingle)).alias("pos", "g"))
     index = items.select("item", "len", F.posexplode("ig").alias("at", "g"))
-    need = F.ceil((F.col("len") - (shingle - 1)) * F.lit(2 * similarity / (1 + similarity)) - 1e-9)
-    shared = grams.join(hint(index), "g").groupBy("id", "row", "item", "len").agg(F.count_distinct("pos").alias("n"), F.sort_array(F.collect_set(F.col("pos") - F.col("at"))).alias("ds")).where(F.col("n") >= need)
+    total = F.col("len") + F.least("len", "size") - 2 * (shingle - 1)
+    need = F.ceil(total * F.lit(similarity / (1 + similarity)) - 1e-9)
+    shared = grams.join(hint(index), "g").groupBy("id", "row", "size", "item", "len").agg(F.count_distinct("pos").alias("n"), F.sort_array(F.collect_set(F.col("pos") - F.col("at"))).alias("ds")).where(F.col("n") >= need)
     d = F.col("ds")
     steps = F.flatten(F.transform(d, lambda x, i: F.sequence(x, F.greatest(x, F.least(F.coalesce(F.get(d, i + 1) - 1, x), x + F.col("len"))))))
     starts = pinned(shared.select("id", "row", "item", "len", "ds"), starts=steps).groupBy("id", "row").agg(F.collect_set(F.struct("item", "len", "starts")).alias("spans"))

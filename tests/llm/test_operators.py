@@ -357,6 +357,17 @@ def test_windows_with_a_replaced_end_equal_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in out.collect()} == want
 
 
+def test_documents_shorter_than_an_item_equal_brute_force(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"s{rng.randrange(4000)}" for _ in range(rng.randrange(20, 70)))) for i in range(8)]
+    cut = [(i, item.split(), k) for i, item in items for k in range(1, len(item.split()) // 4)]
+    texts = [(100 * i + k, " ".join(w[:-k])) for i, w, k in cut] + [(5000 + 100 * i + k, " ".join(w[k:])) for i, w, k in cut]
+    want = brute_contamination(texts, items)
+    out = decontam.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in out.collect()}
+    assert 50 <= len(want) < len(texts) and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_decontaminate_keeps_clean_rows(spark):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     rows = [*TEXTS, (50, "zero one two three four five six seven")]
