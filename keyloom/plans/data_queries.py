@@ -131,6 +131,13 @@ def point_read_ambiguous(spark, d):
     return keyset.point_read(rows, rows, spec).where("matches > 1").select("l_orderkey", "l_linenumber", "matches").distinct()
 
 
+@query("point_read_ambiguous_whole", "select l_orderkey, l_linenumber, count(*) as matches from lineitem group by all having count(*) > 1")
+def point_read_ambiguous_whole(spark, d):
+    spec = TableSpec("lineitem", ("l_orderkey", "l_linenumber"), ("l_orderkey", "l_linenumber"))
+    rows = read_table(spark, d, "lineitem")
+    return keyset.point_read(rows, rows, spec).where("matches > 1").select("l_orderkey", "l_linenumber", "matches").distinct()
+
+
 @query("chunk_boundaries", "with c as (select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 1000 + 1 as chunk from orders) select chunk, min(o_orderkey) as first_key, max(o_orderkey) as last_key, count(*) as rows from c group by chunk")
 def chunk_boundaries(spark, d):
     return keyset.chunk_bounds(read_table(spark, d, "orders"), ORDERS, 1000)
@@ -143,6 +150,12 @@ def chunk_range_join(spark, d):
     return keyset.range_join(o, bounds, ORDERS, 2000).select("chunk", "o_orderkey", "o_custkey")
 
 
+@query("chunk_range_join_whole", "select (row_number() over (order by o_orderkey) - 1) // 2000 + 1 as chunk, o_orderkey, o_custkey from orders")
+def chunk_range_join_whole(spark, d):
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return keyset.range_join(o, keyset.chunk_bounds(o, ORDERS, 2000), ORDERS, 2000).select("chunk", "o_orderkey", "o_custkey")
+
+
 @query("composite_chunks", "select chunk, count(*) as rows, min(conv_id) as first_conv from (select conv_id, (row_number() over (order by conv_id, turn) - 1) // 100 + 1 as chunk from conversations) group by chunk")
 def composite_chunks(spark, d):
     return keyset.chunk_numbers(read_table(spark, d, "conversations"), CONVERSATIONS, 100).groupBy("chunk").agg(F.count("*").alias("rows"), F.min("conv_id").alias("first_conv"))
@@ -154,6 +167,13 @@ def evidence_batch(spark, d):
     return t.join(s.where("o_custkey < 20").select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
 
 
+@query("evidence_batch_whole", f"{ST} select t.o_orderkey, t.o_totalprice from t semi join (select o_orderkey from s where o_custkey % 20 = 0) k using (o_orderkey)")
+def evidence_batch_whole(spark, d):
+    """A batch that grows with the table: the orders of each twentieth customer."""
+    s, t = sides(spark, d)
+    return t.join(s.where("o_custkey % 20 = 0").select("o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
+
+
 # --- counts and checksums ------------------------------------------------------------------------------
 
 COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "price", "o_orderdate", "o_orderpriority"]
@@ -197,6 +217,14 @@ def bucket_checksum_diff(spark, d):
     return validate.checksum_diff(s.where("o_custkey < 3000"), t.where("o_custkey < 3000 and o_custkey % 50 <> 7"), COLS, F.col("o_custkey") % 50)
 
 
+@query("bucket_checksum_diff_whole", f"""{ST}, a as (select o_custkey % 50 as bucket, count(*) as source_rows, {SUM} as source_checksum from s group by 1),
+  b as (select o_custkey % 50 as bucket, count(*) as target_rows, {SUM} as target_checksum from t where o_custkey % 50 <> 7 group by 1)
+  select * from a full join b using (bucket) where source_rows is distinct from target_rows or source_checksum is distinct from target_checksum""")
+def bucket_checksum_diff_whole(spark, d):
+    s, t = map(priced, sides(spark, d))
+    return validate.checksum_diff(s, t.where("o_custkey % 50 <> 7"), COLS, F.col("o_custkey") % 50)
+
+
 @query("checksum_text_types", """select count(*) as row_count, coalesce(bit_xor(('0x' || substr(md5(case when conv_id is null then 'N' else octet_length(encode(conv_id::varchar)) || ':' || conv_id end || case when text is null then 'N' else octet_length(encode(text)) || ':' || text end), 1, 16))::ubigint), 0)::decimal(20,0) as checksum from conversations""")
 def checksum_text_types(spark, d):
     c = read_table(spark, d, "conversations")
