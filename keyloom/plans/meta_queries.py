@@ -474,12 +474,26 @@ def control_upsert(spark, d):
     return control.upsert_latest(old, new, ["o_orderkey"], "version")
 
 
+@query("control_upsert_whole", "select o_orderkey, case when o_orderkey % 2 = 0 then 2 else 1 end as version, case when o_orderkey % 2 = 0 then 'new' else 'old' end as state from orders union all select -1, 1, 'new'")
+def control_upsert_whole(spark, d):
+    o = read_table(spark, d, "orders").select("o_orderkey")
+    old = o.withColumns({"version": F.lit(1), "state": F.lit("old")})
+    new = o.where("o_orderkey % 2 = 0").withColumns({"version": F.lit(2), "state": F.lit("new")}).unionByName(spark.createDataFrame([(-1, 1, "new")], "o_orderkey long, version int, state string"))
+    return control.upsert_latest(old, new, ["o_orderkey"], "version")
+
+
 @query("control_insert_if_absent", "select o_orderkey, case when o_orderkey % 3 = 0 then 'old' else 'new' end as state from orders where o_orderkey < 500")
 def control_insert_if_absent(spark, d):
     o = read_table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey")
     return control.insert_if_absent(o.where("o_orderkey % 3 = 0").withColumn("state", F.lit("old")), o.withColumn("state", F.lit("new")), ["o_orderkey"])
 
 
+@query("control_insert_if_absent_whole", "select o_orderkey, case when o_orderkey % 3 = 0 then 'old' else 'new' end as state from orders")
+def control_insert_if_absent_whole(spark, d):
+    o = read_table(spark, d, "orders").select("o_orderkey")
+    return control.insert_if_absent(o.where("o_orderkey % 3 = 0").withColumn("state", F.lit("old")), o.withColumn("state", F.lit("new")), ["o_orderkey"])
+
+
 @query("ledger_resolve", "select o_orderkey, case when o_orderkey % 5 = 0 then 'resolved' when o_custkey < 50 then 'resolved' else 'unresolved' end as status, case when o_orderkey % 5 = 0 then 'r0' when o_custkey < 50 then 'r1' end as run_id from orders where o_orderkey < 3000")
 def ledger_resolve(spark, d):
     o = read_table(spark, d, "orders").where("o_orderkey < 3000").select("o_orderkey", "o_custkey")
@@ -488,6 +502,14 @@ def ledger_resolve(spark, d):
     return control.resolve(led, F.col("o_custkey") < 50, "r1", "e1").select("o_orderkey", "status", "run_id")
 
 
+@query("ledger_resolve_whole", "select o_orderkey, case when o_orderkey % 5 = 0 then 'resolved' when o_custkey < 50 then 'resolved' else 'unresolved' end as status, case when o_orderkey % 5 = 0 then 'r0' when o_custkey < 50 then 'r1' end as run_id from orders")
+def ledger_resolve_whole(spark, d):
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    done = F.col("o_orderkey") % 5 == 0
+    led = o.withColumns({"status": F.when(done, "resolved").otherwise("unresolved"), "run_id": F.when(done, "r0"), "evidence": F.when(done, "e0")})
+    return control.resolve(led, F.col("o_custkey") < 50, "r1", "e1").select("o_orderkey", "status", "run_id")
+
+
 @query("checkpoint_compare_and_set", "select * from (values ('a', 'new'), ('b', 'other')) v(name, value)")
 def checkpoint_compare_and_set(spark, d):
     t = spark.createDataFrame([("a", "old"), ("b", "other")], "name string, value string")
@@ -540,3 +562,10 @@ def audit_events(spark, d):
     return o.select("o_orderkey", F.to_json(F.struct(F.lit("reconciled").alias("event"), F.col("o_orderkey").alias("key"), action.alias("action"))).alias("event"))
 
 
+@query("audit_events_whole", "select o_orderkey, '{\"event\":\"reconciled\",\"key\":' || o_orderkey || ',\"action\":\"' || case when o_orderkey % 2 = 0 then 'update' else 'delete' end || '\"}' as event from orders")
+def audit_events_whole(spark, d):
+    o = read_table(spark, d, "orders")
+    action = F.when(F.col("o_orderkey") % 2 == 0, "update").otherwise("delete")
+    return o.select("o_orderkey", F.to_json(F.struct(F.lit("reconciled").alias("event"), F.col("o_orderkey").alias("key"), action.alias("action"))).alias("event"))
+
+
