@@ -75,14 +75,18 @@ def split_known(rows: DataFrame, width: Column) -> tuple[DataFrame, DataFrame]:
     return rows.where(ok), rows.where(~F.coalesce(ok, F.lit(False)))
 
 
-def bounded_stop(log: DataFrame, stop: int) -> DataFrame:
+def bounded_stop(log: DataFrame, stop: int, file: int | None = None) -> DataFrame:
     """One row with the decision on an inclusive stop position: events applied and `outcome`:
-    reached, inside_event, inside_transaction or not_reached. log: pos (end), start_pos, event_type."""
+    reached, inside_event, inside_transaction or not_reached. log: pos (end), start_pos, event_type.
+    With the number of a file the stop lies in that file, and log has file too and may hold many files."""
+    here = F.lit(True) if file is None else file_number(F.col("file")) == file
+    at = F.col("pos") if file is None else coordinate(F.col("file"), F.col("pos"))
+    end = F.lit(stop) if file is None else F.struct(F.lit(file).cast("long").alias("file"), F.lit(stop).cast("long").alias("pos"))
     facts = log.agg(
-        F.count_if(F.col("pos") <= stop).alias("applied"),
-        F.bool_or(F.col("pos") == stop).alias("hit"),
-        F.bool_or((F.col("start_pos") < stop) & (F.col("pos") > stop)).alias("inside"),
-        F.max_by(F.when(F.col("event_type").isin("rows", "commit"), F.col("event_type")), F.when(F.col("event_type").isin("rows", "commit") & (F.col("pos") <= stop), F.col("pos"))).alias("last"),
+        F.count_if(at <= end).alias("applied"),
+        F.bool_or(at == end).alias("hit"),
+        F.bool_or(here & (F.col("start_pos") < stop) & (F.col("pos") > stop)).alias("inside"),
+        F.max_by(F.when(F.col("event_type").isin("rows", "commit"), F.col("event_type")), F.when(F.col("event_type").isin("rows", "commit") & (at <= end), at)).alias("last"),
     )
     outcome = F.when(F.col("hit") & (F.coalesce("last", F.lit("commit")) == "rows"), "inside_transaction").when(F.col("hit"), "reached").when(F.col("inside"), "inside_event").otherwise("not_reached")
     return facts.select("applied", outcome.alias("outcome"))

@@ -131,6 +131,22 @@ def cdc_bounded_stop(spark, d):
     return out
 
 
+@query("cdc_bounded_stop_whole", f"""with {LOG}, m as (select count(*) as n, max(event_id) as last, max(event_id) filter (where event_type = 'purchase') as bought, max(event_id) filter (where event_type = 'click') as clicked from events)
+  select f as stop_file, pos - 5 as stop, n - 1 as applied, 'inside_event' as outcome from log, m where event_id = last union all select f + 1, 5, n, 'not_reached' from log, m where event_id = last
+  union all select f, pos, (select count(*) from events, m where event_id <= bought), 'reached' from log, m where event_id = bought
+  union all select f, pos, (select count(*) from events, m where event_id <= clicked), 'inside_transaction' from log, m where event_id = clicked""")
+def cdc_bounded_stop_whole(spark, d):
+    """Stops in the last files, over the log of all files."""
+    events = events_log(spark, d)
+    log = changelog.previous_end(events).withColumn("event_type", F.when(F.col("event_type") == "purchase", "commit").otherwise("rows"))
+    at = events.agg(F.max("coord").alias("last"), *[F.max(F.when(F.col("event_type") == x, F.col("coord"))).alias(x) for x in ("purchase", "click")]).first()
+    out = changelog.bounded_stop(log.limit(0), 0, 0).select(F.lit(0).cast("long").alias("stop_file"), F.lit(0).cast("long").alias("stop"), "applied", "outcome").limit(0)
+    stops = [(at["last"]["file"], at["last"]["pos"] - 5), (at["last"]["file"] + 1, 5)] if at["last"] else []
+    for file, stop in stops + [tuple(at[x]) for x in ("purchase", "click") if at[x]]:
+        out = out.unionByName(changelog.bounded_stop(log, stop, file).select(F.lit(file).cast("long").alias("stop_file"), F.lit(stop).cast("long").alias("stop"), "applied", "outcome"))
+    return out
+
+
 @query("cdc_no_overtake", f"with {LOG} select count(*) as rows, max(event_id) as last_event from log where event_id <= coalesce((select min(event_id) from log where user_id = 33 and event_type = 'error'), 9223372036854775807)")
 def cdc_no_overtake(spark, d):
     log = events_log(spark, d)
@@ -143,6 +159,12 @@ def cdc_not_advancing(spark, d):
     return changelog.must_advance(log).select("seq", "pos")
 
 
+@query("cdc_not_advancing_whole", f"with {LOG}, x as (select file, pos, (event_id * 37) % 1009 as seq from log), p as (select *, lag(pos) over (partition by file order by seq) as p from x) select file, seq, pos from p where pos <= p")
+def cdc_not_advancing_whole(spark, d):
+    log = events_log(spark, d).select("file", "pos", ((F.col("event_id") * 37) % 1009).alias("seq"))
+    return changelog.must_advance(log).select("file", "seq", "pos")
+
+
 POLICY = "case event_type when 'signup' then 'table_map' when 'click' then 'insert' when 'view' then 'update' when 'error' then 'annotation' else 'commit' end"
 
 

@@ -205,3 +205,12 @@ def test_stream_replays_once(spark):
     target.lease("one")
     with pytest.raises(RuntimeError):
         target.lease("two")
+
+
+def test_bounded_stop_in_a_later_file(spark):
+    from keyloom.operators import changelog
+
+    rows = [(f, p, p - 10, "commit" if p == 30 else "rows") for f in ("log.1", "log.2") for p in (10, 20, 30)]
+    log = spark.createDataFrame(rows, "file string, pos long, start_pos long, event_type string")
+    got = {s: tuple(changelog.bounded_stop(log, s[1], s[0]).first()) for s in ((1, 15), (2, 30), (2, 20), (2, 15), (3, 5))}
+    assert got == {(1, 15): (1, "inside_event"), (2, 30): (6, "reached"), (2, 20): (5, "inside_transaction"), (2, 15): (4, "inside_event"), (3, 5): (6, "not_reached")}
