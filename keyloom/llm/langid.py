@@ -1,152 +1,240 @@
 """Language identification by known words, backing off to character n-grams for unseen ones.
 
-Word counts by language cover every training document. The most frequent words form the lexicon; a known
-word scores its log frequency in each language. An unseen word is padded and scored by its character
-n-grams of the longest length of which at least one is known, then by shorter ones.
+Word counts by language cover every training document. The most frequent words of each language form the
+lexicon; a known word scores its log frequency in each language. An unseen word is padded and scored by
+the mean over its known character n-grams of the longest length of which at least one is known, then by
+shorter ones. A document's score is the sum over its words.
+
+Words and their counts are made batch by batch on whole Arrow columns; n-grams are 64-bit hashes of code
+points, looked up in sorted arrays. Nothing runs word by word in Python but the splitting of overlong ones.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import held_out, materialise, read_table
+from keyloom.llm.common import discard, held_out, materialise, read_table
 
-#: Entries that the model keeps at most: words, and n-grams of each length, by count over all languages.
-MAX_WORDS = 60_000
-MAX_GRAMS = 30_000
+#: Entries that the model keeps at most of each language: words, and n-grams of each length.
+MAX_WORDS = 30_000
+MAX_GRAMS = 10_000
 LENGTHS = (5, 4, 3, 2, 1)
-#: Counters are passed on when they hold so many entries, which bounds a task's memory.
-FLUSH = 250_000
-#: Distinct words whose scores a task remembers.
-CACHE = 200_000
-#: Longer runs of letters are scored by the n-grams of all their parts of this length.
+#: Bytes of text that are split at once, and words whose n-grams are counted at once.
+SLICE, WORDS = 1 << 22, 100_000
+#: Longer runs of letters count as words of this length each.
 LONG_WORD = 64
 
-WORD = re.compile(r"[^\W\d_]+")
+#: What parts words, and what makes a word one: marks alone are none.
+BREAK, LETTER = r"[^\p{L}\p{M}]+", r"\p{L}"
 
+_U = np.uint64
 
-def _words(text: str) -> list[str]:
-    found = WORD.findall(text.lower())
-    if any(len(w) > LONG_WORD for w in found):
-        found = [w[i : i + LONG_WORD] for w in found for i in range(0, len(w), LONG_WORD)]
-    return found
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
-def _grams(word: str, n: int) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
+def _slices(texts: pa.Array):
+    """Cuts of a column that hold about SLICE bytes each, or one longer text."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    at = 0
+    while at < len(texts):
+        past = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, past + SLICE, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
 
-def _count_words(batches):
-    counts: dict[str, Counter] = {}
 
-    def flush():
-        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-        counts.clear()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["lang", "w", "n"])
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct lower-cased words of texts, the places of all words among them, and where each text's begin.
 
-    for b in batches:
-        for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            counts.setdefault(lang, Counter()).update(_words(text))
-            if sum(map(len, counts.values())) > FLUSH:
-                yield from flush()
-    yield from flush()
+    Each text has at least one word, which may be empty or hold no letter; those don't count.
+    """
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), BREAK)
+    starts = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(parts), dtype=np.int64))])[:-1]
+    coded = parts.flatten().dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices, dtype=np.int64), starts
 
 
-def _count_grams(batches):
-    counts: dict[tuple[str, int], dict[str, int]] = {}
-    size = 0
+def _pieces(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of at most LONG_WORD code points that words with a letter are made of, and the place of the word each is from."""
+    place = np.flatnonzero(np.asarray(pc.match_substring_regex(words, LETTER)))
+    words = words.take(pa.array(place))
+    long = np.asarray(pc.greater(pc.utf8_length(words), LONG_WORD))
+    if not long.any():
+        return words, place
+    cut = [(w[i : i + LONG_WORD], p) for w, p in zip(words.filter(pa.array(long)).to_pylist(), place[long].tolist()) for i in range(0, len(w), LONG_WORD)]
+    return pa.concat_arrays([words.filter(pa.array(~long)), pa.array([w for w, _ in cut], words.type)]), np.concatenate([place[~long], [p for _, p in cut]])
+
+
+def _count_words(batches):
+    for b in batches:
+        langs = b.column(1)
+        for lang in pc.unique(langs).to_pylist():
+            for texts in _slices(b.column(0).filter(pc.equal(langs, lang))):
+                words, places, _ = _split(texts)
+                pieces, place = _pieces(words)
+                n = np.bincount(places, minlength=len(words))[place]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(pieces), pa.string()), pieces, pa.array(n, pa.int64())], ["lang", "w", "n"])
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """For each code point of the padded words: the word's place, the code points left in it, and by length the hash of the n-gram from there."""
+    points = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), dtype=np.uint32).astype(_U)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.cumsum(sizes)[owner] - np.arange(len(points))
+    hashes, h = {}, np.zeros(len(points), dtype=_U)
+    for k in range(1, max(LENGTHS) + 1):
+        ahead = np.zeros(len(points), dtype=_U)
+        ahead[: max(0, len(points) - k + 1)] = points[k - 1 :]
+        h = hashes[k] = _mix(h * _U(0x9E3779B97F4A7C15) + ahead + _U(k))
+    return owner, left, hashes
 
-    def flush():
-        rows = [(lang, k, g, n) for (lang, k), c in counts.items() for g, n in c.items()]
-        counts.clear()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "len", "g", "n"])
 
+def _count_grams(batches):
+    def counted(parts):
+        t = pa.Table.from_batches(parts)
+        langs, weights = t.column("lang").combine_chunks().dictionary_encode(), np.asarray(t.column("n"))
+        owner, left, hashes = _grams(t.column("w").to_pylist())
+        lang = np.asarray(langs.indices)[owner]
+        for k in LENGTHS:
+            for i, name in enumerate(langs.dictionary.to_pylist()):
+                here = (left >= k) & (lang == i)
+                h, inverse = np.unique(hashes[k][here], return_inverse=True)
+                n = np.bincount(inverse, weights=weights[owner[here]], minlength=len(h)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array([k] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "len", "h", "n"])
+
+    parts, size = [], 0
     for b in batches:
-        for lang, w, n in zip(*(c.to_pylist() for c in b.columns)):
-            for k in LENGTHS:
-                if (c := counts.get((lang, k))) is None:
-                    c = counts[lang, k] = defaultdict(int)
-                for g in _grams(w, k):
-                    c[g] += n
-            size += 1
-            if size % 1000 == 0 and sum(map(len, counts.values())) > FLUSH:
-                yield from flush()
-    yield from flush()
+        parts.append(b)
+        size += b.num_rows
+        if size >= WORDS:
+            yield from counted(parts)
+            parts, size = [], 0
+    if size:
+        yield from counted(parts)
 
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: known words, and known n-grams of each length."""
+    """Log frequencies by language: of known words, and of known n-grams by their ascending hashes."""
 
     languages: list[str]
-    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
-    grams: dict[int, dict[str, tuple[float, ...]]] = field(default_factory=dict)
-
-    def word_score(self, word: str) -> tuple[float, ...]:
-        if (known := self.words.get(word)) is not None:
-            return known
-        for n in LENGTHS:
-            table = self.grams.get(n, {})
-            if found := [table[g] for g in _grams(word, n) if g in table]:
-                return tuple(sum(x) / len(found) for x in zip(*found))
-        return (0.0,) * len(self.languages)
+    words: list[str] = field(default_factory=list)
+    word_values: np.ndarray | None = None
+    grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words that aren't in the lexicon, a row each."""
+        owner, left, hashes = _grams(words)
+        scores, todo = np.zeros((len(words), len(self.languages))), np.ones(len(words), dtype=bool)
+        for k in LENGTHS:
+            known, values = self.grams[k]
+            at = np.flatnonzero((left >= k) & todo[owner])
+            if not len(known) or not len(at):
+                continue
+            h = hashes[k][at]
+            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[place] == h
+            own, place = owner[at[hit]], place[hit]
+            found = np.bincount(own, minlength=len(words))
+            for x in range(len(self.languages)):
+                scores[:, x] += np.bincount(own, weights=values[place, x], minlength=len(words)) / np.maximum(1, found)
+            todo &= found == 0
+        return scores
+
+    def scores(self, texts: pa.Array, lexicon: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over each text's words by language, and whether it has a word; lexicon is `words` as an array."""
+        words, places, starts = _split(texts)
+        pieces, place = _pieces(words)
+        index = pc.index_in(pieces, value_set=lexicon)
+        known = np.asarray(pc.is_valid(index))
+        values = np.zeros((len(pieces), len(self.languages)))
+        values[known] = self.word_values[np.asarray(index.drop_null())]
+        values[~known] = self.unseen(pieces.filter(pa.array(~known)).to_pylist())
+        sums = np.empty((len(texts), len(self.languages)))
+        for x in range(len(self.languages)):
+            sums[:, x] = np.add.reduceat(np.bincount(place, weights=values[:, x], minlength=len(words))[places], starts)
+        count = np.bincount(place, minlength=len(words)) > 0
+        return sums, np.logical_or.reduceat(count[places], starts)
+
+
+def _bucket(n: Column) -> Column:
+    """n rounded down to three digits, so that there are few different values at any size."""
+    unit = F.pow(F.lit(10), F.greatest(F.lit(0), F.length(n.cast("string")) - 3)).cast("long")
+    return n - F.pmod(n, unit)
+
+
+def _most_frequent(counts: DataFrame, by: list[str], key: str, limit: int) -> DataFrame:
+    """Rows of counts with keys that are among the most frequent of a group in `by`, in all groups' rows.
+
+    A group's keys are those with a count, rounded down to three digits, from the lowest on that at most
+    limit keys reach: a histogram finds it, no ranking of all keys. Equal counts are in or out together.
+    """
+    sizes = counts.groupBy(*by, _bucket(F.col("n")).alias("cut")).agg(F.count("*").alias("c"))
+    reached = F.sum("c").over(Window.partitionBy(*by).orderBy(F.desc("cut")))
+    cuts = sizes.withColumn("r", reached).where(F.col("r") <= limit).groupBy(*by).agg(F.min("cut").alias("cut"))
+    same = [x for x in by if x != "lang"] + [key]
+    kept = counts.join(F.broadcast(cuts), by).where("n >= cut").select(*same).distinct()
+    return counts.join(F.broadcast(kept), same)  # at most limit rows a group
 
 
-def _table(rows, index: dict[str, int], totals: np.ndarray, size: int) -> dict[str, tuple[float, ...]]:
-    counts: dict[str, np.ndarray] = {}
-    for key, by_lang in rows:
-        v = counts[key] = np.zeros(len(index))
-        for lang, n in by_lang:
-            v[index[lang]] += n
-    return {k: tuple(np.log((v + 0.5) / (totals + 0.5 * max(1, size))).tolist()) for k, v in counts.items()}
+def _values(keys: pa.Array, langs: pa.Array, n: pa.Array, languages: list[str], totals: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    coded = keys.dictionary_encode()
+    counts = np.zeros((len(coded.dictionary), len(languages)))
+    counts[np.asarray(coded.indices), np.asarray(pc.index_in(langs, value_set=pa.array(languages, pa.string())))] = np.asarray(n)
+    return coded.dictionary, np.log((counts + 0.5) / (totals + 0.5 * max(1, len(counts))))
 
 
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
     """Learn from every row of docs with text and language; counts cover all of them.
 
-    The lexicon keeps the max_words most frequent words and the max_grams most frequent n-grams of each
-    length (ties: the smaller string); everything else counts as unseen and backs off.
+    The lexicon keeps at most max_words words and max_grams n-grams of each length of each language, those
+    with the highest counts; a run of equal counts that doesn't fit as a whole is left out. Everything else
+    counts as unseen and backs off. An empty table, or one without texts and languages, gives a model without languages.
     """
     rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
     words = materialise(rows.mapInArrow(_count_words, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")), "words")
-    grams = words.mapInArrow(_count_grams, "lang string, len int, g string, n long").groupBy("len", "g", "lang").agg(F.sum("n").alias("n"))
-    grams = materialise(grams, "grams")
-    totals = {r["lang"]: (r["n"], r["v"]) for r in words.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    languages = sorted(totals)
-    if not languages:
-        return LanguageModel([])
-    index = {x: i for i, x in enumerate(languages)}
-
-    def top(df: DataFrame, key: str, limit: int):
-        by = df.groupBy(key).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        return [(r[key], r["by"]) for r in by.orderBy(F.desc("all"), key).limit(limit).collect()]
-
-    known = top(words, "w", max_words)
-    tot = np.array([float(totals[x][0]) for x in languages])
-    gram_totals = {(r["len"], r["lang"]): float(r["n"]) for r in grams.groupBy("len", "lang").agg(F.sum("n").alias("n")).collect()}
-    model = LanguageModel(languages, _table(known, index, tot, len(known)))
-    for n in LENGTHS:
-        part = top(grams.where(F.col("len") == n), "g", max_grams)
-        model.grams[n] = _table(part, index, np.array([gram_totals.get((n, x), 0.0) for x in languages]), len(part))
+    grams = materialise(words.mapInArrow(_count_grams, "lang string, len int, h long, n long").groupBy("len", "h", "lang").agg(F.sum("n").alias("n")), "grams")
+    totals = {(r["len"], r["lang"]): float(r["n"]) for r in words.select(F.lit(0).alias("len"), "lang", "n").unionByName(grams.select("len", "lang", "n")).groupBy("len", "lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted({lang for _, lang in totals})
+    model = LanguageModel(languages)
+    if languages:
+        total = {k: np.array([totals.get((k, x), 0.0) for x in languages]) for k in (0, *LENGTHS)}
+        found = _most_frequent(words, ["lang"], "w", max_words).select("w", "lang", "n").toArrow().combine_chunks()
+        known, model.word_values = _values(*(_column(found, c) for c in ("w", "lang", "n")), languages, total[0])
+        model.words = known.to_pylist()
+        found = _most_frequent(grams, ["len", "lang"], "h", max_grams).select("len", "h", "lang", "n").toArrow()
+        for k in LENGTHS:
+            part = found.filter(pc.equal(found.column("len"), k))
+            known, values = _values(*(_column(part, c) for c in ("h", "lang", "n")), languages, total[k])
+            known = np.asarray(known).view(_U)
+            model.grams[k] = (np.sort(known), values[np.argsort(known)])
+    discard(words, grams)
     return model
 
 
+def _column(table: pa.Table, name: str) -> pa.Array:
+    c = table.column(name)
+    return pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """docs with lang_out and score_out (columns of those names are replaced).
 
     The language is `und` with score 0 if the text is null or has no letter, or if nothing was learnt.
-    The score is the posterior share of the language. Ties go to the smaller name. Whole texts count.
+    The score is the posterior share of the language. Ties go to the smaller name. Whole texts count;
+    repeated rows get equal results, other columns pass through, an empty table stays empty.
     """
     kept = docs.drop(lang_out, score_out)
     at = kept.columns.index(text_col)
@@ -155,28 +243,21 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
 
     def run(batches):
         m = shared.value
-        cache: dict[str, int] = {}
-        rows: list[tuple[float, ...]] = []
+        lexicon = pa.array(m.words, pa.string())
+        names = np.array([*m.languages, "und"], dtype=object)
         for b in batches:
-            langs, scores = [], []
-            for text in b.column(at).to_pylist():
-                words = _words(text) if text and m.languages else []
-                if not words:
-                    langs.append("und")
-                    scores.append(0.0)
+            best, score = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+            for texts in _slices(b.column(at)):
+                if not m.languages:
+                    best.append(np.zeros(len(texts), dtype=np.int64))
+                    score.append(np.zeros(len(texts)))
                     continue
-                if len(cache) > CACHE:
-                    cache.clear()
-                    rows.clear()
-                counts = Counter(words)
-                for w in counts.keys() - cache.keys():
-                    cache[w] = len(rows)
-                    rows.append(m.word_score(w))
-                total = np.fromiter(counts.values(), dtype=np.float64, count=len(counts)) @ np.array([rows[cache[w]] for w in counts])
-                best = int(np.argmax(total))
-                langs.append(m.languages[best])
-                scores.append(float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang_out, score_out])
+                sums, has = m.scores(texts, lexicon)
+                top = np.argmax(sums, axis=1)
+                share = 1 / np.exp(np.clip(sums - sums[np.arange(len(top)), top][:, None], -700, 0)).sum(axis=1)
+                best.append(np.where(has, top, len(m.languages)))
+                score.append(np.where(has, share, 0.0))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score), pa.float64())], [*b.schema.names, lang_out, score_out])
 
     return kept.mapInArrow(run, schema)
 
@@ -186,5 +267,3 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
     model = fit_languages(docs.where(~held_out(F.col("doc_id"))))
     out = predict_languages(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
-
-

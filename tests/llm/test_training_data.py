@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, chat, decontam, html_text, langid, linededup, ngram_join, quality, queries, rules, warc
@@ -187,6 +188,52 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.predict_languages(docs(spark), nothing).collect()} == {"und"}
 
 
+def plain_language_scores(train, texts, max_words, max_grams):
+    """The method word by word: counts, cuts, log frequencies, back-off."""
+    words_of = lambda t: [w[i : i + langid.LONG_WORD] for w in regex.findall(r"[\p{L}\p{M}]+", t.lower()) if regex.search(r"\p{L}", w) for i in range(0, len(w), langid.LONG_WORD)]
+    grams_of = lambda w, k: [f" {w} "[i : i + k] for i in range(len(w) + 3 - k)]
+    counts = {k: defaultdict(Counter) for k in range(6)}
+    for text, lang in train:
+        if text is not None and lang is not None:
+            for w in words_of(text):
+                counts[0][lang][w] += 1
+                for k in langid.LENGTHS:
+                    counts[k][lang].update(grams_of(w, k))
+    languages, known = sorted(counts[0]), {}
+    for k, by in counts.items():
+        limit, keep = max_grams if k else max_words, set()
+        for c in by.values():
+            down = {x: n if n < 1000 else n // 10 ** (len(str(n)) - 3) * 10 ** (len(str(n)) - 3) for x, n in c.items()}
+            keep |= {x for x, n in down.items() if sum(m >= n for m in down.values()) <= limit}
+        known[k] = {x: np.log([(by[l][x] + 0.5) / (by[l].total() + 0.5 * max(1, len(keep))) for l in languages]) for x in keep}
+
+    def score(w):
+        if w in known[0]:
+            return known[0][w]
+        for k in langid.LENGTHS:
+            if found := [known[k][g] for g in grams_of(w, k) if g in known[k]]:
+                return np.mean(found, axis=0)
+        return np.zeros(len(languages))
+
+    out = []
+    for t in texts:
+        found = words_of(t or "")
+        total = np.sum([score(w) for w in found], axis=0) if found else np.zeros(len(languages))
+        out.append((languages[int(np.argmax(total))], float(1 / np.exp(total - total.max()).sum())) if found else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("words,grams", [(30_000, 10_000), (60, 25)])
+def test_languages_equal_a_plain_version(spark, words, grams):
+    rows = [(r["text"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text", "lang").collect()]
+    train, texts = [*rows[:100], ("Zürich " + "x" * 200, "de"), (None, "de"), ("none", None)], [t for t, _ in rows] + ["", None, "12 ½ ² Ⅷ", "é́ \u0301", "y" * 300, "हिन्दी"]
+    model = langid.fit_languages(spark.createDataFrame(train, "text string, lang string"), max_words=words, max_grams=grams)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [(r["lang_pred"], r["score"]) for r in langid.predict_languages(df, model).orderBy("i").collect()]
+    want = plain_language_scores(train, texts, words, grams)
+    assert [x for x, _ in got] == [x for x, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
+
+
 def test_language_accuracy_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     out = langid.op4_language_id(spark, "/root/testdata/sf0.01").join(d, "doc_id").where("held_out")
