@@ -9,17 +9,24 @@ the candidates it gets, from the number of documents that hold each prefix shing
   than the number of such shingles in the prefix, any partner also shares a rarer one, so the document
   is only indexed under those;
 * beyond that, l is what makes postings read plus candidates expected (postings over l) cheapest;
-* documents of which nearly all shingles are frequent (a very large group of near copies) find no such
-  l. They are indexed under frequent shingles too, in blocks, so that no task gets a whole group, but
-  not under the last ones: as they ask for many matches, the first shared shingle lies further ahead.
+* documents of which nearly all shingles are frequent (a large group of near copies) find no such l.
+  They ask for as many matches f as they may, and are indexed in lists of their own under all shingles of
+  that prefix but the f - 1 most widely held: any partner shares f of them, and the rarest shared one is
+  left to both. Passages that many documents share are what is left out. Others come into these lists
+  with all shingles of their longest prefix.
 
 Only shingles that two documents share are indexed, and lists that hold the same documents count once.
 Within a list, sizes, l common prefix shingles and a bound on the overlap from parity bitmaps (each
-differing shingle flips one bit) leave few pairs. Only links are wanted up to connectivity: a list
+differing shingle flips one bit) leave few pairs. Prefix shingles are compared by 16 bits each, with
+repeats, which can only make more of them common. Only links are wanted up to connectivity: a list
 proposes a spanning forest of its pairs, which are verified on whole sets. Where a proposed pair fails,
 the list proposes again around it, and in the last round every pair that still joins two components.
 So each pair that reaches t is verified or lies in one component; no group is expanded into all pairs.
 
+Lists of those frequent documents are worked on block by block first. Documents of two blocks are compared
+only under shingles whose documents lie in two components by then, and as few as possible go to other
+blocks: a group of near copies, however large, is dealt out once.
+
 Exact copies (equal sets, by a 128-bit digest) are represented by their smallest id.
 """
 
@@ -42,6 +49,10 @@ HOT, BLOCK = 64, 2048
 BITS, BATCH = 512, 1 << 19
 #: Cost of verifying a candidate in postings read.
 VERIFY = 8.0
+#: Slots of the bitmap of ids whose texts are read again (a power of 2; an eighth of it in bytes is broadcast).
+MARKS = 1 << 24
+#: Parts into which rows of one frequent shingle are dealt for a join with what is known of the shingle.
+SALTS = 16
 
 _U = np.uint64
 _P, _A = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -186,14 +197,13 @@ def _decide(num: int, den: int, most: int):
                 matches, frequent = choose(pos, df, n, num, den, most)
                 end = int(np.searchsorted(pos, base_prefix(n, num, den) + matches - 1))
                 if end:
-                    # Any partner shares as many as `fewest` of the shingles here, so the last ones needn't be indexed.
-                    fewest = most_matches(least_overlap(n, num, den), num, den) if frequent else 1
-                    kept = max(1, end - fewest + 1)
-                    hot = df[:kept] > most
-                    out.append((node, n, matches, frequent, token[:kept][~hot], token[:kept][hot], np.sort(token[:end]).tobytes()))
+                    fewest = most_matches(least_overlap(n, num, den), num, den)  # that any partner shares of the longest prefix
+                    often = token[np.lexsort((token, df))][: max(1, len(token) - fewest + 1)] if frequent else token
+                    rare = token[:0] if frequent else token[:end][df[:end] <= most]
+                    out.append((node, n, matches, frequent, rare, often, np.sort(token[:end].astype(np.uint16)).tobytes()))
             if out:
-                node, n, matches, frequent, rare, hot, tokens = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(matches, pa.int32()), pa.array(frequent), _lists(rare), _lists(hot), pa.array(tokens, pa.binary())], ["node", "n", "matches", "frequent", "rare", "hot", "tokens"])
+                node, n, matches, frequent, rare, often, tokens = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(matches, pa.int32()), pa.array(frequent), _lists(rare), _lists(often), pa.array(tokens, pa.binary())], ["node", "n", "matches", "frequent", "rare", "often", "tokens"])
 
     return run
 
@@ -216,7 +226,8 @@ def _pairs_of(rows: list[dict], num: int, den: int, whole: bool):
     def match(i: int, j: int) -> bool:
         for x in (i, j):
             if tokens[x] is None:
-                tokens[x] = np.frombuffer(rows[x]["tokens"], dtype=np.int64)
+                t = np.frombuffer(rows[x]["tokens"], dtype=np.uint16).astype(np.int64)
+                tokens[x] = (t << 16) + np.arange(len(t)) - np.searchsorted(t, t)
         return len(np.intersect1d(tokens[i], tokens[j], assume_unique=True)) >= min(need[i], need[j], len(tokens[i]), len(tokens[j]))
 
     for i in range(g - 1):
@@ -275,12 +286,37 @@ def _propose(num: int, den: int, whole: bool):
     return run
 
 
-def _sets(k: int):
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(ids.view(_U)) & _U(bits - 1)).astype(np.int64)
+
+
+def _marks(batches):
+    """Words of a bitmap of all slots, in which those of the ids of a task are set."""
+    for b in batches:
+        slots = np.unique(_slot(np.asarray(b.column(0)), MARKS))
+        words, start = np.unique(slots >> 6, return_index=True)
+        if len(words):
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bitwise_or.reduceat(_U(1) << (slots & 63).astype(_U), start).view(np.int64))], ["word", "bits"])
+
+
+def _bitmap_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of MARKS slots with those of ids set; it is that large at most, however many ids there are."""
+    found = ids.mapInArrow(_marks, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(MARKS >> 6, dtype=_U)
+    out[np.asarray(found.column("word"))] = np.asarray(found.column("bits")).view(_U)
+    return out
+
+
+def _sets(k: int, marked):
+    """Whole sets of the rows whose id's slot is set; that passes some others too."""
+
     def run(batches):
-        shingler = Shingler(k)
+        shingler, marks = Shingler(k), marked.value
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                cut = b.slice(i, 500)
+            slot = _slot(np.asarray(b.column(0)), MARKS)
+            asked = b.filter(pa.array((marks[slot >> 6] >> (slot & 63).astype(_U)) & _U(1) == 1))
+            for i in range(0, asked.num_rows, 500):
+                cut = asked.slice(i, 500)
                 yield pa.RecordBatch.from_arrays([cut.column(0), pa.array([s.tobytes() for s in shingler.sets(cut.column(1).to_pylist())], pa.binary())], ["node", "s"])
 
     return run
@@ -300,10 +336,10 @@ def _verify(num: int, den: int):
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, comp): the smallest node reachable, for each node of an edge, by alternating star steps.
+    """A written table (u, v): for each node of an edge but the smallest of its component, that smallest one.
 
-    Each step moves every edge to the smallest neighbour and is an aggregation and a join, in which a
-    node with very many edges is pre-aggregated or split; lineage is cut by writing each step down.
+    By alternating star steps: each moves every edge to the smallest neighbour and is an aggregation and a
+    join, in which a node with very many edges is pre-aggregated or split; each step is written down.
     """
     cur, last = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges"), None
     while True:
@@ -316,11 +352,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(done)
         state = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last:
-            nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-            return nodes.unionAll(cur.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+            return cur
         last = state
 
 
+def _labelled(df: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """df with comp, the component of its column node as far as links are known."""
+    if stars is None:
+        return df.withColumn("comp", F.col("node"))
+    return df.join(stars.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, most: int = HOT, block: int = BLOCK) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row with a non-null id.
 
@@ -341,23 +383,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copied = classes.where("id <> node").select("id")
     nodes = sk.where("n > 0").select("id", "n", "prefix").join(copied, "id", "left_anti")
     postings = nodes.select(F.col("id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
-    held = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # Counting n, not rows, asks for the same columns of nodes as the join does, so that their shuffle is used twice.
+    held = postings.groupBy("token").agg(F.count("n").alias("df")).where("df > 1")
     grouped = postings.join(held, "token").groupBy("node", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("shared"))
-    chosen = grouped.select("node", "n", "shared.pos", "shared.df", "shared.token").mapInArrow(_decide(num, den, most), "node long, n int, matches int, frequent boolean, rare array<long>, hot array<long>, tokens binary")
+    chosen = grouped.select("node", "n", "shared.pos", "shared.df", "shared.token").mapInArrow(_decide(num, den, most), "node long, n int, matches int, frequent boolean, rare array<long>, often array<long>, tokens binary")
     chosen = materialise(chosen, "prefixes")
 
-    links = _links(sk, chosen, base, k, num, den, block)
+    stars = _linked(sk, chosen, base, k, num, den, block)
     discard(sk, chosen)
-    if links is not None:
-        comp = components(links)
-        out = classes.join(comp, "node", "left").select("id", "n", F.coalesce("comp", "node").alias("component_id"))
-    else:
-        out = classes.withColumnRenamed("node", "component_id")
+    out = _labelled(classes, stars).withColumnRenamed("comp", "component_id")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def _links(sk: DataFrame, chosen: DataFrame, base: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame | None:
-    """Verified pairs (a, b) that connect every two nodes which links connect; None if there are none."""
+def _by_token(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows with the facts of their token, the rows of one token dealt to SALTS tasks."""
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).drop("salt")
+
+
+def _linked(sk: DataFrame, chosen: DataFrame, base: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame | None:
+    """Components (u, v) of all verified links; None if there are none."""
     # In order of size, documents without a neighbour of compatible size have no partner in a list.
     lists = chosen.select(F.struct("n", "node").alias("x"), F.explode("rare").alias("token")).groupBy("token").agg(F.sort_array(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
     fits = lambda a, b: F.coalesce(den * a["n"] >= num * b["n"], F.lit(False))  # noqa: E731  a is the smaller one
@@ -365,23 +410,47 @@ def _links(sk: DataFrame, chosen: DataFrame, base: DataFrame, k: int, num: int,
     lists = lists.select("token", F.transform(paired, lambda x: x["node"]).alias("nodes")).where(F.size("nodes") > 1)
     rare = lists.groupBy("nodes").agg(F.min("token").alias("bucket")).select("bucket", F.lit(0).alias("side"), F.lit(False).alias("across"), F.lit(False).alias("hot_list"), F.explode("nodes").alias("node"))
 
-    # Under a frequent shingle only partners of documents that need it count; others of another size can't be.
+    # Only partners of frequent documents count here; others of another size can't be.
     # A band is a hair wider than the ratio of sizes that can link, so such sizes lie in one band or two next to each other.
     band = F.floor(F.log("n") / (math.log(den / num) + 1e-9)).cast("long")
-    hot = chosen.select("node", "frequent", band.alias("band"), F.explode("hot").alias("token"))
-    bands = hot.where("frequent").groupBy("token").agg(F.collect_set("band").alias("bands"))
+    held = chosen.select("node", "frequent", band.alias("band"), F.explode("often").alias("token"))
+    bands = held.where("frequent").groupBy("token").agg(F.collect_set("band").alias("bands"))
     near = F.arrays_overlap("bands", F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    hot = hot.join(bands, "token").where(F.col("frequent") | near).select("node", "token")
-    sizes = hot.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    dealt = hot.join(sizes, "token").withColumn("blocks", F.ceil(F.col("c") / block).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.select("node", "token", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    often = dealt.select(F.xxhash64(F.lit(1), "token", F.least("side", "other"), F.greatest("side", "other")).alias("bucket"), "side", (F.col("side") != F.col("other")).alias("across"), F.lit(True).alias("hot_list"), "node")
-    members = materialise(rare.unionByName(often), "lists")
-    facts = chosen.select("node", "n", "matches", "frequent", "tokens").join(sk.select(F.col("id").alias("node"), "bits"), "node")
+    often = materialise(_by_token(held, bands).where(F.col("frequent") | near).select("node", "frequent", "token"), "often")
+    sizes = often.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    dealt = materialise(_by_token(often, sizes).withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "blocks")
+    discard(often)
+    bucket = lambda part: F.xxhash64(F.lit(1), "token", part).alias("bucket")
+    row = lambda df, part, side, across: df.select(bucket(part), F.lit(side).alias("side"), F.lit(across).alias("across"), F.lit(True).alias("hot_list"), "node")
 
-    links, failed, comp, proposed, again = None, None, None, members, None
+    facts = chosen.select("node", "n", "matches", "frequent", "tokens").join(sk.select(F.col("id").alias("node"), "bits"), "node")
+    members = materialise(rare.unionByName(row(dealt, "part", 0, False)), "lists")
+    stars, failed = _rounds(members, facts, base, None, None, k, num, den)
+    discard(members)
+
+    # What is left: pairs in two blocks and two components, one of them frequent. Of each such pair one goes to
+    # the other's block: the frequent ones outside the largest component, and against the rest of that component
+    # either its frequent ones or the others outside, whichever are fewer.
+    many = _labelled(dealt.where("blocks > 1"), stars)
+    counted = many.groupBy("token", "comp").agg(F.count("*").alias("c"), F.count_if("frequent").alias("f"))
+    largest = counted.groupBy("token").agg(F.max(F.struct("c", "f", "comp")).alias("most"), F.sum(F.col("c") - F.col("f")).alias("r"), F.count("*").alias("k")).where("k > 1")
+    largest = largest.select("token", F.col("most.comp").alias("largest"), (F.col("most.f") <= F.col("r") - F.col("most.c") + F.col("most.f")).alias("inner"))
+    several = materialise(_by_token(many, largest), "several")
+    if not several.isEmpty():
+        sent = F.when(F.col("comp") == F.col("largest"), F.col("frequent") & F.col("inner")).otherwise(F.col("frequent") | ~F.col("inner"))
+        others = several.where(sent).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> part")
+        members = materialise(row(several, "part", 0, True).unionByName(row(others, "other", 1, True)), "across")
+        stars, failed = _rounds(members, facts, base, stars, failed, k, num, den)
+        discard(members)
+    discard(dealt, several, failed)
+    return stars
+
+
+def _rounds(members: DataFrame, facts: DataFrame, base: DataFrame, stars: DataFrame | None, failed: DataFrame | None, k: int, num: int, den: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Components and pairs known not to link, once no pair in a bucket of members can join two components any more."""
+    proposed, again = members, None
     for turn in range(3):
-        info = facts.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comp is not None else facts.withColumn("comp", F.col("node"))
+        info = _labelled(facts, stars)
         if failed is not None:
             both_ways = failed.union(failed.select("b", "a"))
             info = info.join(both_ways.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed")), "node", "left")
@@ -389,25 +458,29 @@ def _links(sk: DataFrame, chosen: DataFrame, base: DataFrame, k: int, num: int,
             info = info.withColumn("failed", F.lit(None).cast("array<long>"))
         rows = proposed.join(info, "node").repartition("bucket").sortWithinPartitions("bucket", "node")
         pairs = materialise(rows.mapInArrow(_propose(num, den, turn == 2), "bucket long, a long, b long"), "pairs")
+        discard(again)
         whole = pairs.select("a", "b").distinct()
-        # Whole sets only of what is proposed, from the texts.
-        asked = whole.select(F.col("a").alias("node")).union(whole.select(F.col("b").alias("node"))).distinct()
-        sets = materialise(base.select(F.col("id").alias("node"), "t").join(asked, "node").mapInArrow(_sets(k), "node long, s binary").groupBy("node").agg(F.max_by("s", F.octet_length("s")).alias("s")), "sets")
+        # Whole sets only of what is proposed, from the texts, which don't move.
+        marked = base.sparkSession.sparkContext.broadcast(_bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+        sets = materialise(base.mapInArrow(_sets(k, marked), "node long, s binary").groupBy("node").agg(F.max_by("s", F.octet_length("s")).alias("s")), "sets")
         both = whole.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         checked = materialise(both.mapInArrow(_verify(num, den), "a long, b long, ok boolean"), "checked")
         discard(sets)
-        good = checked.where("ok").select("a", "b")
-        links = good if links is None else links.unionAll(good)
-        bad = checked.where("not ok").select("a", "b")
-        if turn == 2 or bad.isEmpty():
+        good, bad = checked.where("ok").select("a", "b"), checked.where("not ok").select("a", "b")
+        if not good.isEmpty():
+            before = stars
+            stars = components(good if stars is None else good.unionAll(stars.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+            discard(before)
+        if more := not bad.isEmpty():
+            before, failed = failed, materialise(bad if failed is None else failed.unionAll(bad), "failed")
+            discard(before)
+            if turn < 2:
+                again = materialise(pairs.join(bad, ["a", "b"]).select("bucket").distinct(), "again")
+                proposed = members.join(again, "bucket")
+        discard(pairs, checked)
+        if not more:
             break
-        failed = bad if failed is None else failed.unionAll(bad)
-        again = materialise(pairs.join(bad, ["a", "b"]).select("bucket").distinct(), "again")
-        discard(pairs)
-        proposed = members.join(again, "bucket")
-        comp = components(links) if not links.isEmpty() else None
-    discard(members, pairs, again)
-    return None if links.isEmpty() else links
+    return stars, failed
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

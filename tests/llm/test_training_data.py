@@ -160,6 +160,24 @@ def test_near_duplicates_equal_brute_force(spark, k, num, den, most, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_groups(rows, k, num, den)
 
 
+def test_large_groups_over_many_blocks_equal_brute_force(spark):
+    """Two groups of near copies and other documents hold one passage; all lists have several blocks."""
+    rng = random.Random(9)
+    word = lambda: f"q{rng.randrange(5000)}"
+    passage, rows = [word() for _ in range(25)], []
+    for size, length in ((60, 60), (40, 66), (40, 40)):
+        base = [word() for _ in range(length)] + passage
+        for _ in range(size):
+            w = list(base) if size != length else [word() for _ in range(length)] + passage
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w)))
+    want = brute_groups(rows, 3, 90, 100)
+    out = ngram_join.near_duplicates(docs(spark, rows), k=3, num=90, den=100, most=3, block=7).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+    assert max(Counter(c for _, c in want.values()).values()) >= 30
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
     one = ngram_join.near_duplicates(docs(spark)).collect()
