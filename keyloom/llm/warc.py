@@ -27,6 +27,8 @@ from keyloom.llm.common import read_table, work_path
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a split, bytes that are read at a time, and records of an archive file.
 SPLIT, BLOCK, RECORDS = 16 << 20, 1 << 20, 50_000
+#: Tasks that read an archive at most.
+TASKS = 100_000
 DATE = "2020-01-01T00:00:00Z"
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -114,17 +116,18 @@ class _Window:
     """Bytes of a file from a moving start on, read block by block."""
 
     def __init__(self, file, start: int):
-        self.file, self.start, self.data = file, start, b""
+        self.file, self.start, self.data = file, start, bytearray()
         file.seek(start)
 
     def at(self, pos: int, n: int) -> bytes:
         while self.start + len(self.data) < pos + n and (more := self.file.read(BLOCK)):
             self.data += more
-        return self.data[pos - self.start : pos - self.start + n]
+        return bytes(self.data[pos - self.start : pos - self.start + n])
 
     def drop(self, pos: int) -> None:
         if pos - self.start > BLOCK:
-            self.data, self.start = self.data[pos - self.start :], pos
+            del self.data[: pos - self.start]
+            self.start = pos
 
 
 def records_in(file, start: int, end: int):
@@ -187,12 +190,13 @@ def read_warc(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
     """Records of all archives under path: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload.
 
     The payload of a revisit is empty; its length and digest are those of the full payload. Splits are
-    rows of (file, start, end), dealt out evenly; each is read on its own, again if its task is lost.
+    rows of (file, start, end). They get a task each up to TASKS, since their rows are tiny whatever they
+    stand for; each is read on its own, again if its task is lost.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # lists files, reads none
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("length") - 1), F.lit(split).cast("long")))
     splits = files.where("length > 0").select("path", "length", starts.alias("start")).select("path", "start", F.least("length", F.col("start") + split).alias("end"))
-    return splits.repartition(F.xxhash64("path", "start")).mapInArrow(_read, READ)
+    return splits.repartition(max(1, min(TASKS, splits.count()))).mapInArrow(_read, READ)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
