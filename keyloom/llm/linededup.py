@@ -1,8 +1,9 @@
 """Line deduplication: explode lines, hash their keys, count documents for each hash, drop, reassemble.
 
 The eligible lines of each document are exploded with their position; a line's key is hashed to 128
-bits. One aggregation by hash (combined before the shuffle, so a line that a third of all documents
-hold costs one row a task) counts documents and finds the largest id. The lines of hashes over the
+bits. Pairs of hash and document are made distinct, dealt by both, and then counted by hash (combined
+before that shuffle, so a line that a third of all documents hold costs one row a task), which also
+finds the largest id. The lines of hashes over the
 threshold are joined back, become a sorted list of positions for each document, and the text is put
 together from the slices between those positions.
 """
@@ -34,14 +35,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line goes if its key (white space stripped at both ends, A-Z lower-cased) has min_chars code
     points or more and min_docs documents or more hold it, except in the document with the largest id.
-    Each row is a document of its own. Null text counts as one empty line and comes back as "". A row
-    with a null id keeps all its lines, but counts. Rows that repeat id and text get the same result.
+    Rows that repeat an id are one document in that count; each is cut for itself. Null text counts as one
+    empty line and comes back as "". A row with a null id keeps all its lines and counts as no document.
     Other columns pass through. An empty table gives an empty table.
     """
     docs = docs.drop("n_lines", "n_dropped").withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     once = base.select("_id", F.explode(F.array_distinct(_eligible(F.col("_text"), min_chars))).alias("_k"))
-    common = _hashed(once).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= min_docs).select("_h1", "_h2", "_keep")
+    common = _hashed(once).groupBy("_h1", "_h2").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= min_docs).select("_h1", "_h2", "_keep")
     placed = base.select("_id", F.xxhash64("_text").alias("_row"), F.posexplode(F.transform(F.split(F.col("_text"), "\n", -1), line_key)).alias("_pos", "_k")).where(F.char_length("_k") >= min_chars)
     hits = _hashed(placed).join(common, ["_h1", "_h2"]).where(F.col("_id") != F.col("_keep"))
     cuts = hits.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_cut"))
