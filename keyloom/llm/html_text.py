@@ -1,11 +1,17 @@
 """Main text of a page by tag-path ratios.
 
-A page becomes a sequence of text nodes, each with its root-to-leaf tag path. For each path the lengths of
-its texts and their punctuation marks are added up and divided by its number of nodes; links count
-against a path. Both ratios are smoothed over the nodes in page order, fused by their product, and paths
-over a threshold are content. The element that holds most of the content text is the article: all its
-blocks count, headings and short paragraphs too, except parts that are navigation, advertising, forms,
-comments or notices by tag, role or class.
+A page becomes a sequence of text nodes, each with its root-to-leaf tag path. Parts that are menus, site
+headers, footers, sidebars, notices, adverts, forms or comments by tag, role or whole class name go first.
+For each path the lengths of its texts and their punctuation marks are added up and divided by its number
+of nodes; links count against a path. Both ratios are smoothed over the nodes in page order, fused by their
+product, and paths over a threshold are content.
+
+Where article or main elements hold most of the content, they are the article, all of them and with all
+their blocks. Elsewhere it is the smallest element that holds all content nodes, and in it the blocks with
+a content path, headings, and those between content blocks that aren't links for the most part.
+
+Time and memory are in proportion to the page, whatever its markup: elements carry what they inherit, a
+path is its parent's number and a label, and each open element is closed once.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,124 +28,169 @@ from pyspark.sql import types as T
 
 from keyloom.llm.common import read_table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+START = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|[!?])")
+#: The rest of a tag, in which quoted values may hold a `>`; it never goes back.
+REST = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 #: Elements whose content is no markup.
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "noframes"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that start and end a block of text.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-#: Elements that an opening tag closes, up to the nearest of the second set.
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-}
-#: Never text of an article, by tag.
-DROPPED = frozenset("script style noscript template head title nav aside footer form button select option input textarea iframe object svg canvas math dialog menu audio video map".split())
-#: The same by words of class or id, or by role.
-DROPPED_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|comments?|commentlist|disqus|respond|replies|reply|discussion|"
-    r"sidebar|side|widget\w*|related|recommend\w*|share|sharing|social|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|masthead|toolbar|login|search|skip|tags?|toc|byline-links|hidden)(?:$|[\s_-])",
-    re.I,
+#: Elements that an opening tag of a kind closes, and those beyond which it doesn't look.
+CLOSES = (
+    (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+    (frozenset(("dt", "dd")), frozenset(("dl",))),
+    (frozenset(("tr",)), frozenset(("table",))),
+    (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    (frozenset(("option",)), frozenset(("select",))),
 )
+SCOPED = frozenset(t for closed, limit in CLOSES for t in closed | limit)
+ARTICLE = frozenset(("article", "main"))
+HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Never text of an article, by tag, and by role.
+DROPPED = frozenset("script style noscript template head title nav aside footer button select option input textarea iframe object svg canvas dialog menu audio video map".split())
 DROPPED_ROLE = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"))
-HEADING = re.compile(r"h[1-6]$")
+#: The same by class or id: names made of these words only, one of them of the first set at least.
+KINDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal newsletter subscribe signup "
+    "comment comments commentlist disqus respond reply replies sidebar sidebars widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead toolbar login".split()
+)
+BESIDE = frozenset("site page main top bottom left right primary secondary global list bar box area section wrapper container block panel item items inner outer form thread links legal".split())
+#: Elements that a form for input doesn't hold; one that does is the layout of the page.
+LAYOUT = frozenset("article main nav header footer h1".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？…、]")
-#: Weight of the neighbours in smoothing, and the share of the standard deviation that is the threshold.
-KERNEL, LAMBDA = (0.25, 0.5, 0.25), 0.5
+#: Weights in smoothing, the share of the standard deviation that is the threshold, the share of content that article elements must hold, and of the text above which a form is layout.
+KERNEL, LAMBDA, MOST, ALL = (0.25, 0.5, 0.25), 0.5, 0.4, 0.9
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "dropped", "chars")
-
-    def __init__(self, tag, parent, label, dropped):
-        self.tag, self.parent, self.dropped, self.chars = tag, parent, dropped, 0.0
-        self.path = f"{parent.path}/{label}" if parent else label
-
-
-def _attributes(text: str) -> dict[str, str]:
-    return {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(text)} if text.strip(" /\n\t") else {}
-
-
-def _parse(page: str):
-    """Text nodes as (element, text), with None for the end of a block."""
-    root = _Element("", None, "", False)
-    top, at, n = root, 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        raw = page[at : m.start()] if m else page[at:]
-        if raw:
-            yield top, raw
-        if not m:
-            return
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                yield top, m[0][9:].removesuffix("]]>").replace("&", "&amp;")
-            continue
-        if m[1]:  # an end tag closes up to its element, if that is open
-            e = top
-            while e.parent and e.tag != tag:
-                e = e.parent
-            if e.parent:
-                top = e.parent
-            if tag in BLOCK:
-                yield top, None
-            elif tag == "br":
-                yield top, " "
-            continue
-        if tag in BLOCK:
-            yield top, None
-            e = top  # a block ends a paragraph that is still open
-            while e.parent and e.tag not in BLOCK:
-                e = e.parent
-            if e.tag == "p" or HEADING.match(e.tag or "-") and HEADING.match(tag):
-                top = e.parent
-        if tag in CLOSES:
-            closed, limit = CLOSES[tag]
-            e = top
-            while e.parent and e.tag not in limit:
-                if e.tag in closed:
-                    top = e.parent
+    __slots__ = ("tag", "parent", "number", "path", "dropped", "link", "article", "form", "block", "scope")
+
+
+class _Page:
+    """Elements of a page in order and its text nodes (element, run, text); texts of one run are one block."""
+
+    def __init__(self, page: str):
+        self.elements: list[_Element] = []
+        self.nodes: list[tuple[_Element, int, str]] = []
+        self.layout: set[int] = set()
+        self.paths: dict[tuple[int, str], int] = {}
+        self.opened: Counter = Counter()  # open blocks by tag, other open elements by block and tag
+        self.run = 0
+        self.top = self._element("", None, {})
+        self._read(page)
+
+    def _element(self, tag: str, up: _Element | None, a: dict[str, str]) -> _Element:
+        e = _Element()
+        e.tag, e.parent, e.number = tag, up, len(self.elements)
+        self.elements.append(e)
+        if up is None:
+            e.path, e.dropped, e.link, e.article, e.form, e.block, e.scope = 0, False, False, None, None, e, (None,) * len(CLOSES)
+            return e
+        name = f"{a.get('class') or ''} {a.get('id') or ''}".split()
+        label = f"{tag}.{name[0].lower()}" if name and tag in ("div", "section", "td", "span", "ul", "table") else tag
+        e.path = self.paths.setdefault((up.path, label), len(self.paths) + 1)
+        e.link, e.block = up.link or tag == "a", e if tag in BLOCK else up.block
+        e.article = up.article if up.article is not None else e if tag in ARTICLE else None
+        e.form = up.form if up.form is not None else e if tag == "form" else None
+        if e.form is not None and tag in LAYOUT:
+            self.layout.add(e.form.number)
+        hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "")
+        e.dropped = up.dropped or tag in DROPPED or hidden or a.get("role") in DROPPED_ROLE or tag == "header" and e.article is None
+        if name and not e.dropped and tag not in ARTICLE and tag not in ("html", "body"):
+            e.dropped = any(map(_furniture, name))
+        e.scope = up.scope
+        if tag in SCOPED:
+            e.scope = tuple(e if tag in closed else None if tag in limit else s for (closed, limit), s in zip(CLOSES, up.scope))
+        return e
+
+    def _key(self, e: _Element):
+        return e.tag if e.block is e else (e.block.number, e.tag)
+
+    def _close(self, e: _Element) -> None:
+        """Close e and all that is open in it."""
+        while True:
+            top = self.top
+            self.opened[self._key(top)] -= 1
+            self.top = top.parent
+            if top is e:
+                return
+
+    def _end(self, tag: str) -> None:
+        """An end tag closes up to its element, if that is open; what isn't a block only inside its block."""
+        if self.opened[tag if tag in BLOCK else (self.top.block.number, tag)]:
+            e = self.top
+            while e.tag != tag:
                 e = e.parent
+            self._close(e)
+
+    def _begin(self, tag: str) -> None:
+        """A block ends a paragraph that is open, a heading another one, a list item the one before."""
+        block = self.top.block
+        if block.tag == "p" or block.tag in HEADING and tag in HEADING:
+            self._close(block)
+        for i, (closed, _) in enumerate(CLOSES):
+            if tag in closed and self.top.scope[i] is not None:
+                self._close(self.top.scope[i])
+
+    def _read(self, page: str) -> None:
+        at, n, quotes = 0, len(page), True
+        while at < n:
+            m = START.search(page, at)
+            if raw := page[at : m.start()] if m else page[at:]:
+                self.nodes.append((self.top, self.run, raw))
+            if not m:
+                return
+            if not m[2]:
+                at = self._declaration(page, m.start())
+                continue
+            end = m.end()
+            if quotes:
+                end = REST.match(page, m.end()).end()
+                quotes = end < n and page[end] == ">"
+            if not quotes:  # a quote isn't closed: from here on they don't count
+                end = page.find(">", m.end())
+                if end < 0:
+                    self.nodes.append((self.top, self.run, page[m.start() :]))
+                    return
+            at = self._tag(page, m[2].lower(), bool(m[1]), page[m.end() : end], end + 1)
+
+    def _declaration(self, page: str, at: int) -> int:
+        for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+            if page.startswith(start, at):
+                end = page.find(stop, at + len(start))
+                if start == "<![CDATA[":
+                    self.nodes.append((self.top, self.run, page[at + len(start) : end if end >= 0 else len(page)].replace("&", "&amp;")))
+                return end + len(stop) if end >= 0 else len(page)
+
+    def _tag(self, page: str, tag: str, ends: bool, rest: str, at: int) -> int:
         if tag == "br":
-            yield top, " "
+            self.nodes.append((self.top, self.run, " "))
+        if tag in BLOCK:
+            self.run += 1
+        if ends:
+            self._end(tag)
+            return at
+        if tag in BLOCK:
+            self._begin(tag)
         if tag in VOID:
-            continue
-        a = _attributes(m[3])
-        name = f"{a.get('class') or ''} {a.get('id') or ''}".strip()
-        hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "")
-        dropped = top.dropped or tag in DROPPED or a.get("role") in DROPPED_ROLE or hidden
-        if name and tag not in ("body", "html", "article", "main"):
-            dropped = dropped or bool(DROPPED_NAME.search(name))
-        if tag == "header" and not _inside(top, "article", "main"):
-            dropped = True
-        label = f"{tag}.{name.split()[0].lower()}" if name and tag in ("div", "section", "td", "span", "ul", "table") else tag
-        e = _Element(tag, top, label, dropped)
+            return at
+        a = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(rest)} if rest.strip(" /\n\t") else {}
+        e = self._element(tag, self.top, a)
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            stop = end.start() if end else n
-            close = page.find(">", stop) + 1 if end else n
-            if tag == "textarea":
-                yield e, page[at:stop]
-            at = close or n
-            continue
-        if m[3].rstrip().endswith("/") and tag not in BLOCK and tag in ("svg", "path", "use"):
-            continue
-        top = e
+            return page.find(">", end.start()) + 1 or len(page) if end else len(page)
+        if rest.rstrip().endswith("/") and tag in ("svg", "path", "use"):
+            return at
+        self.top = e
+        self.opened[self._key(e)] += 1
+        return at
 
 
-def _inside(e, *tags) -> bool:
-    while e:
-        if e.tag in tags:
-            return True
-        e = e.parent
-    return False
+def _furniture(name: str) -> bool:
+    words = re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower().strip("-_"))
+    return any(w in KINDS for w in words) and all(w in KINDS or w in BESIDE or w.isdigit() for w in words)
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -147,7 +198,7 @@ def _smooth(x: list[float]) -> list[float]:
     return [a * x[max(0, i - 1)] + b * x[i] + c * x[min(len(x) - 1, i + 1)] for i in range(len(x))]
 
 
-def content_paths(nodes: list[tuple[str, str, bool]]) -> set[str]:
+def content_paths(nodes: list[tuple[int, str, bool]]) -> set[int]:
     """Paths of content among nodes of (path, text, in a link)."""
     length, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
     for path, text, link in nodes:
@@ -158,7 +209,7 @@ def content_paths(nodes: list[tuple[str, str, bool]]) -> set[str]:
     ratio = {p: max(0.0, length[p]) / count[p] for p in count}
     dots = {p: marks[p] / count[p] for p in count}
     s1, s2 = _smooth([ratio[p] for p, _, _ in nodes]), _smooth([dots[p] for p, _, _ in nodes])
-    fused: dict[str, float] = defaultdict(float)
+    fused: dict[int, float] = defaultdict(float)
     for (p, _, _), a, b in zip(nodes, s1, s2):
         fused[p] = max(fused[p], math.sqrt(a * (b + 0.1)) if ratio[p] else 0.0)
     values = [fused[p] for p, _, _ in nodes]
@@ -167,82 +218,75 @@ def content_paths(nodes: list[tuple[str, str, bool]]) -> set[str]:
     return {p for p, v in fused.items() if v > 0 and v >= min(threshold, mean)}
 
 
-def main_text(page: str | None) -> str:
+def _without_forms(page: _Page, nodes: list) -> list:
+    """nodes without those in forms for input; a form around the page's layout or nearly all its text is none."""
+    size, total = Counter(), 0
+    for e, _, _, clean in nodes:
+        total += len(clean)
+        if e.form is not None:
+            size[e.form.number] += len(clean)
+    input_ = {f for f, n in size.items() if f not in page.layout and n < ALL * total}
+    return [x for x in nodes if x[0].form is None or x[0].form.number not in input_]
+
+
+def _smallest(page: _Page, numbers: list[int]) -> tuple[int, int]:
+    """First and last number of the elements in the smallest element that holds all of numbers."""
+    last = list(range(len(page.elements)))
+    for e in reversed(page.elements[1:]):
+        last[e.parent.number] = max(last[e.parent.number], last[e.number])
+    e, end = page.elements[min(numbers)], max(numbers)
+    while last[e.number] < end or e.block is not e:
+        e = e.parent
+    return e.number, last[e.number]
+
+
+def main_text(text: str | None) -> str:
     """The article's blocks, one on a line: references decoded, white space runs a single space, trimmed.
 
     Null, empty and textless pages give "". Broken markup is read as far as it goes; nothing is cut off.
     """
-    if not page:
+    if not text:
         return ""
-    blocks: list[list] = []  # [element, pieces]
-    open_ = False
-    for e, text in _parse(page):
-        if text is None:
-            open_ = False
-        elif e.dropped:
-            if text.strip() and _block_of(e).dropped:
-                open_ = False
-        else:
-            text = html.unescape(text) if "&" in text else text
-            if not open_ or _block_of(blocks[-1][0]) is not _block_of(e):
-                if not text.strip():
-                    continue
-                blocks.append([e, []])
-                open_ = True
-            blocks[-1][1].append((e, text))
+    page = _Page(text)
     nodes = []
-    for e, pieces in blocks:
-        for x, t in pieces:
-            if t := " ".join(t.split()):
-                nodes.append((x.path, t, _inside(x, "a"), x))
-    if not nodes:
+    for e, run, raw in page.nodes:
+        if not e.dropped:
+            raw = html.unescape(raw) if "&" in raw else raw
+            nodes.append((e, run, raw, " ".join(raw.split())))
+    nodes = _without_forms(page, nodes)
+    solid = [x for x in nodes if x[3]]
+    if not solid:
         return ""
-    chosen = content_paths([n[:3] for n in nodes])
-    total = 0.0
-    for path, t, link, x in nodes:
-        if path in chosen and not link:
-            total += len(t)
-            while x:
-                x.chars += len(t)
-                x = x.parent
-    best = None
-    for _, _, _, x in nodes:  # the deepest element with nearly all the content, or an article or main with most
-        depth = 0
-        chain = []
-        while x:
-            chain.append(x)
-            x = x.parent
-        for depth, y in enumerate(reversed(chain)):
-            if y.chars > 0 and (y.chars >= 0.9 * total or y.tag in ("article", "main") and y.chars >= 0.4 * total):
-                key = (y.tag in ("article", "main"), depth if y.tag not in BLOCK - {"p", "li"} else depth + 0.5)
-                if y.tag in ("p", "li", "td", "b", "i", "em", "strong", "span", "a"):
-                    continue
-                if best is None or key > best[0]:
-                    best = (key, y)
-    article = best[1] if best else None
-    out = []
-    for e, pieces in blocks:
-        if article is not None and not _below(e, article):
+    chosen = content_paths([(e.path, clean, e.link) for e, _, _, clean in solid])
+    if not any(e.path in chosen and not e.link for e, _, _, _ in solid):
+        chosen = {e.path for e, _, _, _ in solid if not e.link}
+    content = [(e, len(clean)) for e, _, _, clean in solid if e.path in chosen and not e.link]
+    if not content:  # nothing but links
+        return ""
+    inside = {e.article.number for e, _ in content if e.article is not None}
+    in_articles = sum(n for e, n in content if e.article is not None) >= MOST * sum(n for _, n in content) and bool(inside)
+    first, last = (0, 0) if in_articles else _smallest(page, [e.number for e, _ in content])
+
+    blocks: dict[int, list] = {}
+    for x in nodes:
+        blocks.setdefault(x[1], []).append(x)
+    kept, waiting = [], []  # blocks behind the last content block wait for another one
+    for pieces in blocks.values():
+        line = " ".join("".join(raw for _, _, raw, _ in pieces).split())
+        if not line:
             continue
-        if (article is None or article.tag not in ("article", "main")) and not any(x.path in chosen or HEADING.match(x.tag) for x, _ in pieces) and all(_inside(x, "a") for x, t in pieces if t.strip()):
-            continue  # outside an article element, blocks of links alone are menus
-        if t := " ".join("".join(t for _, t in pieces).split()):
-            out.append(t)
-    return "\n".join(out)
-
-
-def _block_of(e):
-    while e.parent and e.tag not in BLOCK:
-        e = e.parent
-    return e
-
-
-def _below(e, article) -> bool:
-    while e:
-        if e is article:
-            return True
-        e = e.parent
-    return False
+        if in_articles:
+            kept += [line] if any(e.article is not None and e.article.number in inside for e, _, _, clean in pieces if clean) else []
+            continue
+        if not any(first <= e.number <= last for e, _, _, clean in pieces if clean):
+            continue
+        links = sum(len(clean) for e, _, _, clean in pieces if e.link)
+        if any(e.path in chosen and not e.link for e, _, _, clean in pieces if clean):
+            kept += [*waiting, line]
+            waiting = []
+        elif 2 * links <= len(line) and (kept or any(e.block.tag in HEADING for e, _, _, _ in pieces)):
+            waiting.append(line)
+    return "\n".join(kept or waiting)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
