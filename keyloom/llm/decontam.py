@@ -25,6 +25,8 @@ from keyloom.llm.common import materialise, pinned, words_of
 BLOCKS, BLOCK_BITS = 8, 16
 #: Benchmarks up to so many words in all are broadcast; larger ones are joined by shuffles.
 MAX_BROADCAST_WORDS = 400_000
+#: Slots into which documents are hashed; those with a window are broadcast, at most so many numbers.
+SLOTS = 1 << 20
 MARKS = ".,;:!?\"'()[]{}«»“”„¿¡…"
 
 
@@ -87,9 +89,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     d = F.col("ds")
     steps = F.flatten(F.transform(d, lambda x, i: F.sequence(x, F.greatest(x, F.least(F.coalesce(F.get(d, i + 1) - 1, x), x + F.col("len"))))))
     starts = pinned(shared.select("id", "row", "item", "len", "ds"), starts=steps).groupBy("id", "row").agg(F.collect_set(F.struct("item", "len", "starts")).alias("spans"))
+    starts = materialise(starts.withColumnsRenamed({"id": "id2", "row": "row2"}), "spans")
 
-    starts = starts.withColumnsRenamed({"id": "id2", "row": "row2"})
-    joined = words.join(starts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2"))).select("id", "row", "w", "spans").dropDuplicates(["id", "row"])
+    # Only documents in a slot with a window are split into words again and moved.
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SLOTS)).alias("slot")
+    marked = F.broadcast(starts.select(slot("id2", "row2")).distinct())
+    near = pinned(base.withColumn("slot", slot("id", "row")).join(marked, "slot", "left_semi").select("id", "row", "t"), w=normal_words(F.col("t"))).drop("t")
+    joined = near.join(starts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2"))).select("id", "row", "w", "spans").dropDuplicates(["id", "row"])
     span = joined.select("id", "row", "w", F.explode("spans").alias("s"))
     last = F.greatest(F.lit(0), F.size("w") - F.col("s.len"))
     clipped = F.array_distinct(F.transform(F.col("s.starts"), lambda x: F.greatest(F.lit(0), F.least(x, last))))
