@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.session import discard, materialise, read_table, shared_dir, work_path  # noqa: F401
@@ -40,3 +45,61 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     """
     one = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
     return df.select("*", one)
+
+
+def with_window_hashes(df: DataFrame, words: str, size: int, name: str) -> DataFrame:
+    """Add the 64-bit hashes of all runs of `size` words of an array column, none if it has fewer.
+
+    Each word is hashed once; runs are joined from two shorter ones, next to each other.
+    """
+    df = pinned(df, _one=F.transform(words, lambda w: F.xxhash64(w)))
+    df, have = df.withColumn("_runs", F.col("_one")), 1
+    joined = lambda other, step: F.zip_with("_runs", F.slice(other, F.lit(step + 1), F.size(other)), lambda x, y: F.xxhash64(x, y))
+    for bit in bin(size)[3:]:
+        df, have = pinned(df, _next=joined("_runs", have)).drop("_runs").withColumnRenamed("_next", "_runs"), 2 * have
+        if bit == "1":
+            df, have = pinned(df, _next=joined("_one", have)).drop("_runs").withColumnRenamed("_next", "_runs"), have + 1
+    return pinned(df, **{name: F.slice("_runs", F.lit(1), F.greatest(F.lit(0), F.size("_runs") - (size - 1)))}).drop("_one", "_runs")
+
+
+def _bucket(n: Column) -> Column:
+    """n rounded down to three digits, so that there are few different values at any size."""
+    unit = F.pow(F.lit(10), F.greatest(F.lit(0), F.length(n.cast("string")) - 3)).cast("long")
+    return n - F.pmod(n, unit)
+
+
+def most_frequent(counts: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """Rows of counts with a count `n` among the highest of their group in `by`, at most limit of each group.
+
+    Those are the rows from the lowest count on, rounded down to three digits, that at most limit rows reach:
+    a histogram finds it, without a ranking of all rows. Equal counts are in or out together.
+    """
+    sizes = counts.groupBy(*by, _bucket(F.col("n")).alias("_cut")).agg(F.count("*").alias("_c"))
+    reached = F.sum("_c").over(Window.partitionBy(*by).orderBy(F.desc("_cut")))
+    cuts = sizes.withColumn("_r", reached).where(F.col("_r") <= limit).groupBy(*by).agg(F.min("_cut").alias("_cut"))
+    return counts.join(F.broadcast(cuts), by).where("n >= _cut").drop("_cut")
+
+
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file, named after its content, to any folder Spark can write, unless it is there already."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        return
+    half = at.suffix(f".{uuid.uuid4().hex}")
+    out = fs.create(half)
+    out.write(bytearray(data))
+    out.close()
+    if not fs.rename(half, at):
+        fs.delete(half, False)
+
+
+def slices(texts: pa.Array, size: int):
+    """Cuts of a column that hold about size bytes each, or one longer text."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    at = 0
+    while at < len(texts):
+        past = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, past + size, side="right")))
+        yield texts.slice(at, end - at)
+        at = end

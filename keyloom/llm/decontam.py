@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import materialise, pinned, words_of
+from keyloom.llm.common import materialise, pinned, with_window_hashes, words_of
 
 BLOCKS, BLOCK_BITS = 8, 16
 #: Benchmarks up to so many words in all are broadcast; larger ones are joined by shuffles.
@@ -34,14 +34,6 @@ def normal_words(text: Column) -> Column:
     return words_of(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKS, ""))
 
 
-def _starts(n: Column, k: int) -> Column:
-    return F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-
-
-def _grams(words: Column, k: int) -> Column:
-    return F.transform(_starts(F.size(words), k), lambda i: F.xxhash64(F.slice(words, i, k)))
-
-
 def with_fingerprint(df: DataFrame, words: str, name: str) -> DataFrame:
     """Add the SimHash of a column of words as 8 ints of 16 bits."""
     df = pinned(df, _h=F.array(*[F.transform(words, lambda w, s=seed: F.xxhash64(F.lit(s), w)) for seed in (0, 1)]))
@@ -74,14 +66,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     an empty table. Further columns of either table, whatever their names, are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item"), normal_words(F.col(item_text_col)).alias("iw")).distinct()
-    items = pinned(items, ig=_grams(F.col("iw"), shingle), len=F.size("iw")).where(F.col("len") >= shingle)
+    items = with_window_hashes(pinned(items, len=F.size("iw")).where(F.col("len") >= shingle), "iw", shingle, "ig")
     items = materialise(items, "items")
     small = (items.agg(F.sum("len")).first()[0] or 0) <= MAX_BROADCAST_WORDS
     hint = F.broadcast if small else (lambda df: df)
 
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).withColumn("row", F.xxhash64("t"))
-    words = pinned(base.select("id", "row", "t"), w=normal_words(F.col("t"))).drop("t")
-    grams = words.select("id", "row", F.size("w").alias("size"), F.posexplode(_grams(F.col("w"), shingle)).alias("pos", "g"))
+    # The size is taken before shingles are exploded, so that no row of one carries the words.
+    words = pinned(base.select("id", "row", "t"), w=normal_words(F.col("t"))).select("id", "row", F.size("w").alias("size"), "w")
+    grams = with_window_hashes(words, "w", shingle, "gs").select("id", "row", "size", F.posexplode("gs").alias("pos", "g"))
     index = items.select("item", "len", F.posexplode("ig").alias("at", "g"))
     total = F.col("len") + F.least("len", "size") - 2 * (shingle - 1)
     need = F.ceil(total * F.lit(similarity / (1 + similarity)) - 1e-9)
@@ -101,7 +94,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     clipped = F.array_distinct(F.transform(F.col("s.starts"), lambda x: F.greatest(F.lit(0), F.least(x, last))))
     windows = span.select("id", "w", "s.item", "s.len", F.explode(clipped).alias("start"))
     windows = pinned(windows, win=F.slice("w", F.col("start") + 1, F.col("len"))).drop("w")
-    windows = pinned(windows, wg=_grams(F.col("win"), shingle))
+    windows = with_window_hashes(windows, "win", shingle, "wg")
 
     prints = with_fingerprint(items, "iw", "ifp").drop("iw")
     both = windows.join(hint(prints), ["item", "len"])
