@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import SPACES, pinned, words_of
+from keyloom.llm.common import SPACES, pinned, with_window_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Share of a line's words that carry symbols or shout from which the punctuation rule removes it.
@@ -27,14 +27,29 @@ UNPUNCTUATED_WORDS = 60
 MIN_KEPT = 0.6
 
 NOISY_WORD = r"[#*$%&|<>]|[!?]{2,}[\"')\]]*$"
-NAVIGATION = r"^(?i:home|menu|skip to|log ?in|sign ?(?:in|up)|share (?:this|on)|read more|click here|back to top|previous|next page|subscribe|we use cookies|accept (?:all )?cookies|follow us|related (?:posts|articles))\b"
-BOILERPLATE = r"(?i:all rights reserved|copyright (?:\(c\)|©|[0-9]{4})|licensed under the|lorem ipsum|terms of (?:use|service)|privacy policy|javascript (?:is|must be))"
+#: Phrases in English, German, French and Spanish; letters beyond ASCII are spelt in both cases, since engines fold those differently.
+NAVIGATION = (
+    r"^(?i:home|menu|skip to|log ?in|sign ?(?:in|up)|share (?:this|on)|read more|click here|back to top|previous|next page|subscribe|we use cookies|accept (?:all )?cookies|follow us|related (?:posts|articles))\b"
+    r"|^(?i:startseite|men[üÜ]|zum inhalt|anmelden|registrieren|weiterlesen|mehr lesen|nach oben|n[äÄ]chste seite|vorherige seite|newsletter abonnieren|wir verwenden cookies|alle cookies akzeptieren|[äÄ]hnliche (?:beitr[äÄ]ge|artikel)"
+    r"|accueil|se connecter|connexion|s'inscrire|lire la suite|haut de page|page suivante|page pr[éÉ]c[éÉ]dente|s'abonner|nous utilisons des cookies|accepter les cookies|articles similaires"
+    r"|inicio|men[úÚ]|iniciar sesi[óÓ]n|registrarse|leer m[áÁ]s|volver arriba|p[áÁ]gina siguiente|p[áÁ]gina anterior|suscr[íÍ]bete|utilizamos cookies|aceptar cookies|art[íÍ]culos relacionados)(?:[^\p{L}\p{N}]|$)"
+)
+BOILERPLATE = (
+    r"(?i:all rights reserved|copyright (?:\(c\)|©|[0-9]{4})|licensed under the|lorem ipsum|terms of (?:use|service)|privacy policy|javascript (?:is|must be)"
+    r"|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerkl[äÄ]rung|tous droits r[éÉ]serv[éÉ]s|conditions d'utilisation|politique de confidentialit[éÉ]"
+    r"|todos los derechos reservados|t[éÉ]rminos (?:de uso|y condiciones)|pol[íÍ]tica de privacidad)"
+)
 SENTENCE_MARK = r"[.!?;:…。！？]"
 
 
 def _line_facts(line: Column) -> Column:
     w = words_of(line)
-    return F.struct(line.alias("line"), F.size(w).alias("n"), F.size(F.filter(w, lambda x: x.rlike(NOISY_WORD))).alias("noisy"))
+    noisy = F.size(F.filter(w, lambda x: x.rlike(NOISY_WORD)))  # only lines that can have such a word are looked at word by word
+    return F.struct(line.alias("line"), F.size(w).alias("n"), F.when(line.rlike(r"[#*$%&|<>]|[!?]{2}"), noisy).otherwise(0).alias("noisy"))
+
+
+def _judged(f: Column) -> Column:
+    return F.struct(f["line"].alias("line"), f["n"].alias("n"), _line_fails(f).alias("fails"))
 
 
 def _line_fails(f: Column) -> Column:
@@ -64,9 +79,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # The row travels as one struct, so that no name in it clashes with those used here.
     rows = docs.select(F.struct(*docs.columns).alias("_in"))
     df = pinned(rows, _t=F.coalesce(F.col("_in")[text_col], F.lit("")), _words=words_of(F.col("_in")[text_col]))
-    starts = F.when(F.size("_words") >= window, F.sequence(F.lit(1), F.size("_words") - (window - 1))).otherwise(F.array().cast("array<int>"))
-    df = pinned(df, _hashes=F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("_words"), i, window))), _facts=F.transform(F.split("_t", "\n", -1), _line_facts))
-    df = pinned(df, _n=F.size("_words").cast("long"), _sorted=_repeat_words(window), _with=F.filter("_facts", lambda f: f["n"] > 0), _failed=F.filter("_facts", _line_fails), _left=F.filter("_facts", lambda f: ~_line_fails(f))).drop("_words", "_hashes", "_facts")
+    df = with_window_hashes(pinned(df, _n=F.size("_words").cast("long")), "_words", window, "_hashes").drop("_words")
+    df = pinned(df, _facts=F.transform(F.split("_t", "\n", -1), _line_facts))
+    df = pinned(df, _sorted=_repeat_words(window), _lines=F.transform("_facts", _judged)).drop("_hashes", "_facts")
+    df = pinned(df, _with=F.filter("_lines", lambda f: f["n"] > 0), _failed=F.filter("_lines", lambda f: f["fails"]), _left=F.filter("_lines", lambda f: ~f["fails"])).drop("_lines")
     s = F.col("_sorted")
     same = lambda i, j: F.get(s, i)["h"] == F.get(s, j)["h"]
     twice = F.filter(s, lambda x, i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
