@@ -10,28 +10,30 @@ ids are those of the merges.
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import os
-import tempfile
-import uuid
-from collections import Counter
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import read_table
+from keyloom.llm.common import most_frequent, read_table, shared_dir, slices, write_file
 
 #: Words of the lexicon.
 LEXICON = 50_000
-#: Entries after which a task's word counter is passed on, and words that a task remembers.
-FLUSH, CACHE = 200_000, 150_000
+#: Bytes of text whose words are counted at a time, and words that a task remembers.
+COUNTED, CACHE = 1 << 22, 150_000
+#: Rank of a pair that doesn't merge.
+NONE = 1 << 40
 #: Put before the string of a special token to tell it from words of texts.
 SPECIAL = "\0special:"
 #: Words that are looked up at a time, and bytes of text or tokens that make up a result batch.
@@ -100,35 +102,64 @@ class Merger:
     """Exact merges of many words at once: in each round every word merges its pair of lowest rank."""
 
     def __init__(self, first: list[int], merges: dict):
-        pairs = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in merges.items())
-        self.first = np.array(first, dtype=np.int64)
-        self.keys, self.ranks, self.new = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, dtype=np.int64),) * 3
+        """Merges lie in an open hash table with at least four slots for each, keys being pairs of ids."""
+        self.first, self.bits = np.array(first, dtype=np.int64), max(4, (4 * len(merges)).bit_length())
+        pairs = np.array([(a << 32 | b, rank, new) for (a, b), (rank, new) in merges.items()], dtype=np.int64).reshape(-1, 3)
+        self.keys, self.ranks, self.new = (np.full(1 << self.bits, x, dtype=np.int64) for x in (-1, NONE, 0))
+        left, slot = np.arange(len(pairs)), self._slot(pairs[:, 0])
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            at, one = np.unique(slot[free], return_index=True)
+            put = left[free[one]]
+            self.keys[at], self.ranks[at], self.new[at] = pairs[put].T
+            go = np.ones(len(left), dtype=bool)
+            go[free[one]] = False
+            left, slot = left[go], (slot[go] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Slot of each pair, or an empty one."""
+        slot = self._slot(key)
+        there = self.keys[slot]
+        rest = np.flatnonzero((there != key) & (there >= 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (len(self.keys) - 1)
+            there = self.keys[slot[rest]]
+            rest = rest[(there != key[rest]) & (there >= 0)]
+        return slot
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and how many each word has."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ids, word = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)], np.repeat(np.arange(len(words)), lengths)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        none = 1 << 40
-        while len(ids) and len(self.keys):
-            key = ids[:-1] << 32 | ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank = np.where(ok, self.ranks[at], none)
-            low = np.full(len(words), none, dtype=np.int64)
-            np.minimum.at(low, word[:-1], rank)
-            open_ = low[word] < none
-            parts.append((word[~open_], ids[~open_]))  # words without a pair are done
-            hit = ok & (rank == low[word[:-1]])
-            where = np.flatnonzero(hit)
+        slot, rank = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), NONE, dtype=np.int64)
+        new = np.flatnonzero(word[:-1] == word[1:])  # places whose pair with the next id has to be looked up
+        while len(ids):
+            slot[new] = self._find(ids[new] << 32 | ids[new + 1])
+            rank[new] = self.ranks[slot[new]]
+            low = np.full(len(words), NONE, dtype=np.int64)
+            np.minimum.at(low, word, rank)
+            least = low[word]
+            keep = least < NONE
+            parts.append((word[~keep], ids[~keep]))  # words without a pair are done
+            where = np.flatnonzero(keep & (rank == least))
             if len(where) > 1:  # in a run of overlapping hits every second one merges, from the left
                 new_run = np.concatenate([[True], np.diff(where) > 1])
                 start = where[np.maximum.accumulate(np.where(new_run, np.arange(len(where)), 0))]
                 where = where[(where - start) % 2 == 0]
-            ids[where] = self.new[at[where]]
-            keep = open_
+            ids[where] = self.new[slot[where]]
             keep[where + 1] = False
-            ids, word = ids[keep], word[keep]
+            changed = np.zeros(len(ids), dtype=bool)
+            changed[where] = changed[np.maximum(0, where - 1)] = True
+            ids, word, slot, rank = ids[keep], word[keep], slot[keep], rank[keep]
+            new = np.flatnonzero(changed[keep])
+            ends = np.ones(len(word), dtype=bool)
+            ends[:-1] = word[:-1] != word[1:]
+            rank[ends] = NONE
+            new = new[~ends[new]]
         parts.append((word, ids))
         word, ids = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(word, kind="stable")
@@ -144,8 +175,8 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 # --- lexicon -----------------------------------------------------------------------------------------
 
 
-def compile_lexicon(words: dict[bytes, list[int]], path: str) -> dict:
-    """Write the minimal acyclic transducer of words to path; returns its sizes.
+def compile_lexicon(words: dict[bytes, list[int]], file) -> dict:
+    """Write the minimal acyclic transducer of words to an open file; returns its sizes.
 
     Built from sorted words: when the next word leaves a branch, its states are complete and are replaced by equal ones
     known already (same finality and transitions).
@@ -195,10 +226,9 @@ def compile_lexicon(words: dict[bytes, list[int]], path: str) -> dict:
         np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64),
         np.array([i for x in ids for i in x], dtype=np.int64),
     ]
-    with open(path, "wb") as f:
-        np.array([root, *map(len, arrays)], dtype=np.int64).tofile(f)
-        for a in arrays:
-            a.tofile(f)
+    file.write(np.array([root, *map(len, arrays)], dtype=np.int64).tobytes())
+    for a in arrays:
+        file.write(a.tobytes())
     return {"states": len(done), "transitions": len(keys), "words": len(order)}
 
 
@@ -240,6 +270,18 @@ class Lexicon:
 # --- encoding ----------------------------------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Words by number, given when a word is first looked up; fresh are those that have no ids yet."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Encoder:
     """Ids of whole texts. Give specials=False to treat the strings of special tokens as ordinary text."""
 
@@ -254,48 +296,49 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.n = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64), 0
+        self.known = _Numbers()
+        self.starts, self.lengths = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
         self.flat, self.used = np.zeros(1 << 14, dtype=np.int64), 0
         if self.specials:
-            self._add([SPECIAL + s for s in self.specials], np.array(list(self.specials.values()), dtype=np.int64), np.ones(len(self.specials), dtype=np.int64))
+            numbers = np.array([self.known[SPECIAL + s] for s in self.specials])
+            self.known.fresh.clear()
+            self._add(numbers, np.array(list(self.specials.values()), dtype=np.int64), np.ones(len(self.specials), dtype=np.int64))
 
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        while self.n + len(words) > len(self.starts):
+    def _add(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while len(self.known) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[self.n : self.n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[self.n : self.n + len(words)] = lengths
-        self.known.update(zip(words, range(self.n, self.n + len(words))))
-        self.n, self.used = self.n + len(words), self.used + len(ids)
-
-    def _learn(self, words: set[str]) -> None:
-        new = list(words)
-        raw = [w.encode() for w in new]
+        self.starts[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        """Ids of the words that got a number since the last time."""
+        raw = [w.encode() for w in self.known.fresh]
+        numbers = np.arange(len(self.known) - len(raw), len(self.known))
+        self.known.fresh.clear()
         if self.lexicon:
             rows = self.lexicon.find(raw)
-            held = np.flatnonzero(rows >= 0)
+            held = rows >= 0
             starts = self.lexicon.offsets[rows[held]]
             lengths = self.lexicon.offsets[rows[held] + 1] - starts
-            self._add([new[i] for i in held], self.lexicon.ids[spread(starts, lengths)], lengths)
-            rest = np.flatnonzero(rows < 0).tolist()
-            new, raw = [new[i] for i in rest], [raw[i] for i in rest]
-        if new:
-            self._add(new, *self.merger.merge(raw))
+            self._add(numbers[held], self.lexicon.ids[spread(starts, lengths)], lengths)
+            numbers, raw = numbers[~held], [raw[i] for i in np.flatnonzero(~held).tolist()]
+        if raw:
+            self._add(numbers, *self.merger.merge(raw))
 
     def _rows(self, words: list[str]) -> np.ndarray:
-        """Places of words that are all known by now."""
-        rows = list(map(self.known.get, words))
-        if None in rows:
-            self._learn(set(words).difference(self.known))
-            rows = list(map(self.known.__getitem__, words))
-        return np.array(rows, dtype=np.int64)
+        """Numbers of words, whose ids are known afterwards."""
+        rows = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.known.fresh:
+            self._learn()
+        return rows
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each word has."""
-        if self.n > CACHE:
+        if len(self.known) > CACHE:
             self._clear()
         rows = self._rows(words)
         return self.flat[spread(self.starts[rows], self.lengths[rows])], self.lengths[rows]
@@ -334,7 +377,7 @@ class Encoder:
                 flush()
                 out.append(self.encode(text))
                 continue
-            words.extend(self._words(text))
+            words += self._words(text) if self.cut and self.cut.search(text) else self.pattern.findall(text)
             ends.append(len(words))
             if len(words) > STEP:
                 flush()
@@ -360,34 +403,32 @@ class Decoder:
 
 
 def _count_words(batches):
-    counts: Counter = Counter()
-
-    def flush():
-        rows = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
-        counts.clear()
-        return rows
-
     for b in batches:
-        for text in b.column(0).to_pylist():
-            counts.update((text or "").split())
-            if len(counts) > FLUSH:
-                yield flush()
-    yield flush()
+        for texts in slices(b.column(0), COUNTED):
+            counts = pc.value_counts(pc.utf8_split_whitespace(texts.drop_null()).flatten())
+            yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["w", "n"])
+    pa.default_memory_pool().release_unused()  # the worker goes on to encode
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", size: int = LEXICON) -> str:
-    """Compile the size most frequent words of all texts; returns the name under which tasks find the file."""
+    """Compile the most frequent words of all texts, size at most; returns the name under which tasks find the file.
+
+    The file is written to the shared folder under its digest, from where each executor fetches its copy.
+    """
     spark = docs.sparkSession
     counts = docs.select(text_col).mapInArrow(_count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    frequent = most_frequent(counts.withColumn("_all", F.lit(0)), ["_all"], size).select("w").toArrow().column("w").to_pylist()
     pattern, encoder, words = regex.compile(vocabulary.pattern), Encoder(vocabulary), {}
-    for r in counts.orderBy(F.desc("n"), "w").limit(size).collect():
-        for w in pattern.findall(" " + r["w"]):
+    for word in frequent:
+        for w in pattern.findall(" " + word):
             words.setdefault(w.encode(), None)
     first, merges = encoder.first, encoder.merges
     words = {w: merge(w, first, merges) for w in words}
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    compile_lexicon(words, path)
+    data = io.BytesIO()
+    compile_lexicon(words, data)
+    name = f"lexicon-{hashlib.sha256(data.getvalue()).hexdigest()[:32]}.bin"
+    path = f"{shared_dir(spark)}/keyloom/{name}"
+    write_file(spark, path, data.getvalue())
     spark.sparkContext.addFile(path)
     return name
 

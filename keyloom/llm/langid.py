@@ -16,11 +16,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import discard, held_out, materialise, read_table
+from keyloom.llm.common import discard, held_out, materialise, most_frequent, read_table, slices
 
 #: Entries that the model keeps at most of each language: words, and n-grams of each length.
 MAX_WORDS = 30_000
@@ -43,17 +43,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _slices(texts: pa.Array):
-    """Cuts of a column that hold about SLICE bytes each, or one longer text."""
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
-    at = 0
-    while at < len(texts):
-        past = int(ends[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, past + SLICE, side="right")))
-        yield texts.slice(at, end - at)
-        at = end
-
-
 def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct lower-cased words of texts, the places of all words among them, and where each text's begin.
 
@@ -80,7 +69,7 @@ def _count_words(batches):
     for b in batches:
         langs = b.column(1)
         for lang in pc.unique(langs).to_pylist():
-            for texts in _slices(b.column(0).filter(pc.equal(langs, lang))):
+            for texts in slices(b.column(0).filter(pc.equal(langs, lang)), SLICE):
                 words, places, _ = _split(texts)
                 pieces, place = _pieces(words)
                 n = np.bincount(places, minlength=len(words))[place]
@@ -169,23 +158,10 @@ class LanguageModel:
         return sums, np.logical_or.reduceat(count[places], starts)
 
 
-def _bucket(n: Column) -> Column:
-    """n rounded down to three digits, so that there are few different values at any size."""
-    unit = F.pow(F.lit(10), F.greatest(F.lit(0), F.length(n.cast("string")) - 3)).cast("long")
-    return n - F.pmod(n, unit)
-
-
 def _most_frequent(counts: DataFrame, by: list[str], key: str, limit: int) -> DataFrame:
-    """Rows of counts with keys that are among the most frequent of a group in `by`, in all groups' rows.
-
-    A group's keys are those with a count, rounded down to three digits, from the lowest on that at most
-    limit keys reach: a histogram finds it, no ranking of all keys. Equal counts are in or out together.
-    """
-    sizes = counts.groupBy(*by, _bucket(F.col("n")).alias("cut")).agg(F.count("*").alias("c"))
-    reached = F.sum("c").over(Window.partitionBy(*by).orderBy(F.desc("cut")))
-    cuts = sizes.withColumn("r", reached).where(F.col("r") <= limit).groupBy(*by).agg(F.min("cut").alias("cut"))
+    """Rows of counts, of all languages, with keys that are among the most frequent of a group in `by`."""
     same = [x for x in by if x != "lang"] + [key]
-    kept = counts.join(F.broadcast(cuts), by).where("n >= cut").select(*same).distinct()
+    kept = most_frequent(counts, by, limit).select(*same).distinct()
     return counts.join(F.broadcast(kept), same)  # at most limit rows a group
 
 
@@ -247,7 +223,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
         names = np.array([*m.languages, "und"], dtype=object)
         for b in batches:
             best, score = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-            for texts in _slices(b.column(at)):
+            for texts in slices(b.column(at), SLICE):
                 if not m.languages:
                     best.append(np.zeros(len(texts), dtype=np.int64))
                     score.append(np.zeros(len(texts)))

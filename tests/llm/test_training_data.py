@@ -105,10 +105,12 @@ def test_bpe_edge_cases(spark):
 
 def test_lexicon_is_minimal(tmp_path):
     words = {w.encode(): [i] for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops"])}
-    sizes = bpe.compile_lexicon(words, str(tmp_path / "x"))
+    with open(tmp_path / "x", "wb") as f:
+        sizes = bpe.compile_lexicon(words, f)
     lex = bpe.Lexicon(str(tmp_path / "x"))
     assert sizes["states"] < 10 and lex.find([b"tap", b"to", b"stops", b"", b"z"]).tolist() == [2, -1, 1, -1, -1]
-    bpe.compile_lexicon({}, str(tmp_path / "y"))
+    with open(tmp_path / "y", "wb") as f:
+        bpe.compile_lexicon({}, f)
     assert bpe.Lexicon(str(tmp_path / "y")).find([b"a"]).tolist() == [-1]
 
 
@@ -268,6 +270,8 @@ def test_line_edge_cases(spark):
     got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()), key=str)
     whole = "\n".join([line] * 3000 + ["end"])
     assert got == sorted([(1, "short", 3, 2), (2, "x", 2, 1), (2, "x", 2, 1), (3, "", 2, 2), (4, "", 1, 0), (5, "", 1, 0), (None, line, 1, 0), (9, whole, 3001, 0)], key=str)
+    again = [(1, line), (2, line), (2, line + "\nother"), (None, line), (None, line)]
+    assert {r["n_dropped"] for r in linededup.dedup_lines(docs(spark, again)).collect()} == {0}
     assert linededup.dedup_lines(empty(spark)).count() == 0 and "_lines" in out.columns
 
 
@@ -281,7 +285,9 @@ def test_warc_round_trip_over_small_splits(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit(0))
     path = work_path(spark, "warc")
     warc.write_warc(df.repartition(3), path)
-    out = {r["page_id"]: r for r in warc.read_warc(spark, path, split=777).collect()}
+    read = warc.read_warc(spark, path, split=777)
+    assert read.rdd.getNumPartitions() == sum(-(-r["length"] // 777) for r in spark.read.format("binaryFile").load(path).select("length").collect())
+    out = {r["page_id"]: r for r in read.collect()}
     assert sorted(out) == [*range(60), 70]
     first = {}
     for i, _, html in rows[:61]:
@@ -349,13 +355,48 @@ def test_html_extraction(spark):
 
 
 def test_articles_of_the_pages_are_whole(con):
+    """With article elements, and without any, when paths alone tell."""
     import html
 
+    found = 0
     for _, page in con.execute("select page_id, html from pages").fetchall():
         if page and (a := re.search(r"<article>(.*?)</article>", page, re.S)):
             parts = re.split(r"</?(?:p|h1)>", a[1])
-            want = [t for p in parts if (t := " ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br>" in p else "", p)).split()))]
-            assert html_text.main_text(page) == "\n".join(want)
+            want = "\n".join(t for p in parts if (t := " ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br>" in p else "", p)).split())))
+            layout = re.sub(r"</?article>", "", page).replace("<body>", "<body><form method=post>").replace("</body>", "</form></body>")
+            forms = [page, page.replace("article>", "div>"), re.sub(r"</?article>", "", page), layout]
+            assert [html_text.main_text(x) == want for x in forms] == [True] * 4
+            found += 1
+    assert found > 20
+
+
+LINES = ["A lead of some words, no more.", "The body goes on, with commas, and with more words than the lead had. It even has two sentences.", "A last one, to close."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><p>%s</p><p>%s</p></article><article><p>%s</p></article>",
+        "<div><p>%s</p></div><section><p>%s</p></section><div class=end><p>%s</p></div>",
+        "<main><div class=related-work><p>%s</div><div class=side-by-side><p>%s</div><div id=share class='tag skip'><p>%s</div></main>",
+        "<form><article><p class=search-results-analysis>%s<p class=comments-on-theory>%s<p>%s</article><input></form>",
+        "<p>%s<p>%s<p>%s<div class=siteFooter>All rights, reserved.</div><div class='x cookie-notice'>We, use, cookies.</div><div id=comment-list-2><p>Nice, text, this.</div>",
+    ],
+)
+def test_named_kinds_go_and_nothing_else(page):
+    assert html_text.main_text(page % tuple(LINES)) == "\n".join(LINES)
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+    import tracemalloc
+
+    for make in (lambda n: '<div class="c">' * n + "x", lambda n: "<a " * n, lambda n: "<b>x" * n, lambda n: "<a '" * n, lambda n: "<ul>" + "<b>" * n + "<li>x" * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "<p><i>" * n):
+        tracemalloc.start()
+        began = time.perf_counter()
+        html_text.main_text(make(15_000))
+        assert time.perf_counter() - began < 5 and tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
 
 
 # --- 9 rules -------------------------------------------------------------------------------------------------------
@@ -369,7 +410,9 @@ def test_rules_edge_cases(spark):
     assert rules.quality_rules(empty(spark)).count() == 0
     clean = "A sentence of plain words stands here, and another one follows it. " * 1 + "Then the text goes on with quite different matters, as texts do."
     mixed = [(1, clean), (2, clean + "\nHome | News | Sport | Weather\nAll rights reserved."), (3, "BUY!! NOW!! BEST!! DEAL!! " * 6 + "x y"), (4, "\n".join(f"a{i} | b{i} | c{i} | d{i} |" for i in range(9)))]
+    mixed += [(10 + i, f"{x}\n{clean}") for i, x in enumerate(["Menü", "MENÜ", "Lire la suite...", "Página siguiente", "Alle Rechte vorbehalten.", "© x. Tous droits réservés"])] + [(20 + i, f"{x}\n{clean}") for i, x in enumerate(["Menüfolge", "Iniciose", "Homes are built."])]
     kept = {r["doc_id"]: (r["kept"], r["clean_text"]) for r in rules.quality_rules(docs(spark, mixed)).collect()}
+    assert all(kept[10 + i] == (True, clean) for i in range(6)) and all(kept[20 + i] == (True, mixed[10 + i][1]) for i in range(3))
     assert kept[1] == (True, clean) and kept[2] == (True, clean) and not kept[3][0] and not kept[4][0]
 
 
