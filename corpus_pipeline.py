@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, decontam, linededup, ngram_join, quality
-from keyloom.llm.common import materialise, read_table
+from keyloom.llm.common import discard, materialise, read_table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,10 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles (Jaccard 0.8 or more), the smallest id stays."""
+    """Of each group of documents linked by five-word shingles (Jaccard 0.8 or more), the smallest id stays.
+
+    Rows that repeat an id are one document, judged by the one with most shingles; they stay or go together.
+    """
     groups = ngram_join.near_duplicates(docs, k=5, num=80, den=100)
     return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
@@ -57,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
