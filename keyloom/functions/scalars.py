@@ -27,7 +27,9 @@ def pack_bits(bits: Column) -> Column:
 
 def pack_bytes(bits: Column) -> Column:
     """The same as bytes, hex text: bits fill up from the right to whole bytes."""
-    return F.lpad(F.hex(pack_bits(bits)), 2, "0")
+    digits = F.hex(pack_bits(bits))
+    whole = F.greatest(F.lit(1), F.ceil(F.size(bits) / 8).cast("int")) * 2
+    return F.substring(F.concat(F.repeat(F.lit("0"), whole), digits), F.length(digits) + 1, whole)
 
 
 def enum_label(ordinal: Column, labels: list[str] | None) -> Column:

@@ -36,7 +36,8 @@ def apply_log(target: DataFrame, log: DataFrame, spec: TableSpec, on_duplicate:
     An insert of a present key keeps the present row (on_duplicate="ignore") or fails ("error"); updates
     and deletes of absent keys do nothing. Nothing is replayed row by row: for each key the last delete,
     the first insert behind it and the last update behind that decide, three aggregations that combine
-    before their shuffle, so a key with very many changes costs a row a task.
+    before their shuffle. Between them steps are joined with one row a key; where one key has very many
+    steps, they meet in the tasks of that key, as many as adaptive execution splits it into.
     """
     if on_duplicate not in ("ignore", "error"):
         raise ValueError("on_duplicate is ignore or error")
@@ -71,6 +72,12 @@ def compact(log: DataFrame, spec: TableSpec) -> DataFrame:
     return normalise(log, spec).groupBy(*spec.key).agg(F.max_by(F.struct("op", "row"), "at").alias("c"), F.count("*").alias("changes")).select(*spec.key, "c.op", "c.row", "changes")
 
 
+def split_full_images(log: DataFrame, present: str = "present") -> tuple[DataFrame, DataFrame]:
+    """(rows whose image has all columns, rows whose image misses one or doesn't say)."""
+    full = F.coalesce(F.forall(F.col(present), lambda x: x), F.lit(False))
+    return log.where(full), log.where(~full)
+
+
 def require_full_images(log: DataFrame, present: str = "present") -> DataFrame:
     """Fail on a row whose image misses a column."""
     full = F.forall(F.col(present), lambda x: x)

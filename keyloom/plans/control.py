@@ -88,12 +88,6 @@ def run_id(prefix: Column, spec: Column) -> Column:
     return F.concat(F.lit("sync-v1-"), identity(F.lit("run"), prefix, spec))
 
 
-def progress_totals(changes: DataFrame, tables: list[str]) -> DataFrame:
-    """Insert, update and delete counts, by table, from changes with table_name and op."""
-    c = lambda op: F.count_if(F.col("op") == op)
-    return changes.where(F.col("table_name").isin(tables)).groupBy("table_name").agg(c("I").alias("inserts"), c("U").alias("updates"), c("D").alias("deletes"))
-
-
 def table_counts(progress: DataFrame) -> DataFrame:
     """One row: tables compared, and repaired (with a change)."""
     return progress.agg(F.count("*").alias("compared"), F.count_if(F.col("inserts") + F.col("updates") + F.col("deletes") > 0).alias("repaired"))
@@ -184,7 +178,3 @@ def run_cutover(stop: Callable, drain: Callable[[], int], validate: Callable[[],
         resume()
     out["passed"] = out["switched"] and out["lag"] == 0
     return out
-
-
-def all_equal(df: DataFrame, a: str, b: str, fields: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}")) for f in fields])

@@ -352,6 +352,26 @@ def fn_as_signed(spark, d):
     return read_table(spark, d, "events").select("event_id", fn.as_signed(k % 256, 8).alias("b"), fn.as_signed(wide, 64).alias("l"))
 
 
+@query("fn_pack_bytes", "select event_id, printf('%04X', sum) as v from (select event_id, (select sum(case when (event_id // (i + 1)) % 2 = 1 then 1 << (9 - i) else 0 end)::int from range(0, 10) r(i)) as sum from events)")
+def fn_pack_bytes(spark, d):
+    """Ten bits fill two bytes."""
+    bits = F.array(*[F.floor(F.col("event_id") / (i + 1)) % 2 == 1 for i in range(10)])
+    return read_table(spark, d, "events").select("event_id", fn.pack_bytes(bits).alias("v"))
+
+
+@query("fn_value_text", "select o_orderkey, coalesce(strftime(o_orderdate, '%Y-%m-%d'), '') as day, coalesce(strftime(o_orderdate + interval 90 second, '%Y-%m-%d %H:%M:%S'), '') as moment, coalesce(nullif(o_orderpriority, '1-URGENT'), '') as priority from orders")
+def fn_value_text(spark, d):
+    at = F.col("o_orderdate").cast("timestamp")
+    later = F.timestamp_micros(F.unix_micros(at) + 90_000_000)
+    return read_table(spark, d, "orders").select("o_orderkey", fn.value_text(at).alias("day"), fn.value_text(later).alias("moment"), fn.value_text(F.nullif("o_orderpriority", F.lit("1-URGENT"))).alias("priority"))
+
+
+@query("fn_duration_text", "select l_orderkey, l_linenumber, case when l_linenumber % 2 = 0 then '-' else '' end || case when h < 100 then lpad(h::varchar, 2, '0') else h::varchar end || ':' || lpad((l_orderkey % 60)::varchar, 2, '0') || ':' || lpad((l_linenumber % 60)::varchar, 2, '0') as v from (select *, 24 * (l_orderkey % 9) + l_linenumber as h from lineitem)")
+def fn_duration_text(spark, d):
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.duration_text(k % 9, n, k % 60, n % 60, n % 2 == 0).alias("v"))
+
+
 @query("fn_pack_bits", "select event_id, (event_id % 2) * 4 + (event_id % 3 = 0)::int * 2 + (event_id % 5 = 0)::int as v from events")
 def fn_pack_bits(spark, d):
     k = F.col("event_id")
@@ -466,44 +486,22 @@ def journal_identity_reuse(spark, d):
     return control.reused(events, spark.createDataFrame(JOURNAL_ROWS, schema), ["file", "start_pos"], ["raw_sql", "end_pos"])
 
 
-@query("control_upsert", "select o_orderkey, case when o_orderkey % 2 = 0 then 2 else 1 end as version, case when o_orderkey % 2 = 0 then 'new' else 'old' end as state from orders where o_orderkey < 1000 union all select -1, 1, 'new'")
+@query("control_upsert", "select o_orderkey, case when o_orderkey % 2 = 0 then 2 else 1 end as version, case when o_orderkey % 2 = 0 then 'new' else 'old' end as state from orders union all select -1, 1, 'new'")
 def control_upsert(spark, d):
-    o = read_table(spark, d, "orders").where("o_orderkey < 1000").select("o_orderkey")
-    old = o.withColumns({"version": F.lit(1), "state": F.lit("old")})
-    new = o.where("o_orderkey % 2 = 0").withColumns({"version": F.lit(2), "state": F.lit("new")}).unionByName(spark.createDataFrame([(-1, 1, "new")], "o_orderkey long, version int, state string"))
-    return control.upsert_latest(old, new, ["o_orderkey"], "version")
-
-
-@query("control_upsert_whole", "select o_orderkey, case when o_orderkey % 2 = 0 then 2 else 1 end as version, case when o_orderkey % 2 = 0 then 'new' else 'old' end as state from orders union all select -1, 1, 'new'")
-def control_upsert_whole(spark, d):
     o = read_table(spark, d, "orders").select("o_orderkey")
     old = o.withColumns({"version": F.lit(1), "state": F.lit("old")})
     new = o.where("o_orderkey % 2 = 0").withColumns({"version": F.lit(2), "state": F.lit("new")}).unionByName(spark.createDataFrame([(-1, 1, "new")], "o_orderkey long, version int, state string"))
     return control.upsert_latest(old, new, ["o_orderkey"], "version")
 
 
-@query("control_insert_if_absent", "select o_orderkey, case when o_orderkey % 3 = 0 then 'old' else 'new' end as state from orders where o_orderkey < 500")
+@query("control_insert_if_absent", "select o_orderkey, case when o_orderkey % 3 = 0 then 'old' else 'new' end as state from orders")
 def control_insert_if_absent(spark, d):
-    o = read_table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey")
-    return control.insert_if_absent(o.where("o_orderkey % 3 = 0").withColumn("state", F.lit("old")), o.withColumn("state", F.lit("new")), ["o_orderkey"])
-
-
-@query("control_insert_if_absent_whole", "select o_orderkey, case when o_orderkey % 3 = 0 then 'old' else 'new' end as state from orders")
-def control_insert_if_absent_whole(spark, d):
     o = read_table(spark, d, "orders").select("o_orderkey")
     return control.insert_if_absent(o.where("o_orderkey % 3 = 0").withColumn("state", F.lit("old")), o.withColumn("state", F.lit("new")), ["o_orderkey"])
 
 
-@query("ledger_resolve", "select o_orderkey, case when o_orderkey % 5 = 0 then 'resolved' when o_custkey < 50 then 'resolved' else 'unresolved' end as status, case when o_orderkey % 5 = 0 then 'r0' when o_custkey < 50 then 'r1' end as run_id from orders where o_orderkey < 3000")
+@query("ledger_resolve", "select o_orderkey, case when o_orderkey % 5 = 0 then 'resolved' when o_custkey < 50 then 'resolved' else 'unresolved' end as status, case when o_orderkey % 5 = 0 then 'r0' when o_custkey < 50 then 'r1' end as run_id from orders")
 def ledger_resolve(spark, d):
-    o = read_table(spark, d, "orders").where("o_orderkey < 3000").select("o_orderkey", "o_custkey")
-    done = F.col("o_orderkey") % 5 == 0
-    led = o.withColumns({"status": F.when(done, "resolved").otherwise("unresolved"), "run_id": F.when(done, "r0"), "evidence": F.when(done, "e0")})
-    return control.resolve(led, F.col("o_custkey") < 50, "r1", "e1").select("o_orderkey", "status", "run_id")
-
-
-@query("ledger_resolve_whole", "select o_orderkey, case when o_orderkey % 5 = 0 then 'resolved' when o_custkey < 50 then 'resolved' else 'unresolved' end as status, case when o_orderkey % 5 = 0 then 'r0' when o_custkey < 50 then 'r1' end as run_id from orders")
-def ledger_resolve_whole(spark, d):
     o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
     done = F.col("o_orderkey") % 5 == 0
     led = o.withColumns({"status": F.when(done, "resolved").otherwise("unresolved"), "run_id": F.when(done, "r0"), "evidence": F.when(done, "e0")})
@@ -555,15 +553,8 @@ def run_spec_disagreement(spark, d):
     return control.one_spec(spark.createDataFrame([("r1", "x"), ("r1", "x"), ("r2", "x"), ("r2", "y")], "run_id string, spec string"))
 
 
-@query("audit_events", "select o_orderkey, '{\"event\":\"reconciled\",\"key\":' || o_orderkey || ',\"action\":\"' || case when o_orderkey % 2 = 0 then 'update' else 'delete' end || '\"}' as event from orders where o_orderkey < 200")
+@query("audit_events", "select o_orderkey, '{\"event\":\"reconciled\",\"key\":' || o_orderkey || ',\"action\":\"' || case when o_orderkey % 2 = 0 then 'update' else 'delete' end || '\"}' as event from orders")
 def audit_events(spark, d):
-    o = read_table(spark, d, "orders").where("o_orderkey < 200")
-    action = F.when(F.col("o_orderkey") % 2 == 0, "update").otherwise("delete")
-    return o.select("o_orderkey", F.to_json(F.struct(F.lit("reconciled").alias("event"), F.col("o_orderkey").alias("key"), action.alias("action"))).alias("event"))
-
-
-@query("audit_events_whole", "select o_orderkey, '{\"event\":\"reconciled\",\"key\":' || o_orderkey || ',\"action\":\"' || case when o_orderkey % 2 = 0 then 'update' else 'delete' end || '\"}' as event from orders")
-def audit_events_whole(spark, d):
     o = read_table(spark, d, "orders")
     action = F.when(F.col("o_orderkey") % 2 == 0, "update").otherwise("delete")
     return o.select("o_orderkey", F.to_json(F.struct(F.lit("reconciled").alias("event"), F.col("o_orderkey").alias("key"), action.alias("action"))).alias("event"))
