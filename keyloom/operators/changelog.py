@@ -39,6 +39,18 @@ def transaction_groups(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("group", F.floor((F.col("txn") - 1) / size).cast("long"))
 
 
+def group_cut(log: DataFrame, closes: str, rotates: str, size: int) -> DataFrame:
+    """One row, cut: the coordinate up to which whole groups of `size` transactions lie; null if none is whole.
+
+    log: file, pos, coord and two flags. A row with closes ends its transaction, one with rotates ends a group
+    however many transactions it has, and counting starts again behind it.
+    """
+    turn = log.agg(F.max(F.when(F.col(rotates), F.col("coord"))).alias("_turn"))  # a row
+    ends = log.where(closes).select("file", "pos", "coord").join(F.broadcast(turn), F.col("_turn").isNull() | (F.col("coord") > F.col("_turn")))
+    whole = transaction_ids(ends, F.lit(True)).where(F.col("txn") % size == 0).agg(F.max("coord").alias("_whole"))
+    return whole.join(F.broadcast(turn)).select(F.greatest("_whole", "_turn").alias("cut"))
+
+
 def carried(log: DataFrame, value: Column, name: str) -> DataFrame:
     """name: the last non-null value at or before each row, across files."""
     df = log.withColumns({"_f": file_number(F.col("file")), "_v": value})

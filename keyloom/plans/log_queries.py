@@ -70,6 +70,24 @@ def cdc_stream_apply(spark, d):
     return target.read()
 
 
+@query("cdc_stream_grouped", FINAL.replace(LOG, f"""{LOG.replace("log as", "all_log as", 1)}, turn as (select max(event_id) as turn from all_log where event_id % 1500 = 1499),
+  nth as (select event_id, row_number() over (order by event_id) as k from all_log, turn where event_type = 'purchase' and event_id > coalesce(turn, -1)),
+  cut as (select greatest(coalesce((select turn from turn), -1), coalesce((select max(event_id) from nth where k % 5 = 0), -1)) as cut),
+  log as (select all_log.* from all_log, cut where event_id <= cut.cut)"""))
+def cdc_stream_grouped(spark, d):
+    """The target after a stream that commits groups of five transactions, or what there is at a rotation; the rest waits."""
+    from keyloom.streaming.apply_stream import VersionedTarget, run_available, stream_log
+
+    log = events_log(spark, d).withColumns({"closes": F.col("event_type") == "purchase", "rotates": F.col("event_id") % 1500 == 1499})
+    log = log.select("file", "pos", "coord", "op", "before", "after", "closes", "rotates")
+    source, at = work_path(spark, "log"), work_path(spark, "target")
+    log.repartitionByRange(3, "coord").sortWithinPartitions("coord").write.parquet(source)
+    target = VersionedTarget(spark, at)
+    target.commit(no_users(spark), -1, None)
+    run_available(stream_log(spark, source, log.schema, 100), target, USERS, f"{at}-checkpoint", group=5)
+    return target.read()
+
+
 @query("cdc_compacted", f"with {LOG} select user_id, arg_max(op, event_id) as op, count(*) as changes from log group by 1")
 def cdc_compacted(spark, d):
     return apply.compact(events_log(spark, d), USERS).select("user_id", "op", "changes")

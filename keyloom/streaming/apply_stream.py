@@ -5,6 +5,10 @@ the last coordinate applied). A version counts once its commit record is there,
 by renaming a finished file, which the store does at once or not at all. A batch that is replayed after a
 crash finds its commit and does nothing; one that failed before its commit is applied anew. Rows at or
 before the committed coordinate are dropped, so splitting the log otherwise gives the same target.
+
+With flags for the ends of transactions, a batch is applied up to the last whole group of transactions.
+What lies behind it, the open transaction first of all, waits in `pending/v=N`, published by the same
+record, and comes before the next batch. Nothing at or behind a barrier is applied while it stands.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.operators import changelog
 from keyloom.operators.apply import apply_log
 from keyloom.plans.spec import TableSpec
 
@@ -46,12 +51,19 @@ class VersionedTarget:
         v = self.head()["version"] if version is None else version
         return self.spark.read.parquet(f"{self.path}/v={v}")
 
-    def commit(self, df: DataFrame, batch: int, coordinate: list | None) -> None:
-        """Write df as the next version and publish it; a version that was left without commit is replaced."""
+    def pending(self) -> DataFrame | None:
+        """Log rows that wait behind the newest version."""
+        head = self.head()
+        return self.spark.read.parquet(f"{self.path}/pending/v={head['version']}") if head and head.get("pending") else None
+
+    def commit(self, df: DataFrame, batch: int, coordinate: list | None, pending: DataFrame | None = None) -> None:
+        """Write df as the next version, and rows that wait, and publish both; a version that was left without commit is replaced."""
         head = self.head()
         version = head["version"] + 1 if head else 0
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        record = json.dumps({"version": version, "batch": batch, "coordinate": coordinate}).encode()
+        if pending is not None:
+            pending.write.mode("overwrite").parquet(f"{self.path}/pending/v={version}")
+        record = json.dumps({"version": version, "batch": batch, "coordinate": coordinate, "pending": pending is not None}).encode()
         temp, final = self._path(f"{self.path}/commits/.{version}.tmp"), self._path(f"{self.path}/commits/{version}")
         out = self._fs.create(temp, True)
         out.write(bytearray(record))
@@ -77,9 +89,16 @@ class VersionedTarget:
         self._fs.delete(self._path(f"{self.path}/lease"), False)
 
 
-def apply_batch(target: VersionedTarget, spec: TableSpec, on_duplicate: str = "ignore", hold_open: bool = True):
-    """The foreachBatch function. Batches have file, pos, coord, op, before, after; with hold_open also `closed`:
-    rows of a transaction whose commit hasn't come yet have closed = false and must not be applied."""
+def apply_batch(target: VersionedTarget, spec: TableSpec, on_duplicate: str = "ignore", hold_open: bool = True, group: int | None = None, barriers=None):
+    """The foreachBatch function. Batches have coord, op, before, after, and with group file and pos.
+
+    With hold_open also `closed`: rows of a transaction whose commit hasn't come yet have closed = false and
+    must not be there. With group, batches have the flags `closes` and `rotates` too and are applied in whole
+    groups of so many transactions, or up to a rotation. barriers() gives the coordinates (coord) of standing
+    barriers: only what lies before the first of them is applied.
+    """
+    if group is not None and group < 1:
+        raise ValueError("a group has a transaction or more")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         head = target.head()
@@ -91,9 +110,22 @@ def apply_batch(target: VersionedTarget, spec: TableSpec, on_duplicate: str = "i
             rows = rows.where((F.col("coord.file") > file) | ((F.col("coord.file") == file) & (F.col("coord.pos") > pos)))
         if hold_open and "closed" in rows.columns and not rows.where("not closed").isEmpty():
             raise RuntimeError("the batch cuts a transaction")
+        if (waiting := target.pending()) is not None:
+            rows = waiting.unionByName(rows).dropDuplicates(["coord"])  # a replayed row waits already
+        held = None
+        if barriers is not None:
+            first = F.broadcast(barriers().agg(F.min("coord").alias("_barrier")))
+            rows = rows.join(first)
+            held = rows.where(F.col("coord") >= F.col("_barrier")).drop("_barrier")
+            rows = rows.where(F.col("_barrier").isNull() | (F.col("coord") < F.col("_barrier"))).drop("_barrier")
+        if group is not None:
+            marked = rows.join(F.broadcast(changelog.group_cut(rows, "closes", "rotates", group)))
+            behind = marked.where(F.col("cut").isNull() | (F.col("coord") > F.col("cut"))).drop("cut")
+            held = behind if held is None else held.unionByName(behind)
+            rows = marked.where(F.col("coord") <= F.col("cut")).drop("cut")
         last = rows.agg(F.max("coord").alias("c")).first()["c"]
         coordinate = [last["file"], last["pos"]] if last else (head or {}).get("coordinate")
-        target.commit(apply_log(target.read(), rows.select("coord", "op", "before", "after"), spec, on_duplicate), batch_id, coordinate)
+        target.commit(apply_log(target.read(), rows.select("coord", "op", "before", "after"), spec, on_duplicate), batch_id, coordinate, held)
 
     return run
 
@@ -103,7 +135,7 @@ def stream_log(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_available(log: DataFrame, target: VersionedTarget, spec: TableSpec, checkpoint: str, on_duplicate: str = "ignore") -> None:
-    """Apply all of the log that is there, batch by batch, and stop."""
-    query = log.writeStream.foreachBatch(apply_batch(target, spec, on_duplicate)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(log: DataFrame, target: VersionedTarget, spec: TableSpec, checkpoint: str, on_duplicate: str = "ignore", **options) -> None:
+    """Apply all of the log that is there, batch by batch, and stop. Options are those of apply_batch."""
+    query = log.writeStream.foreachBatch(apply_batch(target, spec, on_duplicate, **options)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

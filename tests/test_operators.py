@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import scalars
 from keyloom.functions.encode import checksum, identity, row_text
-from keyloom.operators import apply, diff, graph, integrity, keyset, sync
+from keyloom.operators import apply, changelog, diff, graph, integrity, keyset, sync
 from keyloom.plans import control
 from keyloom.plans.schema_plan import ColumnType, TableState, blocker
 from keyloom.plans.spec import TableSpec
@@ -208,9 +208,62 @@ def test_stream_replays_once(spark):
         target.lease("two")
 
 
-def test_bounded_stop_in_a_later_file(spark):
-    from keyloom.operators import changelog
+def grouped_frame(spark, log, closing, turning):
+    pos = F.col("coord.pos")
+    return log_frame(spark, log).withColumns({"file": F.lit("log.000001"), "pos": pos, "closes": pos.isin(closing), "rotates": pos.isin(turning)})
+
+
+def test_stream_applies_whole_groups(spark):
+    log = random_log(random.Random(5), 30)
+    df = grouped_frame(spark, log, [3, 6, 12, 20, 25], [10])
+    cut = lambda rows, size: rows.agg(F.max("coord")).first()[0] and changelog.group_cut(rows, "closes", "rotates", size).first()["cut"]
+    assert [cut(df, n)["pos"] for n in (1, 2, 3, 4)] == [25, 20, 25, 10]
+    assert cut(df.where("pos < 3"), 1) is None
+    target = VersionedTarget(spark, work_path(spark, "target"))
+    target.commit(frame(spark, [(0, "x", "old")]), -1, None)
+    part = lambda lo, hi: df.where((F.col("pos") >= lo) & (F.col("pos") < hi))
+    after = []
+    for n, (lo, hi) in enumerate(((0, 2), (2, 8), (8, 14), (14, 30))):
+        apply_batch(target, SPEC, group=2)(part(lo, hi), n)
+        after.append(got(target.read()))
+    want = lambda n: fold([(0, "x", "old")], log[:n])
+    assert after == [want(0), want(7), want(11), want(21)] and target.pending().count() == 9
+
+
+def test_stream_that_fails_before_its_commit(spark, monkeypatch):
+    log = random_log(random.Random(6), 20)
+    df = grouped_frame(spark, log, [9], [])
+    target = VersionedTarget(spark, work_path(spark, "target"))
+    target.commit(frame(spark, []), -1, None)
+    commit = VersionedTarget.commit
+
+    def torn(self, rows, *more):
+        rows.write.mode("overwrite").parquet(f"{self.path}/v={self.head()['version'] + 1}")
+        raise OSError("lost")
+
+    monkeypatch.setattr(VersionedTarget, "commit", torn)
+    with pytest.raises(OSError):
+        apply_batch(target, SPEC, group=1)(df, 0)
+    monkeypatch.setattr(VersionedTarget, "commit", commit)
+    assert target.head()["version"] == 0 and got(target.read()) == []
+    apply_batch(target, SPEC, group=1)(df, 0)
+    assert got(target.read()) == fold([], log[:10]) and target.pending().count() == 10
+
+
+def test_stream_stops_before_a_barrier(spark):
+    log = random_log(random.Random(7), 20)
+    df = log_frame(spark, log)
+    at = df.orderBy("coord").select("coord").collect()[12]["coord"]
+    target = VersionedTarget(spark, work_path(spark, "target"))
+    target.commit(frame(spark, []), -1, None)
+    standing = df.where((F.col("coord.file") == at["file"]) & (F.col("coord.pos") == at["pos"])).select("coord")
+    apply_batch(target, SPEC, barriers=lambda: standing)(df, 0)
+    assert got(target.read()) == fold([], log[:12])
+    apply_batch(target, SPEC, barriers=lambda: standing.limit(0))(df.limit(0), 1)
+    assert got(target.read()) == fold([], log) and target.pending().count() == 0
+
 
+def test_bounded_stop_in_a_later_file(spark):
     rows = [(f, p, p - 10, "commit" if p == 30 else "rows") for f in ("log.1", "log.2") for p in (10, 20, 30)]
     log = spark.createDataFrame(rows, "file string, pos long, start_pos long, event_type string")
     got = {s: tuple(changelog.bounded_stop(log, s[1], s[0]).first()) for s in ((1, 15), (2, 30), (2, 20), (2, 15), (3, 5))}
