@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import canonical as C
 from keyloom.functions import scalars as fn
 from keyloom.operators import graph
-from keyloom.plans import control, schema_plan
+from keyloom.plans import control, render, schema_plan
 from keyloom.plans.log_queries import values
 from keyloom.plans.registry import query
 from keyloom.session import read_table
@@ -230,6 +230,39 @@ def schema_plan_query(spark, d):
     return _plan(spark)
 
 
+#: A catalog with a table for each customer. The target lacks some tables and columns, has one more, or a shorter type.
+CUSTOMER_TABLES_SQL = """k as (select c_custkey as k, 't' || c_custkey as table_name, 'varchar(' || 10 + c_nationkey || ')' as wide from customer),
+  src as (select k, table_name, 1 as ordinal, 'id' as column_name, 'bigint NOT NULL AUTO_INCREMENT' as def from k
+    union all select k, table_name, 2, 'name', wide || ' CHARACTER SET utf8mb4 COLLATE utf8mb4_bin NULL' from k
+    union all select k, table_name, 3, 'amount', 'decimal(10,2) NOT NULL DEFAULT ''0.00''' from k
+    union all select k, table_name, 4, 'made', 'timestamp NOT NULL DEFAULT CURRENT_TIMESTAMP' from k)"""
+
+
+def _customer_tables(spark, d):
+    k = read_table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("table_name"), F.concat(F.lit("varchar("), (F.col("c_nationkey") + 10).cast("string"), F.lit(")")).alias("wide"))
+    own = [(1, "id", "bigint", "bigint", False, None, None, None, "auto_increment"), (2, "name", None, "varchar", True, "utf8mb4", "utf8mb4_bin", None, ""), (3, "amount", "decimal(10,2)", "decimal", False, None, None, "0.00", ""), (4, "made", "timestamp", "timestamp", False, None, None, "CURRENT_TIMESTAMP", "DEFAULT_GENERATED")]
+    names = "ordinal int, column_name string, column_type string, data_type string, nullable boolean, character_set string, collation string, default_value string, extra string"
+    rows = lambda cols: k.join(F.broadcast(spark.createDataFrame(cols, names))).withColumns({"column_type": F.coalesce("column_type", "wide"), "generated": F.lit(None).cast("string")}).drop("wide")
+    source = rows(own)
+    target = source.where("k % 7 <> 0 and not (k % 5 = 0 and column_name = 'amount')")
+    target = target.withColumn("column_type", F.when((F.col("column_name") == "name") & (F.col("k") % 3 == 0), "varchar(5)").otherwise(F.col("column_type")))
+    more = rows([(5, "old", "int", "int", True, None, None, None, "")]).where("k % 7 <> 0 and k % 11 = 0")
+    return source.drop("k"), target.unionByName(more).drop("k")
+
+
+@query("schema_statements", f"""with {CUSTOMER_TABLES_SQL}
+  select 1 as phase, table_name, 'table:' || table_name as object, 'CREATE TABLE `' || table_name || '` (' || string_agg('`' || column_name || '` ' || def, ', ' order by ordinal) || ', PRIMARY KEY (`id`))' as statement, '' as needs from src where k % 7 = 0 group by table_name
+  union all select 2, table_name, 'column:' || table_name || '.amount', 'ALTER TABLE `' || table_name || '` ADD COLUMN `amount` ' || def || ' AFTER `name`', 'column:' || table_name || '.name' from src where k % 7 <> 0 and k % 5 = 0 and column_name = 'amount'
+  union all select 2, table_name, 'column:' || table_name || '.name', 'ALTER TABLE `' || table_name || '` MODIFY COLUMN `name` ' || def, '' from src where k % 7 <> 0 and k % 3 = 0 and column_name = 'name'
+  union all select 2, table_name, 'column:' || table_name || '.old', 'ALTER TABLE `' || table_name || '` DROP COLUMN `old`', '' from k where k % 7 <> 0 and k % 11 = 0""")
+def schema_statements(spark, d):
+    """Statements for a catalog with a table for each customer."""
+    source, target = _customer_tables(spark, d)
+    keys = source.where("column_name = 'id'").select("table_name", "ordinal", "column_name")
+    out = render.statements(render.column_statements(source, target, keys))
+    return out.select("phase", "table_name", "object", "statement", F.array_join("needs", ",").alias("needs"))
+
+
 @query("schema_plan_stages", f"{PLAN_SQL} select case when phase <= 2 then 'prerequisite_schema' else 'final_constraints' end as stage, count(*) as statements from p group by 1")
 def schema_plan_stages(spark, d):
     p = _plan(spark)

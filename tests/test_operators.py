@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from keyloom.functions import scalars
 from keyloom.functions.encode import checksum, identity, row_text
 from keyloom.operators import apply, changelog, diff, graph, integrity, keyset, sync
-from keyloom.plans import control
+from keyloom.plans import control, render
 from keyloom.plans.schema_plan import ColumnType, TableState, blocker
 from keyloom.plans.spec import TableSpec
-from keyloom.sources import log_text
+from keyloom.sources import inventory, log_text
 from keyloom.session import work_path
 from keyloom.streaming.apply_stream import VersionedTarget, apply_batch, run_available, stream_log
 
@@ -324,3 +324,43 @@ def test_log_lines_are_numbered_by_file(spark, tmp_path):
 
 def test_index_behind_a_reference():
     assert graph.index_supports_reference(("a", "b"), [("a",)]) and not graph.index_supports_reference(("b", "a"), [("a",), ("b", "c")])
+
+
+# --- statements ----------------------------------------------------------------------------------------
+
+
+def test_definitions_and_statements(spark):
+    rows = [
+        ("t", 1, "id", "int", "int", False, None, None, None, "auto_increment", None),
+        ("t", 2, "a`b", "varchar(9)", "varchar", False, "utf8mb4", "utf8mb4_bin", "", "", None),
+        ("t", 3, "c", "enum('x')", "enum", True, None, None, "it's", "", None),
+        ("t", 4, "at", "datetime", "datetime", True, None, None, "CURRENT_TIMESTAMP", "DEFAULT_GENERATED on update CURRENT_TIMESTAMP", None),
+        ("t", 5, "g", "int", "int", True, None, None, None, "STORED GENERATED", "`id`*2"),
+    ]
+    source = inventory.frame(spark, rows, inventory.COLUMNS)
+    keys = inventory.frame(spark, [("t", 2, "a`b"), ("t", 1, "id")], inventory.KEYS)
+    (made,) = render.column_statements(source, source.limit(0), keys).collect()
+    assert made["statement"] == (
+        "CREATE TABLE `t` (`id` int NOT NULL AUTO_INCREMENT, `a``b` varchar(9) CHARACTER SET utf8mb4 COLLATE utf8mb4_bin NOT NULL DEFAULT '', `c` enum('x') NULL DEFAULT 'it''s', "
+        "`at` datetime NULL DEFAULT CURRENT_TIMESTAMP ON UPDATE CURRENT_TIMESTAMP, `g` int GENERATED ALWAYS AS (`id`*2) STORED NULL, PRIMARY KEY (`id`, `a``b`))"
+    )
+    target = inventory.frame(spark, [*rows[1:3], ("t", 6, "z", "int", "int", True, None, None, None, "", None), ("own", 1, "id", "int", "int", True, None, None, None, "", None)], inventory.COLUMNS)
+    got_ = {r["object"]: (r["statement"], r["needs"]) for r in render.column_statements(source.where("column_name <> 'at'"), target, keys).collect()}
+    assert got_ == {
+        "column:t.id": ("ALTER TABLE `t` ADD COLUMN `id` int NOT NULL AUTO_INCREMENT FIRST", []),
+        "column:t.g": ("ALTER TABLE `t` ADD COLUMN `g` int GENERATED ALWAYS AS (`id`*2) STORED NULL AFTER `c`", ["column:t.c"]),
+        "column:t.z": ("ALTER TABLE `t` DROP COLUMN `z`", []),
+    }
+    assert render.column_statements(source, source, keys).count() == 0
+
+
+def test_index_and_reference_statements(spark):
+    index = spark.createDataFrame([("t", "create", "i", True, [("a", None), ("b", 5)]), ("t", "drop", "j", False, [("a", None)])], "table_name string, action string, index_name string, is_unique boolean, columns array<struct<column_name:string,prefix_length:int>>")
+    refs = spark.createDataFrame([("t", "create", "f", ["a", "b"], "p", ["x", "y"], "CASCADE", "RESTRICT"), ("t", "drop", "g", ["a"], "p", ["x"], "RESTRICT", "RESTRICT")], "table_name string, action string, constraint_name string, child_columns array<string>, parent_table string, parent_columns array<string>, update_rule string, delete_rule string")
+    rows = render.statements(render.index_statements(index), render.reference_statements(refs)).orderBy("place").collect()
+    assert [(r["phase"], r["statement"], r["needs"]) for r in rows] == [
+        (0, "ALTER TABLE `t` DROP FOREIGN KEY `g`", []),
+        (3, "ALTER TABLE `t` ADD UNIQUE INDEX `i` (`a`, `b`(5))", ["column:t.a", "column:t.b"]),
+        (3, "ALTER TABLE `t` DROP INDEX `j`", []),
+        (4, "ALTER TABLE `t` ADD CONSTRAINT `f` FOREIGN KEY (`a`, `b`) REFERENCES `p` (`x`, `y`) ON UPDATE CASCADE ON DELETE RESTRICT", ["table:p"]),
+    ]
