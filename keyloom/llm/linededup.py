@@ -3,8 +3,8 @@
 The eligible lines of each document are exploded with their position; a line's key is hashed to 128
 bits. Pairs of hash and document are made distinct, dealt by both, and then counted by hash (combined
 before that shuffle, so a line that a third of all documents hold costs one row a task), which also
-finds the largest id. The lines of hashes over the
-threshold are joined back, become a sorted list of positions for each document, and the text is put
+finds the largest id. The lines of hashes over the threshold are joined back, those of one hash in
+several tasks by a salt, become a sorted list of positions for each document, and the text is put
 together from the slices between those positions.
 """
 
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import ascii_lower, pinned, strip_spaces
 
+#: Tasks to which the lines of one hash are dealt when they meet its count.
+SALTS = 8
+
 
 def line_key(line: Column) -> Column:
     return ascii_lower(strip_spaces(line))
@@ -44,7 +47,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     once = base.select("_id", F.explode(F.array_distinct(_eligible(F.col("_text"), min_chars))).alias("_k"))
     common = _hashed(once).groupBy("_h1", "_h2").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= min_docs).select("_h1", "_h2", "_keep")
     placed = base.select("_id", F.xxhash64("_text").alias("_row"), F.posexplode(F.transform(F.split(F.col("_text"), "\n", -1), line_key)).alias("_pos", "_k")).where(F.char_length("_k") >= min_chars)
-    hits = _hashed(placed).join(common, ["_h1", "_h2"]).where(F.col("_id") != F.col("_keep"))
+    common = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = _hashed(placed).withColumn("_salt", F.pmod("_row", F.lit(SALTS)).cast("int")).join(common, ["_h1", "_h2", "_salt"]).where(F.col("_id") != F.col("_keep"))
     cuts = hits.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_cut"))
     # The row travels as one struct, so that no name in it clashes with those used here.
     rows = docs.select(F.struct(*docs.columns).alias("_in"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_row"))
