@@ -378,8 +378,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         once = materialise(sk.groupBy("id").agg(F.max_by(F.struct("s1", "s2", "n", "prefix", "bits"), F.struct("n", "s1", "s2")).alias("r")).select("id", "r.*"), "sketches")
         discard(sk)
         sk = once
+    # Copies of one text, which may be a third of all rows, meet their representative in SALTS tasks.
     copies = sk.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.count("*").alias("c")).where("c > 1").drop("c")
-    classes = materialise(sk.select("id", "s1", "s2", "n").join(copies, ["s1", "s2", "n"], "left").select("id", "n", F.coalesce("node", "id").alias("node")), "classes")
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = sk.select("id", "s1", "s2", "n", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    classes = materialise(salted.join(copies, ["s1", "s2", "n", "salt"], "left").select("id", "n", F.coalesce("node", "id").alias("node")), "classes")
     copied = classes.where("id <> node").select("id")
     nodes = sk.where("n > 0").select("id", "n", "prefix").join(copied, "id", "left_anti")
     postings = nodes.select(F.col("id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
