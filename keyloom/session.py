@@ -16,12 +16,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in local tests, a temporary folder is made.
+    Only where that setting is missing on a local master, as in tests, a temporary folder is made; on a
+    cluster, whose machines wouldn't share it, its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="keyloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
