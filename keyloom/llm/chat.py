@@ -143,7 +143,7 @@ def read_back(ids: np.ndarray, mask: np.ndarray, template: Template, decoder: De
 def format_conversations(turns: DataFrame, template: Template, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each conversation: conv_col, ids, loss_mask (1 for tokens of assistant texts), formatted.
 
-    Turns go in order of turn_col, nulls first, ties by role and then text; repeated rows are turns of
+    Turns go in order of turn_col, nulls first, ties by role and then by the bytes of the text's ids; repeated rows are turns of
     their own. Null roles and texts count as empty. Rows with a null conversation make up one
     conversation with a null id. Other columns are ignored. An empty table gives an empty table. Turns
     are encoded where they lie; only ids are shuffled, and a task holds one conversation at a time.
