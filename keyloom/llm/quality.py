@@ -2,7 +2,9 @@
 
 A document's strength is a linear function of features of its text. A document labelled 1 is preferred
 to one labelled 0, with probability sigmoid(strength difference); the weights minimise the logistic loss
-over sampled pairs, on feature differences. The cut is the quantile of the strengths at the share of
+over all pairs of a labelled 1 and a labelled 0 document, on feature differences. A difference of two strengths
+is needed for each pair only, so documents meet in narrow bins of their strength: no pair is listed, none is
+left out, and a pass over the features of all labelled documents is a Newton step. The cut is the quantile of the strengths at the share of
 label 0 among all usable labels, and the score is sigmoid(strength - cut + logit(threshold)), so that a
 score reaches the threshold exactly at the cut.
 """
@@ -18,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import held_out, read_table
+from keyloom.llm.common import discard, held_out, materialise, read_table
 
-#: Labelled documents of each class that the fit takes at most, first by hash of the id.
-MAX_PER_CLASS = 6000
-#: Preference pairs that the fit draws from them.
-PAIRS = 120_000
+#: Width of the bins of strength in which pairs are counted, and bins of a coarse one for second derivatives.
+BIN, COARSE = 1 / 128, 16
+#: Bins into which a bin that holds the cut is divided.
+FINER = 4096
+#: Of half the squared weights, against the mean loss of a pair.
+PENALTY = 1e-3
 THRESHOLD = 0.7
 FEATURES = 18
 
@@ -72,60 +76,194 @@ class QualityModel:
     threshold: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        raw = ((x - np.array(self.mean)) / np.array(self.scale)) @ np.array(self.weights)
+        raw = ((x - np.array(self.mean)) / np.array(self.scale) * np.array(self.weights)).sum(1)
         z = np.clip(raw - self.cut + math.log(self.threshold / (1 - self.threshold)), -35, 35)
         return 1 / (1 + np.exp(-z))
 
 
-def _fit(good: np.ndarray, bad: np.ndarray, share_bad: float, threshold: float, pairs: int) -> QualityModel:
-    both = np.vstack([good, bad]) if len(good) + len(bad) else np.zeros((1, FEATURES))
-    mean, scale = both.mean(0), both.std(0) + 1e-6
-    w = np.zeros(FEATURES)
-    if not len(good) or not len(bad):
-        return QualityModel(tuple(mean), tuple(scale), tuple(w), 0.0, threshold)
-    g, b, rng = (good - mean) / scale, (bad - mean) / scale, np.random.default_rng(11)
-    d = g[rng.integers(0, len(g), pairs)] - b[rng.integers(0, len(b), pairs)]
-    penalty = 1e-3 * len(d)
-    for _ in range(40):  # Newton steps on the penalised logistic loss
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -35, 35)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + penalty * np.eye(FEATURES), d.T @ (1 - p) - penalty * w)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
+def _train_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, x): features of each row that isn't held out; they are far smaller than the texts, which don't move."""
+
+    def run(batches):
+        for b in batches:
+            x = [features(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["k", "x"])
+
+    k = F.col(id_col)
+    kept = docs.where(k.isNotNull() & ~held_out(k)).select(k.alias("k"), F.col(text_col).alias("t"))
+    return kept.mapInArrow(run, T.StructType([kept.schema["k"], T.StructField("x", T.ArrayType(T.DoubleType()))]))
+
+
+def _rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(b.column(0)), np.asarray(b.column(1).flatten()).reshape(-1, FEATURES)
+
+
+def _moments(batches):
+    """Rows of each class, mean and sum of squared deviations of the features of a task."""
+    for b in batches:
+        y, x = _rows(b)
+        if len(y):
+            v = np.concatenate([x.mean(0), ((x - x.mean(0)) ** 2).sum(0)])
+            yield pa.RecordBatch.from_arrays([pa.array([int((y == c).sum())], pa.int64()) for c in (0, 1)] + [pa.array([v.tolist()], pa.list_(pa.float64()))], ["bad", "good", "v"])
+
+
+def _standard(rows: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Rows of each class, means and deviations of all rows."""
+    n, bad, good, mean, squares = 0, 0, 0, np.zeros(FEATURES), np.zeros(FEATURES)
+    for r in rows.mapInArrow(_moments, "bad long, good long, v array<double>").toLocalIterator():
+        m, v = r["bad"] + r["good"], np.array(r["v"])
+        step = v[:FEATURES] - mean
+        squares += v[FEATURES:] + step**2 * (n * m / (n + m))
+        mean, n, bad, good = mean + step * (m / (n + m)), n + m, bad + r["bad"], good + r["good"]
+    return bad, good, np.round(mean, 9), np.round(np.sqrt(squares / max(1, n)), 9) + 1e-6
+
+
+def _emit(total: dict):
+    if total:
+        y, kind, at = zip(*total)
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(kind, pa.int32()), pa.array(at, pa.int64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["y", "kind", "at", "v"])
+
+
+def _binned(mean: np.ndarray, scale: np.ndarray, w: np.ndarray):
+    """Of all rows of a task by class: count and sum of features by bin of strength, sums of their products by coarse bin."""
+
+    def run(batches):
+        total: dict = {}
+        for b in batches:
+            ys, x = _rows(b)
+            for y in (0, 1):
+                z = (x[ys == y] - mean) / scale
+                at = np.floor(z @ w / BIN).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                z, at = z[order], at[order]
+                for kind, key in enumerate((at, at // COARSE)):
+                    values, starts = np.unique(key, return_index=True)
+                    for u, lo, hi in zip(values.tolist(), starts.tolist(), [*starts[1:].tolist(), len(key)]):
+                        v = (z[lo:hi].T @ z[lo:hi]).ravel() if kind else np.concatenate([[hi - lo], z[lo:hi].sum(0)])
+                        total[y, kind, u] = total[y, kind, u] + v if (y, kind, u) in total else v
+        yield from _emit(total)
+
+    return run
+
+
+def _merged(batches):
+    total: dict = {}
+    for b in batches:
+        for y, kind, at, v in zip(*(c.to_pylist() for c in b.columns)):
+            total[y, kind, at] = total[y, kind, at] + np.array(v) if (y, kind, at) in total else np.array(v)
+    yield from _emit(total)
+
+
+def _slopes(bins: list, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean logistic loss over all pairs of a good and a bad row, its gradient and about its second derivative.
+
+    A row takes part in its bin: all pairs of two bins have the difference of their mean strengths.
+    """
+    bins = sorted((r["y"], r["kind"], r["at"], r["v"]) for r in bins)
+    side = [np.array([v for c, kind, _, v in bins if c == y and not kind]) for y in (0, 1)]
+    (nb, xb), (ng, xg) = ((v[:, 0], v[:, 1:]) for v in side)
+    sb, sg = xb @ w / nb, xg @ w / ng
+    loss, cross = 0.0, np.zeros((FEATURES, FEATURES))
+    wrong, slope = [np.zeros(len(nb)), np.zeros(len(ng))], [np.zeros(len(nb)), np.zeros(len(ng))]
+    for i in range(0, len(ng), 256):
+        cut = slice(i, i + 256)
+        d = sg[cut, None] - sb[None, :]
+        e = np.exp(-np.abs(d))
+        loss += float(ng[cut] @ (np.log1p(e) + np.maximum(-d, 0)) @ nb)
+        p = np.where(d > 0, e, 1.0) / (1 + e)
+        q = e / (1 + e) ** 2
+        wrong[1][cut], wrong[0] = p @ nb, wrong[0] + ng[cut] @ p
+        slope[1][cut], slope[0] = q @ nb, slope[0] + ng[cut] @ q
+        cross += xg[cut].T @ (q @ xb)
+    gradient = xb.T @ wrong[0] - xg.T @ wrong[1]
+    second = -cross - cross.T
+    for y, n in enumerate((nb, ng)):
+        coarse = np.array([at // COARSE for c, kind, at, _ in bins if c == y and not kind])
+        values, inside = np.unique(coarse, return_inverse=True)
+        weight = dict(zip(values.tolist(), np.bincount(inside, n * slope[y]) / np.bincount(inside, n)))
+        second += sum(weight[at] * np.array(v).reshape(FEATURES, FEATURES) for c, kind, at, v in bins if c == y and kind)
+    pairs = ng.sum() * nb.sum()
+    return loss / pairs, gradient / pairs, second / pairs
+
+
+def _weights(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Weights that minimise the penalised loss over all pairs, by Newton steps; a step that doesn't help is halved."""
+    schema = "y int, kind int, at long, v array<double>"
+    at, w, step, last = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES), math.inf
+    for _ in range(40):
+        parts = rows.mapInArrow(_binned(mean, scale, w), schema).repartition("y", "kind", "at").mapInArrow(_merged, schema)
+        loss, gradient, second = _slopes(parts.collect(), w)
+        loss += PENALTY * float(w @ w) / 2
+        if loss > last + 1e-7:
+            step = step / 2
+        else:
+            at, last = w, loss
+            step = -np.linalg.solve(second + PENALTY * np.eye(FEATURES), gradient + PENALTY * w)
+        w = at + step
+        if np.abs(step).max() < 1e-4:
             break
-    s = np.concatenate([g @ w, b @ w])
-    weight = np.concatenate([np.full(len(g), (1 - share_bad) / len(g)), np.full(len(b), share_bad / len(b))])
-    order = np.argsort(s, kind="stable")
-    below = np.cumsum(weight[order])
-    i = min(int(np.searchsorted(below, share_bad - 1e-9)), len(s) - 2)
-    return QualityModel(tuple(mean), tuple(scale), tuple(w), float((s[order][i] + s[order][i + 1]) / 2), threshold)
+    return np.round(w, 6)  # sums differ in their last digits with the order of tasks
 
 
-def _features_of(docs: DataFrame, text_col: str) -> DataFrame:
+def _levels(mean: np.ndarray, scale: np.ndarray, w: np.ndarray, lo: float, width: float, end: int | None):
+    """Rows of each class, least and largest strength by bins of a width from lo on, of the first `end` bins."""
+
     def run(batches):
         for b in batches:
-            x = [features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "x"])
+            y, x = _rows(b)
+            s = (((x - mean) / scale) * w).sum(1)
+            at = np.floor((s - lo) / width)
+            if end is not None:
+                at = np.clip(at, 0, end - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(y), pa.array(s)], ["at", "y", "s"])
+
+    return run
 
-    return docs.select(text_col, "y").mapInArrow(run, "y int, x array<double>")
+
+def _cut(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, share_bad: float, bad: int, good: int) -> float:
+    """Where the weight of the strengths of all rows reaches share_bad, halfway to the next one; each class has its share of the labels as weight.
+
+    Found by counts in ever finer bins, since all strengths needn't fit into one place.
+    """
+    weight = lambda b, g: b * share_bad / bad + g * (1 - share_bad) / good
+    lo, width, end, inside, above, before = 0.0, BIN, None, None, math.inf, (0, 0)
+    while True:
+        found = rows.mapInArrow(_levels(mean, scale, w, lo, width, end), "at long, y int, s double")
+        if inside is not None:
+            found = found.where(F.col("s").between(*inside))
+        counts = found.groupBy("at").agg(F.count_if(F.col("y") == 0).alias("b"), F.count_if(F.col("y") == 1).alias("g"), F.min("s").alias("first"), F.max("s").alias("last"))
+        counts = sorted(counts.collect(), key=lambda r: r["at"])
+        for i, r in enumerate(counts):
+            upto = before[0] + r["b"], before[1] + r["g"]
+            if weight(*upto) >= share_bad - 1e-9 or i == len(counts) - 1:
+                break
+            before = upto
+        above = counts[i + 1]["first"] if i + 1 < len(counts) else above
+        if r["first"] == r["last"] or width < 1e-13:
+            break
+        inside, end = (r["first"], r["last"]), FINER
+        lo, width = r["first"], (r["last"] - r["first"]) / FINER
+    ended = weight(upto[0] - (r["b"] > 0), upto[1] - (r["b"] == 0)) < share_bad - 1e-9  # not amid equal strengths
+    return (r["last"] + above) / 2 if ended and above < math.inf else r["last"]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, max_per_class: int = MAX_PER_CLASS, pairs: int = PAIRS) -> QualityModel:
-    """Learn from labels 0 and 1 of documents that aren't held out.
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> QualityModel:
+    """Learn from labels 0 and 1 of all documents that aren't held out.
 
-    Null ids and labels are skipped, so are ids with both labels. Of each class the max_per_class ids
-    first by hash train the weights; the share of label 0 counts all labels. Without labels of both
-    classes every score is the threshold.
+    Null ids and labels are skipped, so are ids with both labels. The share of label 0 counts all labels.
+    Without labels of both classes every score is the threshold.
     """
     usable = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k")))
     usable = usable.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").select("k", "y")
     counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
-    chosen = [usable.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(max_per_class) for y in (0, 1)]
-    ids = F.broadcast(chosen[0].unionAll(chosen[1]))  # at most 2 * max_per_class ids
-    train = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(ids, "k")
-    rows = _features_of(train, "t").collect()
-    side = lambda y: np.array(sorted(list(r["x"]) for r in rows if r["y"] == y), dtype=float).reshape(-1, FEATURES)
-    share = counts.get(0, 0) / max(1, sum(counts.values()))
-    return _fit(side(1), side(0), share, threshold, pairs)
+    rows = materialise(_train_features(docs, id_col, text_col).join(usable, "k").select("y", "x"), "features")
+    bad, good, mean, scale = _standard(rows)
+    w, cut = np.zeros(FEATURES), 0.0
+    if bad and good:
+        w = _weights(rows, mean, scale)
+        cut = _cut(rows, mean, scale, w, counts[0] / (counts[0] + counts[1]), bad, good)
+    discard(rows)
+    return QualityModel(tuple(mean), tuple(scale), tuple(w), float(cut), threshold)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -335,6 +336,31 @@ def test_quality_held_out(spark):
     assert out.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.95
 
 
+def all_pairs_weights(good, bad):
+    """Weights and cut of the quality model from a list of all pairs."""
+    both = np.vstack([good, bad])
+    mean, scale = both.mean(0), both.std(0) + 1e-6
+    g, b = (good - mean) / scale, (bad - mean) / scale
+    d, w = (g[:, None, :] - b[None, :, :]).reshape(-1, both.shape[1]), np.zeros(both.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(np.clip(d @ w, -35, 35)))
+        w = w + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + 1e-3 * len(d) * np.eye(len(w)), d.T @ p - 1e-3 * len(d) * w)
+    s = np.sort(np.concatenate([g @ w, b @ w]))
+    return w, (s[len(b) - 1] + s[len(b)]) / 2
+
+
+def test_quality_learns_from_all_labelled_documents_and_pairs(spark):
+    rng = random.Random(5)
+    words = lambda n, loud: " ".join(rng.choice(["some", "plain", "words,", "here.", "LOUD" if rng.random() < loud else "calm", "$$$" if rng.random() < loud else "text"]) for _ in range(n))
+    rows = [(i, words(rng.randrange(9, 40), 0.7 if i % 3 == 0 else 0.3)) for i in range(600)]
+    rows += [(600 + i, words(rng.randrange(9, 40), 0.5)) for i in range(40)]  # labelled against their looks
+    label = {i: int(i % 3 != 0) if i < 600 else i % 2 for i, _ in rows}
+    model = quality.fit_quality(docs(spark, rows), spark.createDataFrame(list(label.items()), "doc_id long, quality int"))
+    seen = [(label[i], quality.features(t)) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    w, cut = all_pairs_weights(*(np.array([x for y, x in seen if y == c]) for c in (1, 0)))
+    assert np.abs(np.array(model.weights) - w).max() < 1e-3 and abs(model.cut - cut) < 1e-2
+
+
 # --- 8 HTML --------------------------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><a href=x>Home</a></header><nav><ul><li><a>One</a></ul></nav>
