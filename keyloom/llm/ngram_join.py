@@ -53,6 +53,8 @@ VERIFY = 8.0
 MARKS = 1 << 24
 #: Parts into which rows of one frequent shingle are dealt for a join with what is known of the shingle.
 SALTS = 16
+#: Bytes of texts, postings or whole sets that a worker gets at a time; it and its executor hold a few of these.
+BATCH_BYTES = 1 << 22
 
 _U = np.uint64
 _P, _A = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -335,20 +337,24 @@ def _verify(num: int, den: int):
     return run
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    return materialise(df, label, BATCH_BYTES)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """A written table (u, v): for each node of an edge but the smallest of its component, that smallest one.
 
     By alternating star steps: each moves every edge to the smallest neighbour and is an aggregation and a
     join, in which a node with very many edges is pre-aggregated or split; each step is written down.
     """
-    cur, last = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges"), None
+    cur, last = _written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges"), None
     while True:
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        done, cur = cur, materialise(small, "stars")
+        done, cur = cur, _written(small, "stars")
         discard(done)
         state = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last:
@@ -373,16 +379,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     largest set. Other columns are ignored. An empty table gives an empty table.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
-    sk = materialise(base.mapInArrow(_sketch(k, num, den), "id long, s1 long, s2 long, n int, prefix array<long>, bits binary"), "sketches")
+    sk = _written(base.mapInArrow(_sketch(k, num, den), "id long, s1 long, s2 long, n int, prefix array<long>, bits binary"), "sketches")
     if sk.groupBy("id").count().where("count > 1").limit(1).count():
-        once = materialise(sk.groupBy("id").agg(F.max_by(F.struct("s1", "s2", "n", "prefix", "bits"), F.struct("n", "s1", "s2")).alias("r")).select("id", "r.*"), "sketches")
+        once = _written(sk.groupBy("id").agg(F.max_by(F.struct("s1", "s2", "n", "prefix", "bits"), F.struct("n", "s1", "s2")).alias("r")).select("id", "r.*"), "sketches")
         discard(sk)
         sk = once
     # Copies of one text, which may be a third of all rows, meet their representative in SALTS tasks.
     copies = sk.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.count("*").alias("c")).where("c > 1").drop("c")
     copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = sk.select("id", "s1", "s2", "n", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    classes = materialise(salted.join(copies, ["s1", "s2", "n", "salt"], "left").select("id", "n", F.coalesce("node", "id").alias("node")), "classes")
+    classes = _written(salted.join(copies, ["s1", "s2", "n", "salt"], "left").select("id", "n", F.coalesce("node", "id").alias("node")), "classes")
     copied = classes.where("id <> node").select("id")
     nodes = sk.where("n > 0").select("id", "n", "prefix").join(copied, "id", "left_anti")
     postings = nodes.select(F.col("id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
@@ -390,7 +396,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = postings.groupBy("token").agg(F.count("n").alias("df")).where("df > 1")
     grouped = postings.join(held, "token").groupBy("node", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("shared"))
     chosen = grouped.select("node", "n", "shared.pos", "shared.df", "shared.token").mapInArrow(_decide(num, den, most), "node long, n int, matches int, frequent boolean, rare array<long>, often array<long>, tokens binary")
-    chosen = materialise(chosen, "prefixes")
+    chosen = _written(chosen, "prefixes")
 
     stars = _linked(sk, chosen, base, k, num, den, block)
     discard(sk, chosen)
@@ -419,15 +425,15 @@ def _linked(sk: DataFrame, chosen: DataFrame, base: DataFrame, k: int, num: int,
     held = chosen.select("node", "frequent", band.alias("band"), F.explode("often").alias("token"))
     bands = held.where("frequent").groupBy("token").agg(F.collect_set("band").alias("bands"))
     near = F.arrays_overlap("bands", F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    often = materialise(_by_token(held, bands).where(F.col("frequent") | near).select("node", "frequent", "token"), "often")
+    often = _written(_by_token(held, bands).where(F.col("frequent") | near).select("node", "frequent", "token"), "often")
     sizes = often.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    dealt = materialise(_by_token(often, sizes).withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "blocks")
+    dealt = _written(_by_token(often, sizes).withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "blocks")
     discard(often)
     bucket = lambda part: F.xxhash64(F.lit(1), "token", part).alias("bucket")
     row = lambda df, part, side, across: df.select(bucket(part), F.lit(side).alias("side"), F.lit(across).alias("across"), F.lit(True).alias("hot_list"), "node")
 
     facts = chosen.select("node", "n", "matches", "frequent", "tokens").join(sk.select(F.col("id").alias("node"), "bits"), "node")
-    members = materialise(rare.unionByName(row(dealt, "part", 0, False)), "lists")
+    members = _written(rare.unionByName(row(dealt, "part", 0, False)), "lists")
     stars, failed = _rounds(members, facts, base, None, None, k, num, den)
     discard(members)
 
@@ -438,11 +444,11 @@ def _linked(sk: DataFrame, chosen: DataFrame, base: DataFrame, k: int, num: int,
     counted = many.groupBy("token", "comp").agg(F.count("*").alias("c"), F.count_if("frequent").alias("f"))
     largest = counted.groupBy("token").agg(F.max(F.struct("c", "f", "comp")).alias("most"), F.sum(F.col("c") - F.col("f")).alias("r"), F.count("*").alias("k")).where("k > 1")
     largest = largest.select("token", F.col("most.comp").alias("largest"), (F.col("most.f") <= F.col("r") - F.col("most.c") + F.col("most.f")).alias("inner"))
-    several = materialise(_by_token(many, largest), "several")
+    several = _written(_by_token(many, largest), "several")
     if not several.isEmpty():
         sent = F.when(F.col("comp") == F.col("largest"), F.col("frequent") & F.col("inner")).otherwise(F.col("frequent") | ~F.col("inner"))
         others = several.where(sent).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> part")
-        members = materialise(row(several, "part", 0, True).unionByName(row(others, "other", 1, True)), "across")
+        members = _written(row(several, "part", 0, True).unionByName(row(others, "other", 1, True)), "across")
         stars, failed = _rounds(members, facts, base, stars, failed, k, num, den)
         discard(members)
     discard(dealt, several, failed)
@@ -460,14 +466,14 @@ def _rounds(members: DataFrame, facts: DataFrame, base: DataFrame, stars: DataFr
         else:
             info = info.withColumn("failed", F.lit(None).cast("array<long>"))
         rows = proposed.join(info, "node").repartition("bucket").sortWithinPartitions("bucket", "node")
-        pairs = materialise(rows.mapInArrow(_propose(num, den, turn == 2), "bucket long, a long, b long"), "pairs")
+        pairs = _written(rows.mapInArrow(_propose(num, den, turn == 2), "bucket long, a long, b long"), "pairs")
         discard(again)
         whole = pairs.select("a", "b").distinct()
         # Whole sets only of what is proposed, from the texts, which don't move.
         marked = base.sparkSession.sparkContext.broadcast(_bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
-        sets = materialise(base.mapInArrow(_sets(k, marked), "node long, s binary").groupBy("node").agg(F.max_by("s", F.octet_length("s")).alias("s")), "sets")
+        sets = _written(base.mapInArrow(_sets(k, marked), "node long, s binary").groupBy("node").agg(F.max_by("s", F.octet_length("s")).alias("s")), "sets")
         both = whole.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-        checked = materialise(both.mapInArrow(_verify(num, den), "a long, b long, ok boolean"), "checked")
+        checked = _written(both.mapInArrow(_verify(num, den), "a long, b long, ok boolean"), "checked")
         discard(sets)
         good, bad = checked.where("ok").select("a", "b"), checked.where("not ok").select("a", "b")
         if not good.isEmpty():
@@ -475,10 +481,10 @@ def _rounds(members: DataFrame, facts: DataFrame, base: DataFrame, stars: DataFr
             stars = components(good if stars is None else good.unionAll(stars.select(F.col("u").alias("a"), F.col("v").alias("b"))))
             discard(before)
         if more := not bad.isEmpty():
-            before, failed = failed, materialise(bad if failed is None else failed.unionAll(bad), "failed")
+            before, failed = failed, _written(bad if failed is None else failed.unionAll(bad), "failed")
             discard(before)
             if turn < 2:
-                again = materialise(pairs.join(bad, ["a", "b"]).select("bucket").distinct(), "again")
+                again = _written(pairs.join(bad, ["a", "b"]).select("bucket").distinct(), "again")
                 proposed = members.join(again, "bucket")
         discard(pairs, checked)
         if not more:

@@ -181,6 +181,30 @@ def test_large_groups_over_many_blocks_equal_brute_force(spark):
     assert max(Counter(c for _, c in want.values()).values()) >= 30
 
 
+def test_near_duplicates_pass_texts_and_sets_in_small_batches(spark, monkeypatch):
+    def watched(make):
+        def made(*args):
+            work = make(*args)
+
+            def run(batches):
+                def small():
+                    for b in batches:
+                        assert b.nbytes < 1 << 23
+                        yield b
+
+                yield from work(small())
+
+            return run
+
+        return made
+
+    for name in ("_sketch", "_decide", "_sets", "_verify"):
+        monkeypatch.setattr(ngram_join, name, watched(getattr(ngram_join, name)))
+    text = F.concat_ws(" ", F.expr("transform(sequence(0, 7999), x -> concat('w', x))"), F.concat(F.lit("own"), "id"))
+    out = ngram_join.near_duplicates(spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text")))
+    assert {(r["n_shingles"], r["component_id"]) for r in out.collect()} == {(7997, 0)}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
     one = ngram_join.near_duplicates(docs(spark)).collect()
