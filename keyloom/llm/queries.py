@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.llm import bpe, chat, decontam, html_text, langid, linededup, ngram_join, quality, rules, warc
+from keyloom.llm import bpe, chat, decontam, html_text, langid, linededup, ngram_join, quality, rules, topk, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_html_extraction": html_text.op8_html_extraction,
         "op9_quality_rules": rules.op9_quality_rules,
         "op10_decontamination": decontam.op10_decontamination,
+        "op13_top_k": topk.op13_top_k,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": chat.SQL, "op3_ngram_join": ngram_join.SQL, "op5_line_dedup": linededup.SQL, "op6_warc": warc.SQL, "op9_quality_rules": rules.SQL}
+    return {"op1_chat_format": chat.SQL, "op3_ngram_join": ngram_join.SQL, "op5_line_dedup": linededup.SQL, "op6_warc": warc.SQL, "op9_quality_rules": rules.SQL, "op13_top_k": topk.SQL}
