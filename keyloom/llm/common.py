@@ -103,3 +103,13 @@ def slices(texts: pa.Array, size: int):
         end = max(at + 1, int(np.searchsorted(ends, past + size, side="right")))
         yield texts.slice(at, end - at)
         at = end
+
+
+#: DuckDB: the table of CRC-32 as column t of a one-row table named crc.
+CRC_TABLE_SQL = "crc as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, range(8)), lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t)"
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: unsigned CRC-32 of an expression's UTF-8 bytes, code points below 2,048; crc (CRC_TABLE_SQL) must be in scope."""
+    points = f"flatten(list_transform(string_split({text}, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [192 + (unicode(x) >> 6)::bigint, 128 + (unicode(x) & 63)::bigint] end))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {points}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"

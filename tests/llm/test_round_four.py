@@ -48,10 +48,11 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(one, df, 50, skip_own=False).where(f"score = {4 * (9 * 256) ** 2}").count() == 8
 
 
-@pytest.mark.parametrize("size", [2.0**20, 2.0**23])
-def test_top_k_of_large_components_is_exact(spark, size):
+@pytest.mark.parametrize("far", [0.0, 2.0**45])
+def test_top_k_of_large_components_is_exact(spark, far):
+    """Scores past 2^53; with `far` a product bound past 2^63, although no score is."""
     rng = random.Random(4)
-    rows = [(i, [rng.randrange(-8, 8) * size + rng.random() for _ in range(3)]) for i in range(80)]
+    rows = [(i, [rng.choice([-1, 0, 1]) / 256, *(rng.randrange(-4, 4) * 2.0**20 + rng.random() for _ in range(2))]) for i in range(80)] + [(81, [far, 1.0, 2.0])]
     assert searched(spark.createDataFrame(rows, VECTORS)) == plain_top_k(rows, set(range(0, 80, 10)))
 
 
