@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.llm import bpe, chat, decontam, html_text, langid, linededup, ngram_join, prefix_trie, quality, rules, topk, warc
+from keyloom.llm import bpe, chat, decontam, html_text, langid, linededup, ngram_join, prefix_trie, quality, rules, topk, variants, warc
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_quality_rules": rules.op9_quality_rules,
         "op10_decontamination": decontam.op10_decontamination,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_spelling_variants": variants.op12_spelling_variants,
         "op13_top_k": topk.op13_top_k,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": chat.SQL, "op3_ngram_join": ngram_join.SQL, "op5_line_dedup": linededup.SQL, "op6_warc": warc.SQL, "op9_quality_rules": rules.SQL, "op11_prefix_trie": prefix_trie.SQL, "op13_top_k": topk.SQL}
+    return {"op1_chat_format": chat.SQL, "op3_ngram_join": ngram_join.SQL, "op5_line_dedup": linededup.SQL, "op6_warc": warc.SQL, "op9_quality_rules": rules.SQL, "op11_prefix_trie": prefix_trie.SQL, "op12_spelling_variants": variants.SQL, "op13_top_k": topk.SQL}
