@@ -2,12 +2,17 @@
 
 A run is a folder that driver and executors share:
 
-* `windows`  Parquet: number, rows and last key of each window of the source's key order, found in one pass;
-* `spec`     the run's settings, published once; a run that is opened with other settings is refused;
-* `changes/N` Parquet: the row changes of step N;
-* `steps/N`  the step's record, published by renaming a finished file.
+* `data/…`   Parquet under unique names: number, rows and last key of each window of the source's key order,
+  found in one pass, and the row changes of each step;
+* `spec`     the run's settings and where its windows are, created once; a run that is opened with other
+  settings is refused;
+* `steps/N`  the step's record, created once, which says where its changes are;
+* `failed/N` why a step failed. A run with such a record is refused until it is cleared (retry).
 
-A step counts once its record is there. One that failed before that is done anew, and a run that is opened
+Records are created or refused, never replaced (keyloom.records), and a run is worked on under a lease, so
+a second worker neither changes nor repeats what is published.
+
+A step counts once its record is there. One that was interrupted before that is done anew, and a run that is opened
 again goes on behind its last record. A step compares the source and target rows between two keys, which
 both scans take as pushed filters; the last one reaches beyond the source's last key, so that rows that
 only the target has go too. Keys are never null.
@@ -16,12 +21,14 @@ only the target has go too. Keys are never null.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators import apply, diff, keyset
 from keyloom.plans.spec import TableSpec
+from keyloom.records import Lease, Records, Taken
 
 STEP = "step long, windows long, rows_scanned long, inserts long, updates long, deletes long, last_key string, status string"
 
@@ -31,32 +38,29 @@ class SyncRun:
         if size < 1:
             raise ValueError("a window needs a positive size")
         self.spark, self.path, self.spec, self.size = spark, path.rstrip("/"), spec, size
-        self._at = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.records = Records(spark, self.path)
+        self.owner = uuid.uuid4().hex
 
     # --- records ---------------------------------------------------------------------------------------
 
-    def _publish(self, name: str, record: dict) -> None:
-        temp, final = self._at(f"{self.path}/{name}.tmp"), self._at(f"{self.path}/{name}")
-        out = self._fs.create(temp, True)
-        out.write(bytearray(json.dumps(record).encode()))
-        out.close()
-        if not self._fs.rename(temp, final):
-            raise RuntimeError(f"{name} of {self.path} was published by another writer")
+    def _steps(self) -> list[dict]:
+        return [self.records.read(f"steps/{n}") for n in self.records.numbers("steps")]
 
-    def _record(self, name: str) -> dict | None:
-        if not self._fs.exists(self._at(f"{self.path}/{name}")):
-            return None
-        stream = self._fs.open(self._at(f"{self.path}/{name}"))
-        try:
-            return json.loads(bytes(b & 255 for b in stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+    def _write(self, df: DataFrame) -> str:
+        """Write rows under a name that no one else uses."""
+        at = f"{self.path}/data/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        return at
 
-    def _steps(self) -> list[dict]:
-        at = self._at(f"{self.path}/steps")
-        found = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        return [self._record(f"steps/{n}") for n in sorted(int(x) for x in found if x.isdigit())]
+    def failure(self) -> str | None:
+        """Why the last step failed, if it did."""
+        found = self.records.numbers("failed")
+        return self.records.read(f"failed/{found[-1]}")["error"] if found else None
+
+    def retry(self) -> None:
+        """Clear the failures, so that the run can go on."""
+        for n in self.records.numbers("failed"):
+            self.records.delete(f"failed/{n}")
 
     def progress(self) -> DataFrame:
         """A row for each finished step."""
@@ -67,40 +71,58 @@ class SyncRun:
     def start(self, source: DataFrame) -> dict:
         """Settings of the run; on its first opening the source's windows are found."""
         own = {"table": self.spec.name, "key": list(self.spec.key), "columns": self.spec.writable, "size": self.size}
-        if held := self._record("spec"):
+        if held := self.records.read("spec"):
             if {k: held[k] for k in own} != own:
                 raise ValueError(f"{self.path} is a run with other settings: {held}")
             return held
         numbers = keyset.chunk_numbers(source, self.spec, self.size)
         last = F.max_by(F.struct(*self.spec.key), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(keyset.key_order(self.spec))]))
-        numbers.groupBy("chunk").agg(F.count("*").alias("rows"), last.alias("last")).write.mode("overwrite").parquet(f"{self.path}/windows")
-        held = own | {"windows": max(1, self._windows().count())}
-        self._publish("spec", held)
+        at = self._write(numbers.groupBy("chunk").agg(F.count("*").alias("rows"), last.alias("last")))
+        held = own | {"windows": max(1, self.spark.read.parquet(at).count()), "at": at}
+        self.records.create("spec", held)
         return held
 
-    def _windows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/windows")
-
-    def _last(self, number: int) -> list | None:
-        row = self._windows().where(F.col("chunk") == number).select("last.*").first()
-        return list(row) if row else None
+    def _part(self, settings: dict, first: int, end: int) -> tuple[list | None, list | None, int]:
+        """Last keys of two windows, and the rows of those behind the first up to the second."""
+        between = (F.col("chunk") > first) & (F.col("chunk") <= end)
+        rows = self.spark.read.parquet(settings["at"]).where((F.col("chunk") >= first) & (F.col("chunk") <= end))
+        key = lambda n: F.max_by("last", F.when(F.col("chunk") == n, F.lit(1)))
+        found = rows.agg(key(first).alias("after"), key(end).alias("upto"), F.coalesce(F.sum(F.when(between, F.col("rows"))), F.lit(0)).alias("rows")).first()
+        return (list(found["after"]) if found["after"] else None, list(found["upto"]) if found["upto"] else None, found["rows"])
 
     def step(self, source: DataFrame, target: DataFrame, windows: int = 1) -> dict | None:
-        """Do the next windows and publish them; None if all are done."""
+        """Do the next windows, in one comparison, and publish them; None if all are done.
+
+        Refused while another worker holds the run, and after a failure that retry() hasn't cleared.
+        """
+        if error := self.failure():
+            raise RuntimeError(f"{self.path} failed: {error}")
+        lease = Lease(self.records, self.owner)
+        lease.take()
+        number = len(self.records.numbers("steps"))
+        try:
+            return self._step(source, target, windows)
+        except Taken:
+            raise
+        except Exception as e:
+            self.records.create(f"failed/{len(self.records.numbers('failed'))}", {"step": number, "error": f"{type(e).__name__}: {e}"[:2000]})
+            raise
+        finally:
+            lease.give_up()
+
+    def _step(self, source: DataFrame, target: DataFrame, windows: int) -> dict | None:
         settings, done = self.start(source), self._steps()
         first = sum(r["windows"] for r in done)
         if first >= settings["windows"]:
             return None
         end = min(settings["windows"], first + windows)
-        after, upto = self._last(first), self._last(end)
+        after, upto, scanned = self._part(settings, first, end)
         bound = None if end == settings["windows"] else upto
         part = lambda df: keyset.window(df, self.spec, after, bound)
-        at = f"{self.path}/changes/{len(done)}"
-        diff.changes(part(source), part(target), self.spec).write.mode("overwrite").parquet(at)
+        at = self._write(diff.changes(part(source), part(target), self.spec))
         counts = self.spark.read.parquet(at).agg(*[F.count_if(F.col("op") == op).alias(n) for op, n in (("I", "inserts"), ("U", "updates"), ("D", "deletes"))]).first()
-        scanned = self._windows().where((F.col("chunk") > first) & (F.col("chunk") <= end)).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-        record = {"step": len(done), "windows": end - first, "rows_scanned": scanned, **counts.asDict(), "last_key": json.dumps(upto, default=str), "status": "complete" if bound is None else "running"}
-        self._publish(f"steps/{len(done)}", record)
+        record = {"step": len(done), "windows": end - first, "rows_scanned": scanned, **counts.asDict(), "last_key": json.dumps(upto, default=str), "status": "complete" if bound is None else "running", "at": at}
+        self.records.create(f"steps/{len(done)}", record)
         return record
 
     def run(self, source: DataFrame, target: DataFrame, windows: int = 1) -> None:
@@ -109,7 +131,5 @@ class SyncRun:
 
     def result(self, target: DataFrame) -> DataFrame:
         """The target with the changes of all finished steps."""
-        done = len(self._steps())
-        if not done:
-            return target.select(*self.spec.writable)
-        return apply.apply_changes(target, self.spark.read.parquet(*[f"{self.path}/changes/{n}" for n in range(done)]), self.spec)
+        done = [r["at"] for r in self._steps()]
+        return apply.apply_changes(target, self.spark.read.parquet(*done), self.spec) if done else target.select(*self.spec.writable)

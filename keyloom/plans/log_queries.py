@@ -64,7 +64,7 @@ def cdc_stream_apply(spark, d):
     log = events_log(spark, d).select("file", "pos", "coord", "op", "before", "after")
     source, at = work_path(spark, "log"), work_path(spark, "target")
     log.repartitionByRange(3, "coord").write.parquet(source)
-    target = VersionedTarget(spark, at)
+    target = VersionedTarget(spark, at, USERS.key)
     target.commit(no_users(spark), -1, None)
     run_available(stream_log(spark, source, log.schema, 100), target, USERS, f"{at}-checkpoint")
     return target.read()
@@ -82,7 +82,7 @@ def cdc_stream_grouped(spark, d):
     log = log.select("file", "pos", "coord", "op", "before", "after", "closes", "rotates")
     source, at = work_path(spark, "log"), work_path(spark, "target")
     log.repartitionByRange(3, "coord").sortWithinPartitions("coord").write.parquet(source)
-    target = VersionedTarget(spark, at)
+    target = VersionedTarget(spark, at, USERS.key)
     target.commit(no_users(spark), -1, None)
     run_available(stream_log(spark, source, log.schema, 100), target, USERS, f"{at}-checkpoint", group=5)
     return target.read()

@@ -1,101 +1,116 @@
 """Structured Streaming apply of a change log to a versioned target, exactly once.
 
-A target is a folder of versions `v=N` (Parquet) and commit records `commits/N` (JSON: version, batch and
-the last coordinate applied). A version counts once its commit record is there, and the record is written
-by renaming a finished file, which the store does at once or not at all. A batch that is replayed after a
-crash finds its commit and does nothing; one that failed before its commit is applied anew. Rows at or
-before the committed coordinate are dropped, so splitting the log otherwise gives the same target.
+A target is rows in buckets by the hash of their key, in folders of unique names under `data`, and commit
+records `commits/N`: batch, last coordinate applied, and the folder of each bucket. Only a record makes
+rows part of the target, and it is created or refused, never replaced (keyloom.records), so a writer that
+comes second leaves nothing but a folder that no record names. A batch rewrites the buckets that its keys
+are in and takes over the others. A batch that is replayed after a crash finds its commit and does nothing;
+one that failed before its commit is applied anew. Rows at or before the committed coordinate are dropped,
+so splitting the log otherwise gives the same target.
 
 With flags for the ends of transactions, a batch is applied up to the last whole group of transactions.
-What lies behind it, the open transaction first of all, waits in `pending/v=N`, published by the same
-record, and comes before the next batch. Nothing at or behind a barrier is applied while it stands.
+What lies behind it, the open transaction first of all, waits in a folder that the same record names, and
+comes before the next batch. Nothing at or behind a barrier is applied while it stands.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from keyloom.operators import changelog
 from keyloom.operators.apply import apply_log
 from keyloom.plans.spec import TableSpec
+from keyloom.records import Lease, Records, Taken  # noqa: F401
+
+#: Buckets of a new target. More of them make a batch rewrite less, and files smaller.
+BUCKETS = 16
 
 
 class VersionedTarget:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _commits(self) -> list[int]:
-        at = self._path(f"{self.path}/commits")
-        if not self._fs.exists(at):
-            return []
-        return sorted(int(n) for s in self._fs.listStatus(at) if (n := s.getPath().getName()).isdigit())
+    """key: the columns whose hash deals rows to buckets; none: the whole target is one bucket."""
+
+    def __init__(self, spark: SparkSession, path: str, key: tuple[str, ...] = (), buckets: int = BUCKETS):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), tuple(key)
+        self.buckets = buckets if key else 1
+        self.records = Records(spark, self.path)
 
     def head(self) -> dict | None:
         """The newest commit record."""
-        found = self._commits()
-        if not found:
-            return None
-        stream = self._fs.open(self._path(f"{self.path}/commits/{found[-1]}"))
-        try:
-            return json.loads(bytes(b & 255 for b in stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.head()["version"] if version is None else version
-        return self.spark.read.parquet(f"{self.path}/v={v}")
+        found = self.records.numbers("commits")
+        return self.records.read(f"commits/{found[-1]}") if found else None
+
+    def bucket(self, key: Column | None = None) -> Column:
+        """Number of the bucket of a row, or of a struct with its key."""
+        if not self.key:
+            return F.lit(0)
+        return F.pmod(F.xxhash64(*[key[c] if key is not None else F.col(c) for c in self.key]), F.lit(self.buckets)).cast("int")
+
+    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of a version (the newest), or only those of some buckets."""
+        record = self.head() if version is None else self.records.read(f"commits/{version}")
+        paths = [f"{self.path}/{p}" for b, p in enumerate(record["parts"]) if p and (buckets is None or b in buckets)]
+        schema = StructType.fromJson(record["schema"])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def pending(self) -> DataFrame | None:
         """Log rows that wait behind the newest version."""
         head = self.head()
-        return self.spark.read.parquet(f"{self.path}/pending/v={head['version']}") if head and head.get("pending") else None
+        return self.spark.read.parquet(f"{self.path}/{head['pending']}") if head and head["pending"] else None
 
-    def commit(self, df: DataFrame, batch: int, coordinate: list | None, pending: DataFrame | None = None) -> None:
-        """Write df as the next version, and rows that wait, and publish both; a version that was left without commit is replaced."""
+    def commit(self, df: DataFrame, batch: int, coordinate: list | None, pending: DataFrame | None = None, buckets: list[int] | None = None) -> None:
+        """Publish df as the next version, or as the next content of some buckets, and rows that wait.
+
+        If another writer publishes that version first, Taken is raised and its rows stay.
+        """
         head = self.head()
         version = head["version"] + 1 if head else 0
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        parts = list(head["parts"]) if head and buckets is not None else [None] * self.buckets
+        if head and len(head["parts"]) != self.buckets:
+            raise ValueError(f"{self.path} has {len(head['parts'])} buckets")
+        at = f"data/{uuid.uuid4().hex}"
+        dealt = df.withColumn("_bucket", self.bucket())
+        dealt = dealt.repartition("_bucket") if self.key else dealt
+        dealt.write.partitionBy("_bucket").parquet(f"{self.path}/{at}")
+        written = {n.removeprefix("_bucket=") for n in self.records.names(at) if n.startswith("_bucket=")}
+        for b in range(self.buckets) if buckets is None else buckets:
+            parts[b] = f"{at}/_bucket={b}" if str(b) in written else None
+        waits = None
         if pending is not None:
-            pending.write.mode("overwrite").parquet(f"{self.path}/pending/v={version}")
-        record = json.dumps({"version": version, "batch": batch, "coordinate": coordinate, "pending": pending is not None}).encode()
-        temp, final = self._path(f"{self.path}/commits/.{version}.tmp"), self._path(f"{self.path}/commits/{version}")
-        out = self._fs.create(temp, True)
-        out.write(bytearray(record))
-        out.close()
-        if not self._fs.rename(temp, final):
-            raise RuntimeError(f"version {version} of {self.path} was committed by another writer")
-
-    def lease(self, owner: str) -> None:
-        """Single writer: fails if another owner holds the lease."""
-        at = self._path(f"{self.path}/lease")
-        if self._fs.exists(at):
-            stream = self._fs.open(at)
-            held = bytes(b & 255 for b in stream.readAllBytes()).decode()
-            stream.close()
-            if held != owner:
-                raise RuntimeError(f"{self.path} is leased by {held}")
-            return
-        out = self._fs.create(at, False)
-        out.write(bytearray(owner.encode()))
-        out.close()
-
-    def release(self) -> None:
-        self._fs.delete(self._path(f"{self.path}/lease"), False)
-
-
-def apply_batch(target: VersionedTarget, spec: TableSpec, on_duplicate: str = "ignore", hold_open: bool = True, group: int | None = None, barriers=None):
+            waits = f"data/{uuid.uuid4().hex}"
+            pending.write.parquet(f"{self.path}/{waits}")
+        record = {"version": version, "batch": batch, "coordinate": coordinate, "pending": waits, "parts": parts, "schema": df.schema.jsonValue()}
+        self.records.create(f"commits/{version}", record)
+
+    def expire(self, keep: int = 2) -> None:
+        """Delete all records but the last `keep`, and folders that none of those names. Only for the holder of the lease."""
+        found = self.records.numbers("commits")
+        for old in found[:-keep]:
+            self.records.delete(f"commits/{old}")
+        kept = [self.records.read(f"commits/{n}") for n in found[-keep:]]
+        used = {p.split("/")[1] for r in kept for p in [*r["parts"], r["pending"]] if p}
+        for name in self.records.names("data"):
+            if name not in used:
+                self.records.delete(f"data/{name}")
+
+    def lease(self, owner: str, seconds: float = 600.0) -> Lease:
+        """Take the right to write, or renew it; Taken if another owner has it."""
+        held = Lease(self.records, owner, seconds)
+        held.take()
+        return held
+
+
+def apply_batch(target: VersionedTarget, spec: TableSpec, on_duplicate: str = "ignore", hold_open: bool = True, group: int | None = None, barriers=None, lease: Lease | None = None, keep: int | None = None):
     """The foreachBatch function. Batches have coord, op, before, after, and with group file and pos.
 
     With hold_open also `closed`: rows of a transaction whose commit hasn't come yet have closed = false and
     must not be there. With group, batches have the flags `closes` and `rotates` too and are applied in whole
     groups of so many transactions, or up to a rotation. barriers() gives the coordinates (coord) of standing
-    barriers: only what lies before the first of them is applied.
+    barriers: only what lies before the first of them is applied. A lease is renewed before each commit; with
+    keep, so many versions stay.
     """
     if group is not None and group < 1:
         raise ValueError("a group has a transaction or more")
@@ -125,7 +140,14 @@ def apply_batch(target: VersionedTarget, spec: TableSpec, on_duplicate: str = "i
             rows = marked.where(F.col("coord") <= F.col("cut")).drop("cut")
         last = rows.agg(F.max("coord").alias("c")).first()["c"]
         coordinate = [last["file"], last["pos"]] if last else (head or {}).get("coordinate")
-        target.commit(apply_log(target.read(), rows.select("coord", "op", "before", "after"), spec, on_duplicate), batch_id, coordinate, held)
+        log = rows.select("coord", "op", "before", "after")
+        images = F.explode(F.array_distinct(F.array_compact(F.array(*[F.when(F.col(i).isNotNull(), target.bucket(F.col(i))) for i in ("before", "after")]))))
+        touched = sorted(r[0] for r in log.select(images.alias("b")).distinct().collect())  # a row a bucket
+        if lease is not None:
+            lease.take()
+        target.commit(apply_log(target.read(buckets=touched), log, spec, on_duplicate), batch_id, coordinate, held, touched)
+        if keep is not None:
+            target.expire(keep)
 
     return run
 
@@ -135,7 +157,11 @@ def stream_log(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_available(log: DataFrame, target: VersionedTarget, spec: TableSpec, checkpoint: str, on_duplicate: str = "ignore", **options) -> None:
-    """Apply all of the log that is there, batch by batch, and stop. Options are those of apply_batch."""
-    query = log.writeStream.foreachBatch(apply_batch(target, spec, on_duplicate, **options)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(log: DataFrame, target: VersionedTarget, spec: TableSpec, checkpoint: str, on_duplicate: str = "ignore", keep: int | None = 2, **options) -> None:
+    """Apply all of the log that is there, batch by batch, and stop; under the target's lease. Options are those of apply_batch."""
+    lease = target.lease(f"run-{uuid.uuid4().hex}")
+    try:
+        query = log.writeStream.foreachBatch(apply_batch(target, spec, on_duplicate, lease=lease, keep=keep, **options)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        lease.give_up()
