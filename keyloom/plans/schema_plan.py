@@ -221,6 +221,21 @@ class TableState:
     def _place(self, name: str) -> int:
         return next((i for i, (c, _) in enumerate(self.columns) if c.lower() == name.lower()), -1)
 
+    def at(self, name: str) -> int:
+        """Place of a column, found without regard to case; -1 if it isn't there."""
+        return self._place(name)
+
+    def move_column(self, name: str, after: str | None, first: bool) -> TableState:
+        at = self._place(name)
+        rest = (*self.columns[:at], *self.columns[at + 1 :])
+        to = 0 if first else next((i for i, (c, _) in enumerate(rest) if c.lower() == after.lower()), -1) + 1
+        if not first and to == 0:
+            raise ValueError(f"no column {after}")
+        return replace(self, columns=(*rest[:to], self.columns[at], *rest[to:]))
+
+    def rename_index(self, old: str, new: str) -> TableState:
+        return replace(self, indexes=tuple(sorted((new if n == old else n, c) for n, c in self.indexes)))
+
     def add_column(self, name: str, type_: str, after: str | None = None, first: bool = False) -> TableState:
         if self._place(name) >= 0:
             raise ValueError(f"column {name} is there already")
