@@ -220,7 +220,7 @@ def _edit(tables: dict[str, TableState], op: dict) -> str | None:
                 raise Refused(f"column {op['name']} is there with another definition or place")
             return None
         tables[at] = t.add_column(op["name"], op["definition"], op["after"], op["first"])
-        return _column_clause("ADD COLUMN", op)
+        return _column_clause("ADD COLUMN", op) if op["clause"][:4].upper() == "ADD " else op["clause"]
     elif kind == "drop_column":
         tables[at] = t.drop_column(op["name"], guarded)
         return None if tables[at] is t else f"DROP COLUMN {_quoted(t.columns[t.at(op['name'])][0])}"
