@@ -30,6 +30,8 @@ from keyloom.llm.common import most_frequent, read_table, shared_dir, slices, wr
 
 #: Words of the lexicon.
 LEXICON = 50_000
+#: Longer words never enter it: they are rare, cost a state a byte, and tasks merge them faster than the driver.
+LONGEST = 256
 #: Bytes of text whose words are counted at a time, and words that a task remembers.
 COUNTED, CACHE = 1 << 22, 150_000
 #: Rank of a pair that doesn't merge.
@@ -411,7 +413,7 @@ def _count_words(batches):
 
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", size: int = LEXICON) -> str:
-    """Compile the most frequent words of all texts, size at most; returns the name under which tasks find the file.
+    """Compile the most frequent words of all texts, size at most and of LONGEST bytes at most (others merge in tasks); returns the name under which tasks find the file.
 
     The file is written to the shared folder under its digest, from where each executor fetches its copy.
     """
@@ -420,7 +422,7 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text
     frequent = most_frequent(counts.withColumn("_all", F.lit(0)), ["_all"], size).select("w").toArrow().column("w").to_pylist()
     pattern, encoder, words = regex.compile(vocabulary.pattern), Encoder(vocabulary), {}
     for word in frequent:
-        for w in pattern.findall(" " + word):
+        for w in pattern.findall(" " + word) if len(word) <= LONGEST else ():
             words.setdefault(w.encode(), None)
     first, merges = encoder.first, encoder.merges
     words = {w: merge(w, first, merges) for w in words}

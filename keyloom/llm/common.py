@@ -68,16 +68,29 @@ def _bucket(n: Column) -> Column:
     return n - F.pmod(n, unit)
 
 
+#: Parts that a run of equal counts is broken into, by hash.
+PARTS = 4096
+
+
 def most_frequent(counts: DataFrame, by: list[str], limit: int) -> DataFrame:
     """Rows of counts with a count `n` among the highest of their group in `by`, at most limit of each group.
 
-    Those are the rows from the lowest count on, rounded down to three digits, that at most limit rows reach:
-    a histogram finds it, without a ranking of all rows. Equal counts are in or out together.
+    Those are the rows from the lowest count on, rounded down to three digits, that at most limit rows reach, and of
+    the next lower count as many as there is room for: those with the lowest hash of their other columns, in
+    steps of 1/4,096 of that count's rows. Histograms find both, without a ranking of rows.
     """
-    sizes = counts.groupBy(*by, _bucket(F.col("n")).alias("_cut")).agg(F.count("*").alias("_c"))
+    key = [c for c in counts.columns if c not in (*by, "n")]
+    placed = counts.withColumns({"_cut": _bucket(F.col("n")), "_part": F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int")})
     reached = F.sum("_c").over(Window.partitionBy(*by).orderBy(F.desc("_cut")))
-    cuts = sizes.withColumn("_r", reached).where(F.col("_r") <= limit).groupBy(*by).agg(F.min("_cut").alias("_cut"))
-    return counts.join(F.broadcast(cuts), by).where("n >= _cut").drop("_cut")
+    runs = placed.groupBy(*by, "_cut").agg(F.count("*").alias("_c")).withColumn("_r", reached)
+    fits = F.col("_r") <= limit
+    cuts = runs.groupBy(*by).agg(F.min(F.when(fits, F.col("_cut"))).alias("_low"), F.max(F.when(~fits, F.col("_cut"))).alias("_broken"), (F.lit(limit) - F.coalesce(F.max(F.when(fits, F.col("_r"))), F.lit(0))).alias("_room"))
+    broken = placed.join(F.broadcast(cuts), by).where(F.col("_cut") == F.col("_broken"))  # a row a group
+    reached = F.sum("_c").over(Window.partitionBy(*by).orderBy("_part"))
+    parts = broken.groupBy(*by, "_part", "_room").agg(F.count("*").alias("_c")).withColumn("_r", reached).where(F.col("_r") <= F.col("_room"))
+    cuts = cuts.join(parts.groupBy(*by).agg(F.max("_part").alias("_last")), by, "left")
+    kept = (F.col("n") >= F.col("_low")) | ((F.col("_cut") == F.col("_broken")) & (F.col("_part") <= F.col("_last")))
+    return placed.join(F.broadcast(cuts), by).where(kept).select(*counts.columns)
 
 
 def write_file(spark: SparkSession, path: str, data: bytes) -> None:

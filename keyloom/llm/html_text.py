@@ -1,13 +1,13 @@
 """Main text of a page by tag-path ratios.
 
 A page becomes a sequence of text nodes, each with its root-to-leaf tag path. Parts that are menus, site
-headers, footers, sidebars, notices, adverts, forms or comments by tag, role or whole class name go first.
+headers, footers, sidebars, notices, adverts, forms or comments by tag, role or a word of a class name go first.
 For each path the lengths of its texts and their punctuation marks are added up and divided by its number
 of nodes; links count against a path. Both ratios are smoothed over the nodes in page order, fused by their
 product, and paths over a threshold are content.
 
-Where article or main elements hold most of the content, they are the article, all of them and with all
-their blocks. Elsewhere it is the smallest element that holds all content nodes, and in it the blocks with
+Where article elements hold content, those of the parent with most of it are the article, else a main
+element is, with all its blocks but those of links that no content path has. Elsewhere it is the smallest element that holds all content nodes, and in it the blocks with
 a content path, headings, and those between content blocks that aren't links for the most part.
 
 Time and memory are in proportion to the page, whatever its markup: elements carry what they inherit, a
@@ -51,21 +51,25 @@ HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Never text of an article, by tag, and by role.
 DROPPED = frozenset("script style noscript template head title nav aside footer button select option input textarea iframe object svg canvas dialog menu audio video map".split())
 DROPPED_ROLE = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"))
-#: The same by class or id: names made of these words only, one of them of the first set at least.
+#: The same by class or id: names that hold one of these words beside any others,
 KINDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal newsletter subscribe signup "
-    "comment comments commentlist disqus respond reply replies sidebar sidebars widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead toolbar login".split()
+    "comment comments commentlist disqus respond reply replies sidebar sidebars widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead header toolbar login".split()
 )
-BESIDE = frozenset("site page main top bottom left right primary secondary global list bar box area section wrapper container block panel item items inner outer form thread links legal".split())
+#: unless one of these turns its meaning: layouts that go without or with such parts, and phrases about something.
+TURNED = frozenset("has have with without no not non on of about for in and or to vs is work study theory analysis history".split())
+#: Words for parts that an article has too: in an article, and beside its own words, they are its own.
+SHARED = frozenset("header banner notice notices alert alerts promo promotion widget widgets".split())
+OWN = frozenset("article post entry story content body text title section chapter".split())
 #: Elements that a form for input doesn't hold; one that does is the layout of the page.
 LAYOUT = frozenset("article main nav header footer h1".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？…、]")
-#: Weights in smoothing, the share of the standard deviation that is the threshold, the share of content that article elements must hold, and of the text above which a form is layout.
-KERNEL, LAMBDA, MOST, ALL = (0.25, 0.5, 0.25), 0.5, 0.4, 0.9
+#: Weights in smoothing, the share of the standard deviation that is the threshold, and of the text above which a form is layout.
+KERNEL, LAMBDA, ALL = (0.25, 0.5, 0.25), 0.5, 0.9
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "number", "path", "dropped", "link", "article", "form", "block", "scope")
+    __slots__ = ("tag", "parent", "number", "path", "flow", "dropped", "link", "article", "main", "form", "block", "scope")
 
 
 class _Page:
@@ -86,20 +90,23 @@ class _Page:
         e.tag, e.parent, e.number = tag, up, len(self.elements)
         self.elements.append(e)
         if up is None:
-            e.path, e.dropped, e.link, e.article, e.form, e.block, e.scope = 0, False, False, None, None, e, (None,) * len(CLOSES)
+            e.path, e.flow, e.dropped, e.link, e.article, e.main, e.form, e.block, e.scope = 0, 0, False, False, None, None, None, e, (None,) * len(CLOSES)
             return e
         name = f"{a.get('class') or ''} {a.get('id') or ''}".split()
         label = f"{tag}.{name[0].lower()}" if name and tag in ("div", "section", "td", "span", "ul", "table") else tag
         e.path = self.paths.setdefault((up.path, label), len(self.paths) + 1)
+        # A link's text counts against the path of the text that it stands in.
+        e.flow = up.flow if up.link else up.path if tag == "a" else e.path
         e.link, e.block = up.link or tag == "a", e if tag in BLOCK else up.block
-        e.article = up.article if up.article is not None else e if tag in ARTICLE else None
+        e.main = up.main if up.main is not None else e if tag == "main" else None
+        e.article = up.article if up.article is not None else e if tag == "article" else None
         e.form = up.form if up.form is not None else e if tag == "form" else None
         if e.form is not None and tag in LAYOUT:
             self.layout.add(e.form.number)
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "")
-        e.dropped = up.dropped or tag in DROPPED or hidden or a.get("role") in DROPPED_ROLE or tag == "header" and e.article is None
+        e.dropped = up.dropped or tag in DROPPED or hidden or a.get("role") in DROPPED_ROLE or tag == "header" and e.article is None and e.main is None
         if name and not e.dropped and tag not in ARTICLE and tag not in ("html", "body"):
-            e.dropped = any(map(_furniture, name))
+            e.dropped = any(_furniture(x, e.article is not None or e.main is not None) for x in name)
         e.scope = up.scope
         if tag in SCOPED:
             e.scope = tuple(e if tag in closed else None if tag in limit else s for (closed, limit), s in zip(CLOSES, up.scope))
@@ -188,9 +195,12 @@ class _Page:
         return at
 
 
-def _furniture(name: str) -> bool:
+def _furniture(name: str, in_article: bool) -> bool:
     words = re.split(r"[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower().strip("-_"))
-    return any(w in KINDS for w in words) and all(w in KINDS or w in BESIDE or w.isdigit() for w in words)
+    kinds = KINDS.intersection(words)
+    if not kinds or not TURNED.isdisjoint(words):
+        return False
+    return not (kinds <= SHARED and (in_article or not OWN.isdisjoint(words)))
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -199,7 +209,7 @@ def _smooth(x: list[float]) -> list[float]:
 
 
 def content_paths(nodes: list[tuple[int, str, bool]]) -> set[int]:
-    """Paths of content among nodes of (path, text, in a link)."""
+    """Paths of content among nodes of (path, text, in a link); links have the path of the text around them."""
     length, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
     for path, text, link in nodes:
         n = len(text)
@@ -240,6 +250,25 @@ def _smallest(page: _Page, numbers: list[int]) -> tuple[int, int]:
     return e.number, last[e.number]
 
 
+def _article(content: list) -> set[int]:
+    """The article elements that are the article, or the main element; none if content is in neither.
+
+    Article elements with one parent belong together: comments and teasers have another than the article. Of
+    such groups the one with most text on content paths counts, the first of equals.
+    """
+    groups: dict[tuple, int] = {}
+    for e, n in content:
+        if (x := e.article) is not None:
+            groups[True, x.parent.number] = groups.get((True, x.parent.number), 0) + n
+        elif (x := e.main) is not None:
+            groups[False, x.number] = groups.get((False, x.number), 0) + n
+    if not groups:
+        return set()
+    with_articles = {g: n for g, n in groups.items() if g[0]} or groups
+    (articles, number) = max(with_articles, key=with_articles.get)
+    return {e.article.number for e, _ in content if e.article is not None and e.article.parent.number == number} if articles else {number}
+
+
 def main_text(text: str | None) -> str:
     """The article's blocks, one on a line: references decoded, white space runs a single space, trimmed.
 
@@ -257,15 +286,14 @@ def main_text(text: str | None) -> str:
     solid = [x for x in nodes if x[3]]
     if not solid:
         return ""
-    chosen = content_paths([(e.path, clean, e.link) for e, _, _, clean in solid])
+    chosen = content_paths([(e.flow, clean, e.link) for e, _, _, clean in solid])
     if not any(e.path in chosen and not e.link for e, _, _, _ in solid):
         chosen = {e.path for e, _, _, _ in solid if not e.link}
     content = [(e, len(clean)) for e, _, _, clean in solid if e.path in chosen and not e.link]
     if not content:  # nothing but links
         return ""
-    inside = {e.article.number for e, _ in content if e.article is not None}
-    in_articles = sum(n for e, n in content if e.article is not None) >= MOST * sum(n for _, n in content) and bool(inside)
-    first, last = (0, 0) if in_articles else _smallest(page, [e.number for e, _ in content])
+    inside = _article(content)
+    first, last = (0, 0) if inside else _smallest(page, [e.number for e, _ in content])
 
     blocks: dict[int, list] = {}
     for x in nodes:
@@ -275,8 +303,10 @@ def main_text(text: str | None) -> str:
         line = " ".join("".join(raw for _, _, raw, _ in pieces).split())
         if not line:
             continue
-        if in_articles:
-            kept += [line] if any(e.article is not None and e.article.number in inside for e, _, _, clean in pieces if clean) else []
+        if inside:
+            here = any(x is not None and x.number in inside for e, _, _, clean in pieces if clean for x in (e.article, e.main))
+            links = sum(len(clean) for e, _, _, clean in pieces if e.link)
+            kept += [line] if here and (2 * links <= len(line) or any(e.path in chosen and not e.link for e, _, _, clean in pieces if clean)) else []
             continue
         if not any(first <= e.number <= last for e, _, _, clean in pieces if clean):
             continue

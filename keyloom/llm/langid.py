@@ -176,7 +176,7 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """Learn from every row of docs with text and language; counts cover all of them.
 
     The lexicon keeps at most max_words words and max_grams n-grams of each length of each language, those
-    with the highest counts; a run of equal counts that doesn't fit as a whole is left out. Everything else
+    with the highest counts; a run of equal counts that doesn't fit is broken by hash. Everything else
     counts as unseen and backs off. An empty table, or one without texts and languages, gives a model without languages.
     """
     rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, chat, decontam, html_text, langid, linededup, ngram_join, quality, queries, rules, warc
@@ -233,9 +234,37 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.predict_languages(docs(spark), nothing).collect()} == {"und"}
 
 
+def gram_hash(gram):
+    """The hash of an n-gram as the module has it: of its code points behind the pad that _grams puts first."""
+    return int(langid._grams([gram])[2][len(gram)][1])
+
+
+def test_a_run_of_equal_counts_is_broken_not_left_out(spark):
+    from keyloom.llm.common import most_frequent
+
+    flat = spark.range(40_000).select(F.lit("x").alias("lang"), F.col("id").cast("string").alias("w"), F.lit(7).cast("long").alias("n"))
+    kept = {n: most_frequent(flat, ["lang"], n).count() for n in (30_000, 39_999, 40_000, 50_000, 3)}
+    assert 29_900 <= kept[30_000] <= 30_000 and 39_900 <= kept[39_999] <= 39_999 and kept[40_000] == kept[50_000] == 40_000 and kept[3] <= 3
+    mixed = flat.withColumn("n", F.when(F.col("w").cast("int") < 100, 900).otherwise(F.col("n")))
+    got = most_frequent(mixed, ["lang"], 1000).groupBy("n").count().collect()
+    assert {r["n"]: r["count"] for r in got}[900] == 100 and 850 < sum(r["count"] for r in got if r["n"] == 7) <= 900
+    assert most_frequent(flat.limit(0), ["lang"], 5).count() == 0
+
+
+def test_lexicon_leaves_long_words_to_tasks(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "one " + "ab" * 100_000 + " two")], "doc_id long, text string")
+    began, vocabulary = time.perf_counter(), bpe.load_vocabulary()
+    coded = bpe.encode_texts(df, vocabulary, bpe.build_lexicon(df, vocabulary)).first()["ids"]
+    assert time.perf_counter() - began < 60
+    assert coded == bpe.encode_texts(df, vocabulary).first()["ids"]
+
+
 def plain_language_scores(train, texts, max_words, max_grams):
     """The method word by word: counts, cuts, log frequencies, back-off."""
     words_of = lambda t: [w[i : i + langid.LONG_WORD] for w in regex.findall(r"[\p{L}\p{M}]+", t.lower()) if regex.search(r"\p{L}", w) for i in range(0, len(w), langid.LONG_WORD)]
+    part_of = lambda x, k: xxhash.xxh64(np.uint64(gram_hash(x)).tobytes() if k else x.encode(), seed=42).intdigest() % 4096
     grams_of = lambda w, k: [f" {w} "[i : i + k] for i in range(len(w) + 3 - k)]
     counts = {k: defaultdict(Counter) for k in range(6)}
     for text, lang in train:
@@ -250,6 +279,11 @@ def plain_language_scores(train, texts, max_words, max_grams):
         for c in by.values():
             down = {x: n if n < 1000 else n // 10 ** (len(str(n)) - 3) * 10 ** (len(str(n)) - 3) for x, n in c.items()}
             keep |= {x for x, n in down.items() if sum(m >= n for m in down.values()) <= limit}
+            lower = [n for n in down.values() if sum(m >= n for m in down.values()) > limit]
+            if lower:  # the run at the cut: the parts of lowest hash that fit
+                run, room = [x for x, n in down.items() if n == max(lower)], limit - sum(m > max(lower) for m in down.values())
+                part = {x: part_of(x, k) for x in run}
+                keep |= {x for x in run if sum(p <= part[x] for p in part.values()) <= room}
         known[k] = {x: np.log([(by[l][x] + 0.5) / (by[l].total() + 0.5 * max(1, len(keep))) for l in languages]) for x in keep}
 
     def score(w):
@@ -430,6 +464,15 @@ LINES = ["A lead of some words, no more.", "The body goes on, with commas, and w
         "<div><p>%s</p></div><section><p>%s</p></section><div class=end><p>%s</p></div>",
         "<main><div class=related-work><p>%s</div><div class=side-by-side><p>%s</div><div id=share class='tag skip'><p>%s</div></main>",
         "<form><article><p class=search-results-analysis>%s<p class=comments-on-theory>%s<p>%s</article><input></form>",
+        "<div class=header>A site, with a name.</div><article><p>%s<p>%s<p>%s</article>",
+        "<div class=site-header><p>A site, with a name, and more.</div><p>%s<p>%s<p>%s",
+        "<article><p>%s<p>%s<p>%s<section class=user-comments><p>I, too, think so. Yes, really.</section></article>",
+        "<article><p>%s<p>%s<p>%s</article><div class=discussion><article><p>I, too, think so. Yes.</article><article><p>No, never, I say.</article></div>",
+        "<article><p>%s<div class=ad-slot>Buy, now, this.</div><p>%s<div class=advert-300x250>Buy!</div><p>%s</article><div class=gdpr-overlay>We, use, it.</div>",
+        "<main><article><p>%s<p>%s<p>%s</article><div class=more><article><a href=x>Another story, of the day.</a></article></div></main>",
+        "<article><div class=article-header><h1>%s</h1></div><p>%s<p>%s</article>",
+        "<p>A site text that is much longer than the article is, with commas, and more, and more, and more words, and sentences. And another one, too. And more of it.</p><article><p>%s<p>%s<p>%s</article>",
+        "<div class='layout has-sidebar'><p>%s<p>%s<p>%s</div>",
         "<p>%s<p>%s<p>%s<div class=siteFooter>All rights, reserved.</div><div class='x cookie-notice'>We, use, cookies.</div><div id=comment-list-2><p>Nice, text, this.</div>",
     ],
 )
@@ -437,6 +480,22 @@ def test_named_kinds_go_and_nothing_else(page):
     assert html_text.main_text(page % tuple(LINES)) == "\n".join(LINES)
 
 
+#: Nothing names the parts of these: only paths can tell.
+UNNAMED = [
+    "<article><p>%s<div class=x>Also: <a href=1>another story of this site</a> <a href=2>and one more of them</a></div><p>%s<p>%s</article>",
+    "<div class=top><div>Hello <a href=1>to you</a></div><div>Today <a href=2>is a day</a></div></div><div class=mid><p>%s<p>%s<p>%s</div><div class=low><i>Made by <a href=3>somebody else</a></i></div>",
+    "<table><tr><td class=l>Go <a href=1>to the first page</a><td class=r><p>%s<p>%s<p>%s</table>",
+]
+
+
+@pytest.mark.parametrize("page", UNNAMED)
+def test_paths_decide_where_nothing_is_named(page, monkeypatch):
+    want = "\n".join(LINES)
+    assert html_text.main_text(page % tuple(LINES)) == want
+    monkeypatch.setattr(html_text, "content_paths", lambda nodes: {p for p, _, _ in nodes})
+    assert html_text.main_text(page % tuple(LINES)) != want
+
+
 def test_hostile_pages_take_time_in_proportion():
     import time
     import tracemalloc
