@@ -27,7 +27,7 @@ GUARDED = ["ALTER TABLE", "CREATE INDEX", "CREATE UNIQUE INDEX", "DROP INDEX"]
 
 #: A quoted literal (quotes doubled or escaped inside), a line comment, a block comment.
 LITERAL = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\""
-LEADING = r"(?s)^\s*(?:(?:--|#)[^\n]*(?:\n|$)|/\*(?!!).*?\*/)"
+LEADING = r"(?s)^(?:\s*(?:(?:--|#)[^\n]*(?:\n|$)|/\*(?!!).*?\*/))*+"
 COMMENT = r"--[^\n\r]*|/\*(?s:.*?)(?:\*/|$)"
 
 
@@ -35,11 +35,9 @@ def starts(sql: Column, prefixes: list[str]) -> Column:
     return sql.rlike(f"(?i)^(?:{'|'.join(p + ' ' for p in prefixes)})")
 
 
-def normalise(sql: Column, depth: int = 8) -> Column:
-    """Without leading comments (as many as depth of them), surrounding white space and final semicolons."""
-    for _ in range(depth):
-        sql = F.regexp_replace(sql, LEADING, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(sql, r"^\s+|\s+$", ""), r"\s*;+\s*$", ""))
+def normalise(sql: Column) -> Column:
+    """Without leading comments, however many, surrounding white space and final semicolons."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(sql, LEADING, ""), r"^\s+|\s+$", ""), r"\s*;+\s*$", ""))
 
 
 def outside_literals(sql: Column) -> Column:
