@@ -53,6 +53,9 @@ STAGES = [
     ("bpe", tokenise),
 ]
 
+#: Bytes of rows that a stage's last step hands to Python at a time: whole documents pass through with all their columns.
+BATCH = 4 << 20
+
 #: The classifier can't be written in SQL.
 ORACLE_SQL = None
 
@@ -60,6 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name, BATCH)
         discard(before)
     return docs
