@@ -290,3 +290,22 @@ ERRORS = [(0, "Lost connection to server", True, False), (1, "Connection reset b
 def error_classes(spark, d):
     e = spark.createDataFrame([x[:2] for x in ERRORS], "n int, error string")
     return e.select("n", classify.is_retryable(F.col("error")).alias("retryable"), classify.is_stale(F.col("error")).alias("stale"))
+
+
+@query("cdc_stream_schema", f"{MAPS.replace('m as (select', 'm0 as (select', 1)}, g as (select user_id % 7 as table_id, event_id, null as width from log where event_type = 'error' and user_id % 10 = 0), m as (select * from m0 union all select * from g) select r.event_id, r.table_id, m.width::int as width from r asof left join m on r.table_id = m.table_id and r.event_id >= m.event_id")
+def cdc_stream_schema(spark, d):
+    """Widths of the maps as of each row, by a stream with keyed state that is stopped half way; some errors stand for schema changes."""
+    from keyloom.streaming import keyed
+
+    names = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("id"), F.lit("value"))).otherwise(F.array(F.lit("id"), F.lit("value"), F.lit("note")))
+    table = F.col("user_id") % 7
+    kind = F.when((F.col("event_type") == "signup") & (table != 3), "table_map").when((F.col("event_type") == "error") & (F.col("user_id") % 10 == 0), "schema_change").when(F.col("event_type") == "click", "rows")
+    log = events_log(spark, d).withColumn("kind", kind).where("kind is not null")
+    log = log.select(table.alias("key"), F.col("event_id").alias("id"), "coord.file", "coord.pos", F.col("kind").alias("event_type"), F.lit(None).cast("string").alias("name"), F.when(F.col("kind") == "table_map", F.to_json(names)).alias("value"))
+    source, out, checkpoint = (work_path(spark, x) for x in ("log", "mapped", "checkpoint"))
+    stream = lambda: spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 100).parquet(source)
+    half = (log.agg(F.max("id")).first()[0] or 0) // 2
+    for part in (log.where(F.col("id") <= half), log.where(F.col("id") > half)):
+        part.write.mode("append").parquet(source)
+        keyed.run_available(stream(), out, checkpoint)
+    return spark.read.schema("key long, id long, event_type string, map string").parquet(out).where("event_type = 'rows'").select(F.col("id").alias("event_id"), F.col("key").alias("table_id"), F.size(F.from_json("map", "array<string>")).alias("width")).withColumn("width", F.when(F.col("width") >= 0, F.col("width")))
