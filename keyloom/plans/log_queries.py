@@ -309,3 +309,53 @@ def cdc_stream_schema(spark, d):
         part.write.mode("append").parquet(source)
         keyed.run_available(stream(), out, checkpoint)
     return spark.read.schema("key long, id long, event_type string, map string").parquet(out).where("event_type = 'rows'").select(F.col("id").alias("event_id"), F.col("key").alias("table_id"), F.size(F.from_json("map", "array<string>")).alias("width")).withColumn("width", F.when(F.col("width") >= 0, F.col("width")))
+
+
+@query("cdc_stream_totals", f"with {LOG} select count(*) as applied, count(*) filter (where op = 'I') as inserts, count(*) filter (where op = 'U') as updates, count(*) filter (where op = 'D') as deletes from log")
+def cdc_stream_totals(spark, d):
+    """What a stream applied, by operation, from its last commit record; a stopped stream goes on counting."""
+    from keyloom.streaming.apply_stream import VersionedTarget, run_available, stream_log
+
+    log = events_log(spark, d).select("file", "pos", "coord", "op", "before", "after")
+    source, at = work_path(spark, "log"), work_path(spark, "target")
+    target = VersionedTarget(spark, at, USERS.key)
+    target.commit(no_users(spark), -1, None)
+    half = log.agg(F.max("coord.file")).first()[0] or 0
+    for part in (log.where(F.col("coord.file") <= half // 2), log.where(F.col("coord.file") > half // 2)):
+        part.write.mode("append").parquet(source)
+        run_available(stream_log(spark, source, log.schema, 100), target, USERS, f"{at}-checkpoint")
+    names = ("applied", "inserts", "updates", "deletes")
+    return spark.createDataFrame([tuple(target.head()["totals"].get(n, 0) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+def _decoded(spark, d):
+    """The events as decoded log text, a file for each log file; some lines of a statement stand alone."""
+    e = events_log(spark, d)
+    n = F.col("event_id").cast("string")
+    body = (
+        F.when(F.col("event_type") == "signup", F.array(F.lit("### INSERT INTO `db`.`users`"), F.lit("### SET"), F.concat(F.lit("###   @1="), n)))
+        .when(F.col("event_type") == "click", F.array(F.lit("#250101 Table_map: `db`.`users` mapped to number 7"), F.lit("### UPDATE `db`.`users`")))
+        .when(F.col("event_type") == "error", F.array(F.lit("### DELETE FROM `db`.`users`")))
+        .when(F.col("event_type") == "purchase", F.array(F.lit("COMMIT;"), F.lit("")))
+        .otherwise(F.array(F.concat(F.lit("update users set v = "), n), F.lit("# a comment between"), F.lit("  where id = 1;")))
+    )
+    lines = F.concat(F.array(F.concat(F.lit("# at "), F.col("pos").cast("string"))), body)
+    path = work_path(spark, "decoded")
+    e.select("coord.file", "event_id", F.posexplode(lines).alias("i", "value")).repartition("file").sortWithinPartitions("file", "event_id", "i").select("file", "value").write.partitionBy("file").text(path)
+    return log_text.split_lines(spark, path)
+
+
+@query("log_split_statements", f"""with {LOG}, s as (select f, event_id, pos, event_type from log where event_type in ('purchase', 'view'))
+  select f as source, row_number() over (partition by f order by event_id) - 1 as statement, pos::bigint as pos, case event_type when 'purchase' then 'COMMIT;' else 'update users set v = ' || event_id || chr(10) || '  where id = 1;' end as sql from s""")
+def log_split_statements(spark, d):
+    """Statements of decoded logs, read in splits."""
+    s = log_text.split_statements(_decoded(spark, d), "log.000000")
+    return s.select(F.regexp_extract("source", r"file=(\d+)", 1).cast("long").alias("source"), "statement", "pos", "sql")
+
+
+@query("log_split_totals", f"""with {LOG}, c as (select f, unnest(case event_type when 'signup' then ['rows_insert', 'unknown', 'unknown'] when 'click' then ['table_map', 'rows_update'] when 'error' then ['rows_delete'] when 'purchase' then ['unknown'] else ['statement', 'unknown'] end) as class from log)
+  select f as source, class, count(*) as events from c group by 1, 2""")
+def log_split_totals(spark, d):
+    """Events of decoded logs by class, read in splits."""
+    c = log_text.split_classified(_decoded(spark, d), "log.000000").where("class is not null")
+    return c.groupBy(F.regexp_extract("source", r"file=(\d+)", 1).cast("long").alias("source"), "class").agg(F.count("*").alias("events"))

@@ -15,7 +15,9 @@ comes before the next batch. Nothing at or behind a barrier is applied while it
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +63,8 @@ class VersionedTarget:
         head = self.head()
         return self.spark.read.parquet(f"{self.path}/{head['pending']}") if head and head["pending"] else None
 
-    def commit(self, df: DataFrame, batch: int, coordinate: list | None, pending: DataFrame | None = None, buckets: list[int] | None = None) -> None:
-        """Publish df as the next version, or as the next content of some buckets, and rows that wait.
+    def commit(self, df: DataFrame, batch: int, coordinate: list | None, pending: DataFrame | None = None, buckets: list[int] | None = None, counts: dict[str, int] | None = None) -> None:
+        """Publish df as the next version, or as the next content of some buckets, and rows that wait; counts add to the totals.
 
         If another writer publishes that version first, Taken is raised and its rows stay.
         """
@@ -82,7 +84,10 @@ class VersionedTarget:
         if pending is not None:
             waits = f"data/{uuid.uuid4().hex}"
             pending.write.parquet(f"{self.path}/{waits}")
-        record = {"version": version, "batch": batch, "coordinate": coordinate, "pending": waits, "parts": parts, "schema": df.schema.jsonValue()}
+        totals = dict(head["totals"]) if head else {}
+        for name, n in (counts or {}).items():
+            totals[name] = totals.get(name, 0) + n
+        record = {"version": version, "totals": totals, "batch": batch, "coordinate": coordinate, "pending": waits, "parts": parts, "schema": df.schema.jsonValue()}
         self.records.create(f"commits/{version}", record)
 
     def expire(self, keep: int = 2) -> None:
@@ -103,14 +108,29 @@ class VersionedTarget:
         return held
 
 
-def apply_batch(target: VersionedTarget, spec: TableSpec, on_duplicate: str = "ignore", hold_open: bool = True, group: int | None = None, barriers=None, lease: Lease | None = None, keep: int | None = None):
+class Progress:
+    """Reports a stream's totals once so many rows have been applied or so many seconds have passed since the last report."""
+
+    def __init__(self, report: Callable[[dict], None], rows: int = 10_000, seconds: float = 30.0, clock: Callable[[], float] = time.monotonic):
+        self.report, self.rows, self.seconds, self.clock = report, rows, seconds, clock
+        self._rows, self._at = 0, clock()
+
+    def saw(self, applied: int, totals: dict) -> None:
+        self._rows += applied
+        if self._rows >= self.rows or self.clock() - self._at >= self.seconds:
+            self.report(totals)
+            self._rows, self._at = 0, self.clock()
+
+
+def apply_batch(target: VersionedTarget, spec: TableSpec, on_duplicate: str = "ignore", hold_open: bool = True, group: int | None = None, barriers=None, lease: Lease | None = None, keep: int | None = None, progress: Progress | None = None):
     """The foreachBatch function. Batches have coord, op, before, after, and with group file and pos.
 
     With hold_open also `closed`: rows of a transaction whose commit hasn't come yet have closed = false and
     must not be there. With group, batches have the flags `closes` and `rotates` too and are applied in whole
     groups of so many transactions, or up to a rotation. barriers() gives the coordinates (coord) of standing
     barriers: only what lies before the first of them is applied. A lease is renewed before each commit; with
-    keep, so many versions stay.
+    keep, so many versions stay. Rows applied, by operation, are counted in the pass that finds the buckets; the totals are in
+    the commit record, so a replayed batch counts once, and progress hears of them.
     """
     if group is not None and group < 1:
         raise ValueError("a group has a transaction or more")
@@ -141,11 +161,16 @@ def apply_batch(target: VersionedTarget, spec: TableSpec, on_duplicate: str = "i
         last = rows.agg(F.max("coord").alias("c")).first()["c"]
         coordinate = [last["file"], last["pos"]] if last else (head or {}).get("coordinate")
         log = rows.select("coord", "op", "before", "after")
-        images = F.explode(F.array_distinct(F.array_compact(F.array(*[F.when(F.col(i).isNotNull(), target.bucket(F.col(i))) for i in ("before", "after")]))))
-        touched = sorted(r[0] for r in log.select(images.alias("b")).distinct().collect())  # a row a bucket
+        # One pass finds the buckets that the images are in and counts what is applied: a row, with a number a bucket.
+        spots = [F.collect_set(F.when(F.col(i).isNotNull(), target.bucket(F.col(i)))).alias(i) for i in ("before", "after")]
+        seen = log.agg(*spots, F.count("*").alias("applied"), *[F.count_if(F.col("op") == op).alias(n) for op, n in (("I", "inserts"), ("U", "updates"), ("D", "deletes"))]).first().asDict()
+        touched = sorted({*seen.pop("before"), *seen.pop("after")})
+        counts = seen
         if lease is not None:
             lease.take()
-        target.commit(apply_log(target.read(buckets=touched), log, spec, on_duplicate), batch_id, coordinate, held, touched)
+        target.commit(apply_log(target.read(buckets=touched), log, spec, on_duplicate), batch_id, coordinate, held, touched, counts)
+        if progress is not None:
+            progress.saw(counts["applied"], target.head()["totals"])
         if keep is not None:
             target.expire(keep)
 
