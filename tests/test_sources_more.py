@@ -11,10 +11,6 @@ from keyloom.streaming.apply_stream import Progress, VersionedTarget, apply_batc
 from test_operators import SPEC, frame, log_frame, random_log
 
 
-def local(path):
-    return path.removeprefix("file:").replace("//", "/")
-
-
 @pytest.fixture
 def split(spark):
     """Sets the size of splits, and resets it."""
@@ -31,8 +27,7 @@ def sample(rng, n):
     return out
 
 
-@pytest.mark.parametrize("size", [40, 333, 1 << 20])
-@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize(("size", "end"), [(40, "\n"), (333, "\r\n"), (1 << 20, "\n")])
 def test_splits_equal_the_whole(spark, split, tmp_path, size, end):
     rng = random.Random(size)
     texts = [sample(rng, 150), sample(rng, 90), []]
