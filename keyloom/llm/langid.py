@@ -28,6 +28,8 @@ MAX_GRAMS = 10_000
 LENGTHS = (5, 4, 3, 2, 1)
 #: Bytes of text that are split at once, and words whose n-grams are counted at once.
 SLICE, WORDS = 1 << 22, 100_000
+#: Values of words by languages that a task holds at a time.
+ENTRIES = 1 << 20
 #: Longer runs of letters count as words of this length each.
 LONG_WORD = 64
 
@@ -114,14 +116,36 @@ def _count_grams(batches):
         yield from counted(parts)
 
 
+class SparseLogs:
+    """Log frequencies by language of known keys: only those a language has are held, all others have its default."""
+
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, n: np.ndarray, totals: np.ndarray, keys_known: int):
+        """Entries in order of key (its place), for each the language's place and its count."""
+        self.default = np.log(0.5 / (totals + 0.5 * max(1, keys_known)))
+        self.lang, self.more = langs.astype(np.int32), np.log((n + 0.5) / 0.5)
+        self.start = np.searchsorted(keys, np.arange(keys_known + 1))
+
+    def rows(self, place: np.ndarray, owner: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+        """Add weight times the values of the keys at `place` to the rows `owner` of out, in parts of bounded size."""
+        languages = out.shape[1]
+        step = max(1, ENTRIES // languages)
+        for at in range(0, len(place), step):
+            p, o, w = place[at : at + step], owner[at : at + step], weight[at : at + step]
+            out += np.bincount(o, weights=w, minlength=len(out))[:, None] * self.default
+            size = self.start[p + 1] - self.start[p]
+            entry = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[p], size)
+            cell = np.repeat(o, size) * languages + self.lang[entry]
+            out += np.bincount(cell, weights=np.repeat(w, size) * self.more[entry], minlength=out.size).reshape(out.shape)
+
+
 @dataclass
 class LanguageModel:
     """Log frequencies by language: of known words, and of known n-grams by their ascending hashes."""
 
     languages: list[str]
     words: list[str] = field(default_factory=list)
-    word_values: np.ndarray | None = None
-    grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    word_values: SparseLogs | None = None
+    grams: dict[int, tuple[np.ndarray, SparseLogs]] = field(default_factory=dict)
 
     def unseen(self, words: list[str]) -> np.ndarray:
         """Scores of words that aren't in the lexicon, a row each."""
@@ -137,25 +161,37 @@ class LanguageModel:
             hit = known[place] == h
             own, place = owner[at[hit]], place[hit]
             found = np.bincount(own, minlength=len(words))
-            for x in range(len(self.languages)):
-                scores[:, x] += np.bincount(own, weights=values[place, x], minlength=len(words)) / np.maximum(1, found)
+            values.rows(place, own, 1 / found[own], scores)
             todo &= found == 0
         return scores
 
     def scores(self, texts: pa.Array, lexicon: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over each text's words by language, and whether it has a word; lexicon is `words` as an array."""
+        """Sums over each text's words by language, and whether it has a word; lexicon is `words` as an array.
+
+        Distinct words are scored in parts, so that no matrix of all of them by all languages is held.
+        """
         words, places, starts = _split(texts)
         pieces, place = _pieces(words)
-        index = pc.index_in(pieces, value_set=lexicon)
-        known = np.asarray(pc.is_valid(index))
-        values = np.zeros((len(pieces), len(self.languages)))
-        values[known] = self.word_values[np.asarray(index.drop_null())]
-        values[~known] = self.unseen(pieces.filter(pa.array(~known)).to_pylist())
-        sums = np.empty((len(texts), len(self.languages)))
-        for x in range(len(self.languages)):
-            sums[:, x] = np.add.reduceat(np.bincount(place, weights=values[:, x], minlength=len(words))[places], starts)
-        count = np.bincount(place, minlength=len(words)) > 0
-        return sums, np.logical_or.reduceat(count[places], starts)
+        known = np.asarray(pc.fill_null(pc.index_in(pieces, value_set=lexicon), -1))
+        sums = np.zeros((len(texts), len(self.languages)))
+        text = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(places))))
+        order = np.argsort(places, kind="stable")  # occurrences by word, and by piece below
+        first, behind = np.searchsorted(places[order], place), np.searchsorted(places[order], place, side="right")
+        step = max(1, ENTRIES // max(1, len(self.languages)))
+        for at in range(0, len(pieces), step):
+            here = known[at : at + step]
+            values, old = np.zeros((len(here), len(self.languages))), np.flatnonzero(here >= 0)
+            self.word_values.rows(here[old], old, np.ones(len(old)), values)
+            if len(new := np.flatnonzero(here < 0)):
+                values[new] = self.unseen(pieces.slice(at, step).take(pa.array(new)).to_pylist())
+            size = behind[at : at + step] - first[at : at + step]
+            seen = order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[at : at + step], size)]
+            row = np.repeat(np.arange(len(here)), size)
+            for x in range(len(self.languages)):
+                sums[:, x] += np.bincount(text[seen], weights=values[row, x], minlength=len(texts))
+        has = np.zeros(len(words), dtype=bool)
+        has[place] = True
+        return sums, np.logical_or.reduceat(has[places], starts)
 
 
 def _most_frequent(counts: DataFrame, by: list[str], key: str, limit: int) -> DataFrame:
@@ -165,11 +201,11 @@ def _most_frequent(counts: DataFrame, by: list[str], key: str, limit: int) -> Da
     return counts.join(F.broadcast(kept), same)  # at most limit rows a group
 
 
-def _values(keys: pa.Array, langs: pa.Array, n: pa.Array, languages: list[str], totals: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+def _values(keys: pa.Array, langs: pa.Array, n: pa.Array, languages: list[str], totals: np.ndarray) -> tuple[pa.Array, SparseLogs]:
     coded = keys.dictionary_encode()
-    counts = np.zeros((len(coded.dictionary), len(languages)))
-    counts[np.asarray(coded.indices), np.asarray(pc.index_in(langs, value_set=pa.array(languages, pa.string())))] = np.asarray(n)
-    return coded.dictionary, np.log((counts + 0.5) / (totals + 0.5 * max(1, len(counts))))
+    order = np.argsort(np.asarray(coded.indices), kind="stable")
+    lang = np.asarray(pc.index_in(langs, value_set=pa.array(languages, pa.string())))
+    return coded.dictionary, SparseLogs(np.asarray(coded.indices)[order], lang[order], np.asarray(n)[order], totals, len(coded.dictionary))
 
 
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
@@ -193,9 +229,10 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         found = _most_frequent(grams, ["len", "lang"], "h", max_grams).select("len", "h", "lang", "n").toArrow()
         for k in LENGTHS:
             part = found.filter(pc.equal(found.column("len"), k))
-            known, values = _values(*(_column(part, c) for c in ("h", "lang", "n")), languages, total[k])
-            known = np.asarray(known).view(_U)
-            model.grams[k] = (np.sort(known), values[np.argsort(known)])
+            h = np.asarray(_column(part, "h")).view(_U)
+            order = pa.array(np.argsort(h, kind="stable"))  # so that keys are numbered in order of their hash
+            known, values = _values(*(_column(part, c).take(order) for c in ("h", "lang", "n")), languages, total[k])
+            model.grams[k] = (np.asarray(known).view(_U), values)
     discard(words, grams)
     return model
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -313,6 +314,22 @@ def test_languages_equal_a_plain_version(spark, words, grams):
     assert [x for x, _ in got] == [x for x, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
 
 
+def test_many_languages_in_bounded_memory(spark, monkeypatch):
+    """Two hundred languages, in parts of a few words: the model grows with what languages have, not with their square."""
+    import pickle
+
+    train = [(" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}x" for w in "abcdefghijklmnop"), f"l{i:03d}") for i in range(200)]
+    model = langid.fit_languages(spark.createDataFrame(train, "text string, lang string"))
+    assert len(model.languages) == 200 and len(model.words) == 3200
+    assert len(pickle.dumps(model)) < 3_000_000  # dense it would be 3,200 words by 200 languages by 8 bytes, and more for n-grams
+    texts = [t for t, _ in train] + ["", None, "unseen words only"]
+    want = plain_language_scores(train, texts, 30_000, 10_000)
+    for entries in (1 << 20, 600):
+        monkeypatch.setattr(langid, "ENTRIES", entries)
+        sums, has = model.scores(pa.array(texts), pa.array(model.words))
+        assert [model.languages[i] if h else "und" for i, h in zip(sums.argmax(axis=1), has)] == [x for x, _ in want]
+
+
 def test_language_accuracy_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     out = langid.op4_language_id(spark, "/root/testdata/sf0.01").join(d, "doc_id").where("held_out")
