@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keyloom.functions import classify
 from keyloom.operators import closure, ddl
+from keyloom.plans import schema_plan
+from keyloom.plans.meta_queries import _customer_tables
 from keyloom.plans.registry import query
 from keyloom.session import materialise, read_table
 
@@ -138,3 +141,29 @@ def closure_dependents(spark, d):
     """Everything that depends on an excluded row, and over how many references at least."""
     nodes, edges = _forest(spark, d)
     return closure.dependents(nodes.where("node % 7 = 0"), edges)
+
+
+@query("order_statement_decisions", f"""with {NUMBERED_SQL}
+  select id, case kind when '2' then 'quarantine' else 'replay' end as decision, case kind when '2' then 'vendor_only' end as reason, case kind when '2' then 'IF EXISTS' end as detail from s""")
+def order_statement_decisions(spark, d):
+    """What the stream does with each order's statement."""
+    s = statements(spark, d).withColumn("x", classify.statement_decision(classify.normalise(F.col("sql"))))
+    return s.select("id", "x.decision", "x.reason", "x.detail")
+
+
+@query("customer_schema_diff", """with k as (select c_custkey as k from customer), c as (select k, 't' || k as table_name, unnest(['id', 'name', 'amount', 'made']) as column_name from k)
+  select table_name, column_name, case when k % 7 = 0 or (column_name = 'amount' and k % 5 = 0) then 'add' when column_name = 'name' and k % 3 = 0 then 'modify' else 'same' end as action,
+    case when k % 7 <> 0 and column_name = 'name' and k % 3 = 0 then 'column_type' else '' end as attributes from c
+  union all select 't' || k, 'old', 'drop', '' from k where k % 7 <> 0 and k % 11 = 0""")
+def customer_schema_diff(spark, d):
+    """Columns of a table for each customer, in source and target."""
+    return schema_plan.column_diff(*_customer_tables(spark, d))
+
+
+@query("customer_schema_drift", """with k as (select c_custkey as k from customer)
+  select 't' || k as table_name, case when k % 7 = 0 then 'missing' when k % 3 = 0 or k % 5 = 0 or k % 11 = 0 then 'differs' else 'equal' end as state from k""")
+def customer_schema_drift(spark, d):
+    """Whether a table's fingerprints agree."""
+    source, target = (schema_plan.fingerprints(x).withColumnRenamed("fingerprint", n) for x, n in zip(_customer_tables(spark, d), ("s", "t")))
+    state = F.when(F.col("t").isNull(), "missing").when(F.col("s") == F.col("t"), "equal").otherwise("differs")
+    return source.join(target, "table_name", "left").select("table_name", state.alias("state"))
