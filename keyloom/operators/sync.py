@@ -13,7 +13,8 @@ Records are created or refused, never replaced (keyloom.records), and a run is w
 a second worker neither changes nor repeats what is published.
 
 A step counts once its record is there. One that was interrupted before that is done anew, and a run that is opened
-again goes on behind its last record. A step compares the source and target rows between two keys, which
+again goes on behind its last record. run() does steps in waves: one comparison for all steps of a wave, each wave
+four times as long as the one before, and then their records one by one. A step compares the source and target rows between two keys, which
 both scans take as pushed filters; the last one reaches beyond the source's last key, so that rows that
 only the target has go too. Keys are never null.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from keyloom.operators import apply, diff, keyset
 from keyloom.plans.spec import TableSpec
 from keyloom.records import Lease, Records, Taken
 
+#: Most steps of a wave.
+WAVE = 1024
 STEP = "step long, windows long, rows_scanned long, inserts long, updates long, deletes long, last_key string, status string"
 
 
@@ -40,11 +44,15 @@ class SyncRun:
         self.spark, self.path, self.spec, self.size = spark, path.rstrip("/"), spec, size
         self.records = Records(spark, self.path)
         self.owner = uuid.uuid4().hex
+        self._seen: dict[int, dict] = {}
 
     # --- records ---------------------------------------------------------------------------------------
 
     def _steps(self) -> list[dict]:
-        return [self.records.read(f"steps/{n}") for n in self.records.numbers("steps")]
+        """All step records, each read once, since they are never replaced."""
+        numbers = self.records.numbers("steps")
+        self._seen |= {n: self.records.read(f"steps/{n}") for n in numbers if n not in self._seen}
+        return [self._seen[n] for n in numbers]
 
     def _write(self, df: DataFrame) -> str:
         """Write rows under a name that no one else uses."""
@@ -82,26 +90,29 @@ class SyncRun:
         self.records.create("spec", held)
         return held
 
-    def _part(self, settings: dict, first: int, end: int) -> tuple[list | None, list | None, int]:
-        """Last keys of two windows, and the rows of those behind the first up to the second."""
-        between = (F.col("chunk") > first) & (F.col("chunk") <= end)
+    def _parts(self, settings: dict, first: int, end: int, windows: int) -> dict[int, tuple]:
+        """Last key and number of rows of each `windows` windows behind the first up to the end, from 0; -1 for the window before them."""
         rows = self.spark.read.parquet(settings["at"]).where((F.col("chunk") >= first) & (F.col("chunk") <= end))
-        key = lambda n: F.max_by("last", F.when(F.col("chunk") == n, F.lit(1)))
-        found = rows.agg(key(first).alias("after"), key(end).alias("upto"), F.coalesce(F.sum(F.when(between, F.col("rows"))), F.lit(0)).alias("rows")).first()
-        return (list(found["after"]) if found["after"] else None, list(found["upto"]) if found["upto"] else None, found["rows"])
+        part = F.floor((F.col("chunk") - first - 1) / windows).cast("int").alias("part")
+        found = rows.groupBy(part).agg(F.max_by("last", "chunk").alias("last"), F.sum("rows").alias("rows")).collect()  # a row a step
+        return {r["part"]: (list(r["last"]), r["rows"]) for r in found}
 
     def step(self, source: DataFrame, target: DataFrame, windows: int = 1) -> dict | None:
         """Do the next windows, in one comparison, and publish them; None if all are done.
 
         Refused while another worker holds the run, and after a failure that retry() hasn't cleared.
         """
+        done = self._wave(source, target, windows, 1)
+        return done[0] if done else None
+
+    def _wave(self, source: DataFrame, target: DataFrame, windows: int, steps: int) -> list[dict]:
         if error := self.failure():
             raise RuntimeError(f"{self.path} failed: {error}")
         lease = Lease(self.records, self.owner)
         lease.take()
         number = len(self.records.numbers("steps"))
         try:
-            return self._step(source, target, windows)
+            return self._do(source, target, windows, steps)
         except Taken:
             raise
         except Exception as e:
@@ -110,26 +121,46 @@ class SyncRun:
         finally:
             lease.give_up()
 
-    def _step(self, source: DataFrame, target: DataFrame, windows: int) -> dict | None:
+    def _do(self, source: DataFrame, target: DataFrame, windows: int, steps: int) -> list[dict]:
+        """Records of the next steps, as many as are left."""
         settings, done = self.start(source), self._steps()
-        first = sum(r["windows"] for r in done)
-        if first >= settings["windows"]:
-            return None
-        end = min(settings["windows"], first + windows)
-        after, upto, scanned = self._part(settings, first, end)
-        bound = None if end == settings["windows"] else upto
+        first, total = sum(r["windows"] for r in done), settings["windows"]
+        if first >= total:
+            return []
+        ends = [*range(first + windows, total, windows)][:steps]
+        if len(ends) < steps:
+            ends.append(total)
+        found = self._parts(settings, first, ends[-1], windows)
+        after, last = (found.get(n, (None, 0))[0] for n in (-1, len(ends) - 1))
+        bound = None if ends[-1] == total else last
         part = lambda df: keyset.window(df, self.spec, after, bound)
-        at = self._write(diff.changes(part(source), part(target), self.spec))
-        counts = self.spark.read.parquet(at).agg(*[F.count_if(F.col("op") == op).alias(n) for op, n in (("I", "inserts"), ("U", "updates"), ("D", "deletes"))]).first()
-        record = {"step": len(done), "windows": end - first, "rows_scanned": scanned, **counts.asDict(), "last_key": json.dumps(upto, default=str), "status": "complete" if bound is None else "running", "at": at}
-        self.records.create(f"steps/{len(done)}", record)
-        return record
+        changed = diff.changes(part(source), part(target), self.spec)
+        at = self._write(changed.withColumn("_part", keyset.behind(changed, self.spec, [found[n][0] for n in range(len(ends) - 1)])))
+        counts = self.spark.read.parquet(at).groupBy("_part").agg(*[F.count_if(F.col("op") == op).alias(n) for op, n in (("I", "inserts"), ("U", "updates"), ("D", "deletes"))]).collect()  # a row a step
+        counts = {r["_part"]: r.asDict() for r in counts}
+        out = []
+        for n, (begin, end) in enumerate(zip([first, *ends], ends)):
+            upto, scanned = found.get(n, (None, 0))
+            changes = {c: counts[n][c] if n in counts else 0 for c in ("inserts", "updates", "deletes")}
+            out.append({"step": len(done) + n, "windows": end - begin, "rows_scanned": scanned, **changes, "last_key": json.dumps(upto, default=str), "status": "complete" if end == total else "running", "at": at, "part": n, "parts": len(ends)})
+            self.records.create(f"steps/{len(done) + n}", out[-1])
+        return out
 
     def run(self, source: DataFrame, target: DataFrame, windows: int = 1) -> None:
-        while self.step(source, target, windows):
-            pass
+        """Do and publish all steps that are left, of `windows` windows each, in waves of one comparison."""
+        steps = 1
+        while self._wave(source, target, windows, steps):
+            steps = min(4 * steps, WAVE)
 
     def result(self, target: DataFrame) -> DataFrame:
         """The target with the changes of all finished steps."""
-        done = [r["at"] for r in self._steps()]
-        return apply.apply_changes(target, self.spark.read.parquet(*done), self.spec) if done else target.select(*self.spec.writable)
+        done: dict[str, list[dict]] = {}
+        for r in self._steps():
+            done.setdefault(r["at"], []).append(r)
+        if not done:
+            return target.select(*self.spec.writable)
+        # Of a wave that was interrupted only the published steps count.
+        whole = [at for at, rs in done.items() if len(rs) == rs[0].get("parts", 1)]
+        cut = [self.spark.read.parquet(at).where(F.col("_part") < len(rs)).drop("_part") for at, rs in done.items() if at not in whole]
+        found = [self.spark.read.parquet(*whole).drop("_part")] if whole else []
+        return apply.apply_changes(target, reduce(DataFrame.unionByName, found + cut), self.spec)

@@ -1,16 +1,50 @@
 """Plans and passes that must not grow faster than their input."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import keyset
+from keyloom.operators import keyset, sync
+from keyloom.session import materialise, work_path
+from test_operators import SPEC, frame, got
 from test_repair import PAIR
 
+
 def test_pieces_of_windows_are_never_broadcast(spark):
     """A few endless windows stand for many pieces, which Spark's estimate doesn't count."""
     df = spark.range(2000).select((F.col("id") / 4).cast("int").alias("a"), F.lit("x").alias("b"), "id")
     bound = "struct<a:int,b:string>"
     w = spark.createDataFrame([(i, (i, "x"), None) for i in range(5)], f"window int, after {bound}, end {bound}")
-    out = keyset.window_join(df, w, PAIR)
+    out = keyset.window_join(df, materialise(w, "windows"), PAIR)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert min(plan.index(j) for j in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin") if j in plan) == plan.index("SortMergeJoin")
     assert out.count() == sum(2000 - 4 * (i + 1) for i in range(5))
+
+
+def test_a_run_compares_many_steps_at_once(spark, monkeypatch):
+    """The comparisons of a run grow with the logarithm of its steps; an interrupted wave counts as far as it is published."""
+    rng = random.Random(5)
+    side = lambda: [(a, b, rng.choice([None, "1", "2"])) for a in range(40) for b in "xyz" if rng.random() < 0.7]
+    s, t = side(), [(-1, "x", "early"), *side(), (99, "z", "tail")]
+    source, target, path, seen = frame(spark, s), frame(spark, t), work_path(spark, "sync"), []
+    plain, compare = sync.SyncRun(spark, work_path(spark, "sync"), SPEC, 3), sync.diff.changes
+    for _ in range(3):
+        plain.step(source, target, 2)
+    half = got(plain.result(target))
+    while plain.step(source, target, 2):
+        pass
+    monkeypatch.setattr(sync.diff, "changes", lambda *a: seen.append(1) or compare(*a))
+    run = sync.SyncRun(spark, path, SPEC, 3)
+    create = run.records.create
+    monkeypatch.setattr(run.records, "create", lambda name, record: pytest.fail("stop") if name == "steps/3" else create(name, record))
+    with pytest.raises(BaseException, match="stop"):
+        run.run(source, target, 2)
+    assert len(run.progress().collect()) == 3 and len(seen) == 2
+    assert got(run.result(target)) == half
+    again = sync.SyncRun(spark, path, SPEC, 3)
+    again.retry()
+    again.run(source, target, 2)
+    p = again.progress().drop("rows_scanned").collect()
+    assert p == plain.progress().drop("rows_scanned").collect() and len(p) > 12 and len(seen) <= 5
+    assert got(again.result(target)) == got(plain.result(target)) == sorted(s, key=str)
