@@ -1,8 +1,7 @@
 """Schema-changing statements as typed operations, and the tables that they leave behind.
 
-A statement column is cut into tokens by one pattern (quotes, comments, words), tokens are numbered by
-their parentheses with windows by statement, and each clause becomes one line of single-spaced tokens
-that a list of patterns reads. Statements stay rows throughout. States are a fold over operations in
+A statement column is cut into tokens by one pattern (quotes, comments, words), tokens are cut at their
+outer commas, and each clause becomes one line of single-spaced tokens that a list of patterns reads. Statements stay rows throughout. States are a fold over operations in
 order, by groups of tables that renames connect: a task streams the operations of its groups and holds
 the columns of one group's tables, not its statements.
 """
@@ -10,8 +9,9 @@ the columns of one group's tables, not its statements.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from keyloom.operators import closure
 from keyloom.plans.schema_plan import TableState
@@ -74,15 +74,18 @@ def unquoted(name: Column) -> Column:
     return F.when(name != "", F.when(F.startswith(name, F.lit("`")), inner).otherwise(name))
 
 
-def _classified(df: DataFrame, line: str, table: list, out: str, when: Column | None = None) -> DataFrame:
+def _classified(df: DataFrame, line: str, tables: list[tuple[Column, list]], out: str) -> DataFrame:
     """df with out: struct(operation, guarded, object, name, new, definition, after, first, columns) by the first pattern that fits, or null.
 
-    The pattern's number is found first; its text and groups are then looked up, so that each field is one
-    extraction, whatever the number of patterns.
+    tables: patterns, and the rows that they are for. The pattern's number is found first; its text and groups
+    are then looked up, so that each field is one extraction, whatever the number of patterns. Rows go by that
+    number meanwhile: an expression holds its last pattern, and would compile one for each row otherwise.
     """
+    table = [row for _, rows in tables for row in rows]
     fits = [f"(?is){pattern}" for _, pattern, _ in table]
-    which = F.coalesce(*[F.when(F.col(line).rlike(p), F.lit(i + 1)) for i, p in enumerate(fits)])
-    df = df.withColumn("_which", which if when is None else F.when(when, which))
+    number = iter(range(1, len(table) + 1))
+    which = F.coalesce(*[F.when(when, F.coalesce(*[F.when(F.col(line).rlike(fits[n - 1]), F.lit(n)) for _, n in zip(rows, number)])) for when, rows in tables])
+    df = df.withColumn("_which", which).sortWithinPartitions("_which")
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_which"))
     df = df.withColumn("_pattern", pick(fits))
     group = lambda field: pick([groups.get(field, -1) for _, _, groups in table])
@@ -121,17 +124,53 @@ def _fault() -> Column:
     """Why the tokens of a statement (_raw, _toks, _line) can't be read, or null."""
     toks, line, next_ = F.col("_toks"), F.col("_line"), F.slice("_toks", F.lit(2), F.greatest(F.lit(0), F.size("_toks") - 1))
     objects = r"(?:VIEW|PROCEDURE|FUNCTION|EVENT|TRIGGER)"
+    # What looks at each token, or goes back and forth in the line, only runs where a plain search finds a reason.
+    active = F.col("_marked") & F.exists("_raw", lambda t: t.rlike(r"(?i)^/\*(?:!|\+|M!)"))
     return (
-        F.when(F.size(toks) == 0, F.when(F.exists("_raw", lambda t: t.rlike(r"(?i)^/\*(?:!|\+|M!)")), "active_comment").otherwise("empty"))
-        .when(F.exists("_raw", lambda t: t.rlike(r"(?i)^/\*(?:!|\+|M!)")), "active_comment")
-        .when(F.exists(toks, lambda t: t.isin("'", '"', "`")), "unterminated_quote")
-        .when(F.array_contains(F.zip_with(toks, next_, lambda x, y: F.concat(x, y)), "/*"), "unterminated_comment")
+        F.when(F.size(toks) == 0, F.when(active, "active_comment").otherwise("empty"))
+        .when(active, "active_comment")
+        .when(F.array_contains(toks, "'") | F.array_contains(toks, '"') | F.array_contains(toks, "`"), "unterminated_quote")
+        .when(F.array_contains(toks, "/") & F.array_contains(F.zip_with(toks, next_, lambda x, y: F.concat(x, y)), "/*"), "unterminated_comment")
         .when(F.array_contains(toks, ";"), "several_statements")
-        .when(line.rlike(rf"(?i)^(?:CREATE|ALTER|DROP|TRUNCATE|RENAME) .*?{_NAME} \. {_NAME}") & ~line.rlike(rf"(?i)^(?:CREATE|ALTER) (?:OR REPLACE )?{objects} (?:IF NOT EXISTS )?{_NAME} (?!\.)"), "qualified_name")
+        .when(F.contains(line, F.lit(" . ")) & line.rlike(rf"(?i)^(?:CREATE|ALTER|DROP|TRUNCATE|RENAME) .*?{_NAME} \. {_NAME}") & ~line.rlike(rf"(?i)^(?:CREATE|ALTER) (?:OR REPLACE )?{objects} (?:IF NOT EXISTS )?{_NAME} (?!\.)"), "qualified_name")
         .when(line.rlike(rf"(?i)^(?:DROP TABLE (?:IF EXISTS )?{_NAME} ,|RENAME TABLE {_NAME} TO {_NAME} ,)"), "several_objects")
     )
 
 
+def clauses(tokens: list[str], alter: bool):
+    """item, text and whether parentheses are unbalanced, of each clause or item: the tokens between outer commas.
+
+    CREATE TABLE's tokens begin with the parenthesis around its items and count up to the one that closes it.
+    """
+    deep, item, low, words, found, closed = 0, 1, 0, [], [], False
+    for i, t in enumerate(tokens):
+        deep += 1 if t == "(" else -1 if t == ")" else 0
+        closed = closed or (not alter and deep <= 0)
+        if t == "," and deep == (0 if alter else 1):
+            if words:
+                found.append((item, " ".join(words), low < 0))
+            item, low, words = item + 1, 0, []
+        elif not closed and (alter or i > 0):
+            words.append(t)
+            low = min(low, deep)
+    if words:
+        found.append((item, " ".join(words), low < 0))
+    return [(n, text, bad or deep != 0) for n, text, bad in found]
+
+
+def _cut(batches):
+    """A row for each clause of the statements of a batch, with their other columns."""
+    for b in batches:
+        at, rows = [], []
+        for i, (tokens, alter) in enumerate(zip(b.column("_toks").to_pylist(), b.column("_alter").to_pylist())):
+            for row in clauses(tokens, alter):
+                at.append(i)
+                rows.append(row)
+        kept = b.drop_columns(["_toks"]).take(pa.array(at, pa.int32()))
+        new = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*kept.columns, *new], [*kept.schema.names, "item", "clause", "_bad"])
+
+
 def parse(statements: DataFrame, key: list[str], sql: str = "sql") -> DataFrame:
     """A row for each operation: key, item (from 0), operation, guarded, object, name, new, definition, after, first, columns, clause, error.
 
@@ -142,33 +181,29 @@ def parse(statements: DataFrame, key: list[str], sql: str = "sql") -> DataFrame:
     several_statements, several_objects, qualified_name, unbalanced, statement or clause (unknown). A statement with an
     error in one clause has it in that row; apply_all() refuses the whole statement.
     """
-    base = statements.select(*key, _raw(F.coalesce(F.col(sql), F.lit(""))).alias("_raw"))
-    base = base.withColumn("_toks", _kept(F.col("_raw")))
+    sql = F.coalesce(F.col(sql), F.lit(""))
+    marked = sql.rlike('--|/\\*|[#"]')
+    base = statements.select(*key, _raw(sql).alias("_raw"), marked.alias("_marked"))
+    base = base.withColumn("_toks", F.when(F.col("_marked"), _kept(F.col("_raw"))).otherwise(F.col("_raw")))
     # Semicolons at the end don't separate statements.
-    base = base.withColumn("_n", F.size("_toks") - F.coalesce(F.nullif(F.array_position(F.transform(F.reverse("_toks"), lambda t: t == ";"), False).cast("int"), F.lit(0)), F.size("_toks") + 1) + 1)
+    ends = F.size("_toks") - F.coalesce(F.nullif(F.array_position(F.transform(F.reverse("_toks"), lambda t: t == ";"), False).cast("int"), F.lit(0)), F.size("_toks") + 1) + 1
+    base = base.withColumn("_n", F.when(F.get("_toks", F.size("_toks") - 1) == ";", ends).otherwise(F.size("_toks")))
     base = base.withColumn("_toks", F.slice("_toks", F.lit(1), F.greatest(F.col("_n"), F.lit(0)))).withColumn("_line", F.array_join("_toks", " "))
-    base = _classified(base.withColumn("_fault", _fault()), "_line", STATEMENTS, "_head", F.col("_fault").isNull())
+    base = _classified(base.withColumn("_fault", _fault()), "_line", [(F.col("_fault").isNull(), STATEMENTS)], "_head")
     # Written once: two branches read it, and their filters aren't pushed into the classification.
-    base = materialise(base.drop("_raw", "_n"), "ddl_statements")
+    base = materialise(base.drop("_raw", "_n", "_marked"), "ddl_statements")
     inner = F.col("_head.operation").isin("create_table", "alter_table")
     whole = base.where(F.col("_head").isNull() | (F.col("_head.operation") != "alter_table")).select(*key, F.lit(0).alias("item"), F.col("_head").alias("op"), F.col("_line").alias("clause"), F.coalesce("_fault", F.when(F.col("_head").isNull(), "statement")).alias("error"))
     # Tokens behind the head of ALTER TABLE, or from the first parenthesis of CREATE TABLE on.
     altered = F.col("_head.operation") == "alter_table"
     skip = F.when(altered, F.when(F.col("_head.guarded"), 5).otherwise(3)).otherwise(F.array_position("_toks", "(").cast("int") - 1)
-    each = base.where(inner).select(*key, F.col("_head.object").alias("_object"), altered.alias("_alter"), F.posexplode(F.slice("_toks", skip + 1, F.size("_toks"))).alias("_i", "_t"))
-    w = Window.partitionBy(*key).orderBy("_i")
-    step = F.when(F.col("_t") == "(", 1).when(F.col("_t") == ")", -1).otherwise(0)
-    each = each.withColumn("_deep", F.sum(step).over(w))
-    each = each.withColumn("_outer", F.when(F.col("_alter"), 0).otherwise(1))
-    comma = (F.col("_t") == ",") & (F.col("_deep") == F.col("_outer"))
-    closed = ~F.col("_alter") & (F.max(F.when((F.col("_deep") <= 0), 1).otherwise(0)).over(w) == 1)
-    each = each.withColumns({"item": F.sum(F.when(comma, 1).otherwise(0)).over(w) + 1, "_comma": comma, "_closed": closed, "_end": F.sum(step).over(Window.partitionBy(*key))})
-    words = each.where(~F.col("_comma") & ~F.col("_closed") & ~(~F.col("_alter") & (F.col("_i") == 0)))
-    lines = words.groupBy(*key, "item", "_object", "_alter").agg(F.max("_end").alias("_end"), F.min("_deep").alias("_low"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]), " ").alias("clause"))
-    lines = _classified(_classified(lines, "clause", CLAUSES, "_c", F.col("_alter")), "clause", ITEMS, "_i", ~F.col("_alter"))
-    lines = lines.withColumn("op", F.coalesce("_c", "_i"))
-    error = F.when((F.col("_end") != 0) | (F.col("_low") < 0), "unbalanced").when(F.col("op").isNull(), "clause")
-    items = lines.select(*key, F.col("item").cast("int").alias("item"), "op", "clause", error.alias("error"), "_object")
+    each = base.where(inner).select(*key, F.col("_head.object").alias("_object"), altered.alias("_alter"), F.slice("_toks", skip + 1, F.size("_toks")).alias("_toks"))
+    kept = StructType([f for f in each.schema if f.name != "_toks"] + [StructField("item", IntegerType()), StructField("clause", StringType()), StructField("_bad", BooleanType())])
+    lines = each.mapInArrow(_cut, kept)
+    # Written too, so that no filter on the result runs the patterns again.
+    lines = materialise(_classified(lines, "clause", [(F.col("_alter"), CLAUSES), (~F.col("_alter"), ITEMS)], "op"), "ddl_clauses")
+    error = F.when(F.col("_bad"), "unbalanced").when(F.col("op").isNull(), "clause")
+    items = lines.select(*key, "item", "op", "clause", error.alias("error"), "_object")
     out = whole.withColumn("_object", F.lit(None).cast("string")).unionByName(items)
     fields = [F.coalesce("op.object", "_object").alias("object"), *[F.col(f"op.{f}").alias(f) for f in ("name", "new", "definition", "after", "first", "columns")]]
     kept = out.withColumn("op", F.when(F.col("error").isNull(), F.col("op")))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import keyset, sync
+from keyloom.operators import ddl, keyset, sync
 from keyloom.session import materialise, work_path
 from test_operators import SPEC, frame, got
 from test_repair import PAIR
@@ -49,3 +49,11 @@ def test_a_run_compares_many_steps_at_once(spark, monkeypatch):
     p = again.progress().drop("rows_scanned").collect()
     assert p == plain.progress().drop("rows_scanned").collect() and len(p) > 12 and len(seen) <= 5
     assert got(again.result(target)) == got(plain.result(target)) == sorted(s, key=str)
+
+
+def test_filters_on_operations_run_no_patterns_again(spark):
+    df = spark.createDataFrame([(1, "ALTER TABLE t ADD c INT, DROP d"), (2, "CREATE TABLE t (a INT, b INT")], "id int, sql string")
+    out = ddl.parse(df, ["id"]).where("object is not null and operation <> 'drop_column'")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp_extract" not in plan
+    assert sorted((r["id"], r["item"], r["name"]) for r in out.collect() if r["error"] is None) == [(1, 1, "c"), (2, 0, None)]
