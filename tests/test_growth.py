@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import ddl, keyset, sync
+from keyloom.operators import ddl, diff, keyset, sync
 from keyloom.session import materialise, work_path
 from test_operators import SPEC, frame, got
 from test_repair import PAIR
@@ -57,3 +57,12 @@ def test_filters_on_operations_run_no_patterns_again(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan and "regexp_extract" not in plan
     assert sorted((r["id"], r["item"], r["name"]) for r in out.collect() if r["error"] is None) == [(1, 1, "c"), (2, 0, None)]
+
+
+def test_key_sets_are_grouped_once(spark):
+    """One grouping for all sides, without a sort; nulls compare as values, as in EXCEPT."""
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
+    out = diff.same_key_set(keys(1, 2, 2, None), keys(2, 3, 3, None), keys(1, 2), keys(1, 2, None))
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "missing", 0), (3, "unexpected", 0), (None, "missing", 1)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
