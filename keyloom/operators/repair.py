@@ -60,11 +60,14 @@ def unique_owners(wanted: DataFrame, source: DataFrame, target: DataFrame, spec:
     s, t = node(source), node(target)
     full = reduce(lambda a, b: a & b, [F.col(f"row.{c}").isNotNull() for c in unique])
     values = F.struct(*[F.col(f"row.{c}").alias(c) for c in unique])
-    owners = t.where(full).select(values.alias("value"), F.col("node").alias("owner"))
-    look = lambda keys: keys.select("node").distinct().join(s, "node", "left").join(t.select("node", F.lit(True).alias("there")), "node", "left").withColumn("value", F.when(full, values))
+    # Both written once: rounds read them again, and would work out source and target anew.
+    owners = materialise(t.where(full).select(values.alias("value"), F.col("node").alias("owner")), "owners")
+    known = materialise(s.join(t.select("node", F.lit(True).alias("there")), "node", "full_outer").withColumn("value", F.when(full, values)), "known")
+    look = lambda keys: keys.select("node").distinct().join(known, "node", "left")
     taken = lambda rows: rows.join(owners, "value").where(F.col("owner") != F.col("node"))
     found = _grown(look(wanted.select(F.struct(*spec.key).alias("node"))), lambda new: look(taken(new).select(F.col("owner").alias("node"))))
     edges = materialise(taken(found).select(F.col("node").alias("child"), F.col("owner").alias("parent")), "edges")
+    discard(owners, known)
     out = found.join(closure.levels(found, edges), "node")
     action = F.when(F.col("row").isNull(), "delete").when(F.col("there"), "update").otherwise("insert")
     out = out.select("node", action.alias("action"), F.coalesce("level", F.lit(0)).alias("round"), F.col("level").isNull().alias("parked"), "row", "there")

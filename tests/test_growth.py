@@ -5,10 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import ddl, diff, keyset, sync
+from keyloom.operators import ddl, diff, keyset, repair, sync
 from keyloom.session import materialise, work_path
 from test_operators import SPEC, frame, got
-from test_repair import PAIR
+from test_repair import OWNERS, PAIR, SCHEMA
 
 
 def test_pieces_of_windows_are_never_broadcast(spark):
@@ -66,3 +66,19 @@ def test_key_sets_are_grouped_once(spark):
     assert sorted(map(tuple, out.collect()), key=str) == [(1, "missing", 0), (3, "unexpected", 0), (None, "missing", 1)]
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and "Sort" not in plan
+
+
+def test_rounds_of_owners_read_source_and_target_once(spark):
+    """However many rounds a chain takes, the given tables are worked out once each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    n = 6
+    rows = lambda back: spark.createDataFrame([(i, str(i - back), None, None) for i in range(n)], SCHEMA).mapInArrow(counted, SCHEMA)
+    plan = repair.unique_owners(spark.createDataFrame([(0, "0", None, None)], SCHEMA), rows(0), rows(1), OWNERS, ["token"])
+    assert sorted((r["node"]["id"], r["round"]) for r in plan.collect()) == [(i, n - 1 - i) for i in range(n)]
+    assert seen.value <= 3 * n
