@@ -23,6 +23,27 @@ def test_pieces_of_windows_are_never_broadcast(spark):
     assert found == sum(2000 - 4 * (i + 1) for i in range(5))
 
 
+def test_rows_meet_windows_by_lists(spark, monkeypatch):
+    """Windows that cover a block are joined as lists, and the tasks of the join grow with its result."""
+    monkeypatch.setattr(keyset, "ROWS_OF_TASK", 500)
+    monkeypatch.setattr(keyset, "SPAN", 64)
+    df = spark.range(2000).select((F.col("id") / 4).cast("int").alias("a"), F.lit("x").alias("b"), "id")
+    bound = "struct<a:int,b:string>"
+    w = spark.createDataFrame([(i, (i, "x"), None) for i in range(70)] + [(None, None, None)], f"window int, after {bound}, end {bound}")
+    out, found = keyset.window_join(df, w, PAIR), lambda df: sorted(((r["id"], -1 if r["window"] is None else r["window"]) for r in df.collect()))
+    want = sorted([(r, i) for i in range(70) for r in range(4 * (i + 1), 2000)] + [(r, -1) for r in range(2000)])
+    assert found(out) == want
+    plans, met = [out._jdf.queryExecution().executedPlan().executedPlan()], []
+    while plans:
+        plan = plans.pop()
+        plans += [plan.plan()] if plan.nodeName().endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+        met += [plan.metrics().apply("numOutputRows").value()] if plan.nodeName() == "SortMergeJoin" else []
+    assert len(met) == 1 and met[0] < len(want) / 4
+    assert out.rdd.getNumPartitions() >= len(want) // 500
+    monkeypatch.setattr(keyset, "LIST_BYTES", 1)  # rows too wide for lists
+    assert found(keyset.window_join(df, w, PAIR)) == want
+
+
 def test_a_run_compares_many_steps_at_once(spark, monkeypatch):
     """The comparisons of a run grow with the logarithm of its steps; an interrupted wave counts as far as it is published."""
     rng = random.Random(5)
